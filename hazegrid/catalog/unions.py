@@ -1 +1,137 @@
-"""."""
+"""Set operations on the registered tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hazegrid.catalog.projections import SESSIONS, messages
+from hazegrid.catalog.registry import query
+from hazegrid.catalog.tables import EV, HOURLY, hourly, observations, table
+from hazegrid.catalog.windows import FORECAST_TAIL
+from hazegrid.operators import forecast, joins, network, series, sessions
+
+
+@query(
+    "g1_combine_splits",
+    f"""WITH {EV} SELECT event_id, site_id, no2, CASE WHEN dataset_split = 'train' THEN o3 END AS o3, dataset_split FROM ev""",
+)
+def g1_combine_splits(spark, folder):
+    df = observations(spark, folder).drop("timestamp")
+    return joins.combine_splits(df.where("dataset_split = 'train'"), df.where("dataset_split = 'unseen'").drop("o3"))
+
+
+@query(
+    "g3_timeline",
+    f"""{FORECAST_TAIL}, live AS (SELECT site_id, date_trunc('hour', "timestamp") AS "timestamp", round(avg(o3), 6) AS o3,
+        round(avg(no2), 6) AS no2 FROM ev WHERE dataset_split = 'unseen' GROUP BY 1, 2)
+      (SELECT site_id, "timestamp", o3, no2, 'live' AS phase FROM live
+        QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY "timestamp" DESC) <= 24)
+      UNION ALL SELECT site_id, "timestamp", o3, no2, 'forecast' FROM forecast""",
+)
+def g3_timeline(spark, folder):
+    unseen = observations(spark, folder).where("dataset_split = 'unseen'")
+    hour = F.date_trunc("hour", "timestamp").cast("timestamp_ntz").alias("timestamp")
+    live = unseen.groupBy("site_id", hour).agg(
+        F.round(F.avg("o3"), 6).alias("o3"), F.round(F.avg("no2"), 6).alias("no2")
+    )
+    return forecast.timeline(live, series.latest_rows(hourly(spark, folder), 24))
+
+
+def nation_catalog(spark, folder):
+    """Nations of region 0 as the home catalog, all others as the global one."""
+    nation = table(spark, folder, "nation")
+    return nation.select(
+        F.when(F.col("n_regionkey") == 0, "india").otherwise("global").alias("catalog"),
+        F.col("n_nationkey").alias("key"),
+        F.col("n_name").alias("name"),
+        F.when(F.col("n_regionkey") == 0, F.floor(F.col("n_nationkey") / 5)).otherwise(F.col("n_nationkey")).alias("catalog_rank"),
+    )
+
+
+@query(
+    "g4_network_scope",
+    """SELECT n_nationkey AS key, n_name AS name, CASE WHEN n_regionkey = 0 THEN n_nationkey // 5 ELSE n_nationkey + 3 END AS scope_rank
+      FROM nation WHERE n_regionkey <> 0 OR n_nationkey // 5 < 3""",
+)
+def g4_network_scope(spark, folder):
+    return network.network_scope(nation_catalog(spark, folder), "global").select("key", "name", "scope_rank")
+
+
+TIER = """CASE WHEN site_id = 'view' THEN 'fallback' WHEN site_id = 'error' AND no2 < 80 THEN 'cached'
+    WHEN no2 < 50 THEN 'external' WHEN no2 < 80 THEN 'cached' ELSE 'fallback' END"""
+
+
+def _tiers(df):
+    """Rows dealt to three tiers; one site has no external feed, another only the fallback."""
+    tier = (
+        F.when(F.col("site_id") == "view", "fallback")
+        .when((F.col("site_id") == "error") & (F.col("no2") < 80), "cached")
+        .when(F.col("no2") < 50, "external")
+        .when(F.col("no2") < 80, "cached")
+        .otherwise("fallback")
+    )
+    dealt = df.withColumn("tier", tier)
+    return {name: dealt.where(F.col("tier") == name).drop("tier") for name in ("external", "cached", "fallback")}
+
+
+FALLBACK = f"""WITH {EV}, dealt AS (SELECT *, {TIER} AS tier FROM ev),
+  best AS (SELECT site_id, min(CASE tier WHEN 'external' THEN 0 WHEN 'cached' THEN 1 ELSE 2 END) AS priority FROM dealt
+    WHERE site_id <> 'error' OR tier <> 'external' GROUP BY 1),
+  rows AS (SELECT d.site_id, d.event_id, d."timestamp", d.o3, d.no2, b.priority,
+      row_number() OVER (PARTITION BY d.site_id ORDER BY d."timestamp" DESC, d.event_id DESC) AS back
+    FROM dealt d JOIN best b ON d.site_id = b.site_id
+      AND b.priority = CASE d.tier WHEN 'external' THEN 0 WHEN 'cached' THEN 1 ELSE 2 END QUALIFY back <= 24),
+  labelled AS (SELECT *, CASE priority WHEN 0 THEN 'openmeteo' WHEN 1 THEN 'openmeteo_cache' ELSE 'simulation' END AS provider,
+      CASE priority WHEN 0 THEN 'Open-Meteo real-time air-quality feed' WHEN 1 THEN 'Cached Open-Meteo air-quality feed'
+        ELSE 'Replay simulator fallback after external provider failure' END AS source_label, priority > 0 AS fallback_used FROM rows)"""
+
+
+@query(
+    "g5_live_with_fallback",
+    f"""{FALLBACK} SELECT site_id, event_id, "timestamp", o3, no2, provider, source_label, fallback_used FROM labelled""",
+)
+def g5_live_with_fallback(spark, folder):
+    tiers = _tiers(observations(spark, folder))
+    live = network.live_with_fallback(tiers, order=("timestamp", "event_id"))
+    return live.drop("priority", "dataset_split")
+
+
+@query(
+    "g6_network_locations",
+    """WITH p AS (SELECT n_nationkey AS key, n_name AS name FROM nation),
+      e AS (SELECT user_id % 30 AS key, event_id, ts, value AS o3, event_type FROM events),
+      live AS (SELECT *, 0 AS priority FROM e WHERE event_type IN ('click', 'view') AND o3 >= 300),
+      cached AS (SELECT *, 1 AS priority FROM e WHERE event_type = 'error' AND o3 >= 250),
+      both_tiers AS (SELECT * FROM live UNION ALL SELECT * FROM cached),
+      best AS (SELECT * FROM both_tiers QUALIFY row_number() OVER (PARTITION BY key ORDER BY priority, ts DESC, event_id DESC) = 1)
+      SELECT p.key, p.name, best.event_id, best.o3, priority > 0 AS fallback_used FROM p JOIN best ON p.key = best.key""",
+)
+def g6_network_locations(spark, folder):
+    catalog = table(spark, folder, "nation").select(F.col("n_nationkey").cast("bigint").alias("key"), F.col("n_name").alias("name"))
+    events = table(spark, folder, "events").select(
+        (F.col("user_id") % 30).alias("key"), "event_id", F.col("ts").alias("timestamp"), F.col("value").alias("o3"), "event_type"
+    )
+    # Users are dealt to places; extreme readings stand for the feeds, so some places have only a cache or nothing.
+    live = events.where(F.col("event_type").isin("click", "view") & (F.col("o3") >= 300))
+    cached = events.where((F.col("event_type") == "error") & (F.col("o3") >= 250))
+    known = network.network_locations(catalog, live, cached, order=("timestamp", "event_id"))
+    return known.select("key", "name", "event_id", "o3", "fallback_used")
+
+
+@query(
+    "g7_graph_nodes",
+    f"""WITH {SESSIONS} SELECT 'session:' || session_id AS node_id, title AS label, 'session' AS "group" FROM sessions
+      UNION ALL SELECT DISTINCT 'mode:' || mode, upper(mode[1]) || mode[2:], 'mode' FROM sessions
+      UNION ALL SELECT DISTINCT 'tag:' || t, t, 'tag' FROM (SELECT unnest(tags) AS t FROM sessions)""",
+)
+def g7_graph_nodes(spark, folder):
+    return sessions.graph_nodes(sessions.sessions_from_messages(messages(spark, folder)))
+
+
+@query(
+    "g7_graph_edges",
+    f"""WITH {SESSIONS} SELECT 'session:' || session_id AS source, 'mode:' || mode AS target, 1.0::DOUBLE AS weight FROM sessions
+      UNION ALL SELECT 'session:' || session_id, 'tag:' || t, 1.0::DOUBLE FROM (SELECT session_id, unnest(tags) AS t FROM sessions)""",
+)
+def g7_graph_edges(spark, folder):
+    return sessions.graph_edges(sessions.sessions_from_messages(messages(spark, folder)))

@@ -87,7 +87,8 @@ def fixed_text(value: Column, digits: int = 1) -> Column:
     if digits:
         body = F.concat(body, F.lit("."), F.lpad((units % scale).cast("string"), digits, "0"))
     exact = F.concat(sign, body)
-    return F.when(size < 2.0**29, exact).otherwise(F.format_string(f"%.{digits}f", value))
+    large = F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value))
+    return F.when(size < 2.0**29, exact).otherwise(large)
 
 
 def number_text(value: Column) -> Column:
