@@ -1 +1,186 @@
-"""."""
+"""Models trained on the registered tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hazegrid.catalog.joins import MODEL_ERRORS, model_errors
+from hazegrid.catalog.registry import query
+from hazegrid.catalog.tables import EV, observations
+from hazegrid.operators import features, forecast
+from hazegrid.operators.features import FeatureSpec
+from hazegrid.plans import preprocess, training
+from hazegrid.plans.forecasters import ForestForecaster, ModelRegistry, SequenceForecaster
+from hazegrid.session import materialize, shared_path
+
+SPEC = FeatureSpec(
+    tie_break=("event_id",),
+    lag_columns=("O3_forecast", "NO2_forecast"),
+    sparse_columns=("NO2_satellite",),
+    lookback=24,
+    windows=(6, 24),
+)
+CONFIG = training.TrainingConfig(lookback=6, trees=5, depth=5)
+PLAIN = ["O3_forecast", "NO2_forecast", "hour_sin", "hour_cos", "is_weekend"]
+
+
+def dataset(spark, folder, external: bool = False):
+    """Readings as targets, with a forecast column that follows each target loosely and a sparse column."""
+    df = observations(spark, folder).select(
+        "event_id",
+        "site_id",
+        "timestamp",
+        "dataset_split",
+        (F.col("o3") * 0.8 + F.col("no2") * 0.1).alias("O3_forecast"),
+        (F.col("no2") * 0.7 + F.col("o3") * 0.05).alias("NO2_forecast"),
+        F.when(F.col("no2") >= 50, F.col("no2")).alias("NO2_satellite"),
+        F.when(F.col("dataset_split") == "train", F.col("o3")).alias("O3_target"),
+        F.when(F.col("dataset_split") == "train", F.col("no2")).alias("NO2_target"),
+    )
+    if external:
+        return df.withColumns({"external_ozone": F.col("O3_forecast") * 0.5, "data_source": F.lit("openmeteo")})
+    return df
+
+
+def forecast_table(spark, folder):
+    """Rows with the plain model inputs, truth known for train rows."""
+    from hazegrid.functions.calendar import calendar_columns
+
+    return dataset(spark, folder).withColumns(calendar_columns())
+
+
+def fitted_forest(spark, folder):
+    rows = materialize(forecast_table(spark, folder), "rows")
+    known = rows.where("dataset_split = 'train'")
+    forest = ForestForecaster(PLAIN, trees=5, depth=5)
+    forest.fit(known)
+    scored = training.evaluate([forest], known, forest.targets)
+    sigmas = materialize(scored.select("target", F.col("rmse").alias("sigma")), "sigmas")
+    return forest, sigmas
+
+
+@query(
+    "j1_preprocess",
+    f"""WITH {EV}, m AS (SELECT *, CASE WHEN no2 >= 50 THEN no2 END AS s FROM ev),
+      filled AS (SELECT event_id, o3, coalesce(s, (SELECT median(s) FROM m)) AS s FROM m),
+      t AS (SELECT avg(o3) AS mo, stddev_pop(o3) AS so, avg(s) AS ms, stddev_pop(s) AS ss FROM filled)
+      SELECT event_id, round((o3 - mo) / so, 6) AS o3, round((s - ms) / ss, 6) AS sparse, 0.0::DOUBLE AS constant FROM filled, t""",
+)
+def j1_preprocess(spark, folder):
+    df = observations(spark, folder).select(
+        "event_id", "o3", F.when(F.col("no2") >= 50, F.col("no2")).alias("sparse"), F.lit(7.0).alias("constant")
+    )
+    stage = preprocess.scale_stage(preprocess.column_statistics(df, ["o3", "sparse", "constant"]))
+    scaled = stage.transform(df)
+    return scaled.select("event_id", *[F.round(f"_z_{name}", 6).alias(name) for name in ("o3", "sparse", "constant")])
+
+
+@query("j2_forest_metrics")
+def j2_forest_metrics(spark, folder):
+    rows = materialize(features.build_features(dataset(spark, folder), SPEC), "features")
+    known = rows.where("dataset_split = 'train'")
+    columns = features.feature_columns(known, SPEC.targets, [*SPEC.excluded, "event_id"])
+    forest = ForestForecaster(columns, trees=5, depth=5)
+    forest.fit(known)
+    return training.evaluate([forest], known, forest.targets)
+
+
+@query("j3_sequence_metrics")
+def j3_sequence_metrics(spark, folder):
+    rows = materialize(forecast_table(spark, folder).where("dataset_split = 'train'"), "rows")
+    parts = materialize(features.chronological_split(rows, 0.15, 0.15, order=("timestamp", "event_id")), "parts")
+    fitting, checking, testing = (parts.where(F.col("part") == p).drop("part") for p in ("train", "validation", "test"))
+    model = SequenceForecaster(PLAIN, 6, tie_break=("event_id",))
+    model.fit(fitting, checking)
+    return training.evaluate([model], testing, model.targets)
+
+
+@query("j4_batch_forecast")
+def j4_batch_forecast(spark, folder):
+    forest, sigmas = fitted_forest(spark, folder)
+    unseen = forecast_table(spark, folder).where("dataset_split = 'unseen'")
+    return training.batch_forecast(forest, unseen, sigmas, 0, order=("timestamp", "event_id"))
+
+
+@query(
+    "j5_passthrough_forecast",
+    f"""WITH {EV}, {MODEL_ERRORS}, tail AS (SELECT * FROM ev WHERE dataset_split = 'unseen'
+        QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY "timestamp" DESC, event_id DESC) <= 24),
+      s AS (SELECT max(CASE WHEN target = 'O3_target' THEN sigma END) AS so, max(CASE WHEN target = 'NO2_target' THEN sigma END) AS sn
+        FROM errors WHERE model = 'lstm')
+      SELECT site_id, "timestamp", event_id, o3, no2, 'lstm' AS model_name, round(o3 - 1.96::DOUBLE * so, 6) AS o3_lower,
+        round(o3 + 1.96::DOUBLE * so, 6) AS o3_upper, round(no2 - 1.96::DOUBLE * sn, 6) AS no2_lower, round(no2 + 1.96::DOUBLE * sn, 6) AS no2_upper
+      FROM tail, s""",
+)
+def j5_passthrough_forecast(spark, folder):
+    unseen = observations(spark, folder).where("dataset_split = 'unseen'")
+    points = forecast.passthrough_forecast(
+        unseen, model_errors(spark, folder), "lstm", None, "o3", "no2", order=("timestamp", "event_id")
+    )
+    ends = ("o3_lower", "o3_upper", "no2_lower", "no2_upper")
+    return points.withColumns({name: F.round(name, 6) for name in ends})
+
+
+@query("j6_saved_model")
+def j6_saved_model(spark, folder):
+    """A saved and loaded model predicts what the original did: the largest difference per site."""
+    forest, _ = fitted_forest(spark, folder)
+    registry = ModelRegistry(spark, shared_path(spark, "registry"))
+    registry.save(forest)
+    registry.save_metadata({"available_models": [forest.name]})
+    rows = forecast_table(spark, folder).select("site_id", "event_id", *PLAIN)
+    before = forest.predict(rows).select("event_id", "site_id", F.col("prediction_O3_target").alias("a"))
+    after = registry.load(forest.name).predict(rows).select("event_id", F.col("prediction_O3_target").alias("b"))
+    return before.join(after, "event_id").groupBy("site_id").agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("difference"))
+
+
+@query("j7_training_job")
+def j7_training_job(spark, folder):
+    metadata = training.train(dataset(spark, folder), shared_path(spark, "job"), SPEC, CONFIG)
+    measured = training.metrics_table(spark, metadata)
+    return measured.withColumn("active", F.col("model") == metadata["active_model"])
+
+
+@query("j8_profile_comparison")
+def j8_profile_comparison(spark, folder):
+    profiles = {"zip_only": dataset(spark, folder), "external_augmented": dataset(spark, folder, external=True)}
+    return training.compare_profiles(profiles, shared_path(spark, "profiles"), SPEC, CONFIG)
+
+
+class SiteMean:
+    """The smallest forecaster there is: the mean of each target. Shows that the protocol is open."""
+
+    name = "site_mean"
+
+    def __init__(self, targets):
+        self.targets, self.feature_columns, self.means = list(targets), [], {}
+
+    def history_rows(self):
+        return 0
+
+    def fit(self, train, validation=None):
+        self.means = train.agg(*[F.avg(name).alias(name) for name in self.targets]).first().asDict()
+
+    def predict(self, df):
+        return df.withColumns({f"prediction_{name}": F.lit(value) for name, value in self.means.items()})
+
+    def save(self, path):
+        from pyspark.sql import SparkSession
+
+        from hazegrid.sources.tables import write_json_document
+
+        write_json_document(SparkSession.active(), {"kind": "mean", "means": self.means}, f"{path}/document")
+
+
+@query(
+    "j9_custom_forecaster",
+    f"""WITH {EV}, t AS (SELECT * FROM ev WHERE dataset_split = 'train')
+      SELECT 'site_mean' AS model, 'O3_target' AS target, round(stddev_pop(o3), 4) AS rmse FROM t
+      UNION ALL SELECT 'site_mean', 'NO2_target', round(stddev_pop(no2), 4) FROM t""",
+)
+def j9_custom_forecaster(spark, folder):
+    known = dataset(spark, folder).where("dataset_split = 'train'")
+    model = SiteMean(SPEC.targets)
+    model.fit(known)
+    scored = training.evaluate([model], known, model.targets)
+    return scored.select("model", "target", F.round("rmse", 4).alias("rmse"))

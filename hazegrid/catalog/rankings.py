@@ -10,6 +10,7 @@ from hazegrid.catalog.projections import SESSIONS, messages
 from hazegrid.catalog.registry import query
 from hazegrid.catalog.tables import EV, HOURLY, hourly, observations, table
 from hazegrid.catalog.windows import FORECAST_TAIL
+from hazegrid.functions import risk
 from hazegrid.operators import alerts, forecast, network, resample, retrieval, series, sessions
 
 
@@ -245,3 +246,19 @@ def f13_newest_steps(spark, folder):
 )
 def f13_latest_query(spark, folder):
     return sessions.latest_report_query(reports(spark, folder).withColumnRenamed("payload", "query"))
+
+
+@query(
+    "entry_site_alerts",
+    f"""{ALERTS} SELECT a.site_id, a."timestamp", pollutant, severity, value, threshold,
+        CASE WHEN o3 >= 140 OR no2 >= 110 THEN 'High risk' WHEN o3 >= 95 OR no2 >= 70 THEN 'Elevated' ELSE 'Stable' END AS risk
+      FROM alerts a JOIN tail t ON a.site_id = t.site_id AND a."timestamp" = t."timestamp"
+      """,
+)
+def entry_site_alerts(spark, folder):
+    """Hourly means, last 12 hours per site, thresholds, risk, canonical order."""
+    points = series.latest_rows(hourly(spark, folder), 12)
+    found = alerts.threshold_alerts(points, 60.0, 50.0)
+    labels = points.select("site_id", "timestamp", risk.risk_label(F.col("o3"), F.col("no2")).alias("risk"))
+    ordered = alerts.ordered_alerts(found.join(labels, ["site_id", "timestamp"]))
+    return ordered.select("site_id", "timestamp", "pollutant", "severity", "value", "threshold", "risk")
