@@ -76,9 +76,10 @@ def rolling_std_expressions(columns: Sequence[str], windows: Sequence[int], orde
     ]
 
 
-def _fill(name: str, ordered, causal: bool, carried: bool) -> Column:
+def _fill(name: str, ordered, reverse, causal: bool, carried: bool) -> Column:
+    """Both directions run as growing frames: a frame that shrinks is computed anew for every row."""
     back = F.last(name, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(name, ignorenulls=True).over(ordered.rowsBetween(0, Window.unboundedFollowing))
+    ahead = F.last(name, ignorenulls=True).over(reverse.rowsBetween(Window.unboundedPreceding, 0))
     options = [back] + ([F.col(f"_before_{name}")] if carried else [])
     if not causal:
         options += [ahead] + ([F.col(f"_after_{name}")] if carried else [])
@@ -86,16 +87,18 @@ def _fill(name: str, ordered, causal: bool, carried: bool) -> Column:
 
 
 def windowed(df: DataFrame, spec: FeatureSpec, halo: int, fill: Sequence[str] = ()):
-    """Prepare a table for per-site windows; returns ``(rows, ordered window, whether rows are in blocks)``."""
+    """Prepare a table for per-site windows; returns the rows, the window both ways, and if rows are in blocks."""
     if spec.block_rows is None:
-        return df, Window.partitionBy(spec.site).orderBy(*spec.order), False
+        whole = Window.partitionBy(spec.site)
+        return df, whole.orderBy(*spec.order), whole.orderBy(*[F.desc(name) for name in spec.order]), False
     if series.ROW not in df.columns:
         df = series.index_rows(df, [spec.site], spec.order)
     rows = series.frames(df, spec.block_rows, halo)
     if fill:
         carries = series.block_carries(df, [spec.site], fill, spec.block_rows, halo)
         rows = rows.join(carries, [spec.site, series.BLOCK], "left")
-    return rows, Window.partitionBy(spec.site, series.BLOCK).orderBy(series.ROW), True
+    blocks = Window.partitionBy(spec.site, series.BLOCK)
+    return rows, blocks.orderBy(series.ROW), blocks.orderBy(F.desc(series.ROW)), True
 
 
 def _settle(df: DataFrame, blocked: bool) -> DataFrame:
@@ -118,9 +121,9 @@ def add_window_features(
     steps = lag_steps(spec.lookback) if lags else []
     widths = list(spec.windows) if means or deviations else []
     halo = max([0, *steps, *widths]) if lagged else 0
-    rows, ordered, blocked = windowed(df, spec, halo, sparse)
+    rows, ordered, reverse, blocked = windowed(df, spec, halo, sparse)
     if sparse:
-        rows = rows.withColumns({name: _fill(name, ordered, spec.causal, blocked) for name in sparse})
+        rows = rows.withColumns({name: _fill(name, ordered, reverse, spec.causal, blocked) for name in sparse})
     added: list[Column] = []
     if lags:
         added += lag_expressions(lagged, steps, ordered)
@@ -200,7 +203,7 @@ def sequences(
     df: DataFrame, columns: Sequence[str], length: int, spec: FeatureSpec, into: str = "sequence"
 ) -> DataFrame:
     """For each row with ``length`` predecessors: their feature vectors, oldest first, the row left out."""
-    rows, ordered, blocked = windowed(df, spec, length)
+    rows, ordered, _, blocked = windowed(df, spec, length)
     vector = F.array(*[F.col(name).cast("double") for name in columns])
     history = F.collect_list(vector).over(ordered.rowsBetween(-length, -1))
     rows = rows.withColumn(into, history).where(F.size(into) == length)

@@ -23,10 +23,10 @@ def hourly_grid(df: DataFrame, site: str = "site_id", timestamp: str = "timestam
     return span.select(site, F.explode(hours).alias(timestamp))
 
 
-def _interpolated(name: str, at: Column, ordered: Window) -> Column:
+def _interpolated(name: str, at: Column, ordered: Window, reverse: Window) -> Column:
     known = F.when(F.col(name).isNotNull(), F.struct(at.alias("at"), F.col(name).alias("value")))
     before = F.last(known, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(known, ignorenulls=True).over(ordered.rowsBetween(0, Window.unboundedFollowing))
+    after = F.last(known, ignorenulls=True).over(reverse.rowsBetween(Window.unboundedPreceding, 0))
     share = (at - before["at"]) / F.nullif(after["at"] - before["at"], F.lit(0.0))
     between = before["value"] + (after["value"] - before["value"]) * share
     return F.coalesce(F.col(name), between, before["value"], after["value"])
@@ -41,6 +41,6 @@ def interpolate_hourly(
     """
     means = hourly_mean(df, measures, site, timestamp)
     full = hourly_grid(means, site, timestamp).join(means, [site, timestamp], "left")
-    ordered = Window.partitionBy(site).orderBy(timestamp)
+    ordered, reverse = (Window.partitionBy(site).orderBy(way(timestamp)) for way in (F.asc, F.desc))
     at = F.unix_seconds(F.col(timestamp).cast("timestamp")).cast("double")
-    return full.select(site, timestamp, *[_interpolated(name, at, ordered).alias(name) for name in measures])
+    return full.select(site, timestamp, *[_interpolated(name, at, ordered, reverse).alias(name) for name in measures])

@@ -108,12 +108,13 @@ def block_carries(
     parts = indexed.groupBy(*keys, (block * 2 + in_tail).alias("_part")).agg(*known)
     ordered = Window.partitionBy(*keys).orderBy("_part")
     through = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # A frame growing from the far end; a shrinking frame would be computed anew for every row.
+    onward = Window.partitionBy(*keys).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     heads = parts.select(
         *keys,
         "_part",
         *[F.last(f"_last_{c}", ignorenulls=True).over(through).alias(f"_before_{c}") for c in columns],
-        *[F.first(f"_first_{c}", ignorenulls=True).over(onward).alias(f"_after_{c}") for c in columns],
+        *[F.last(f"_first_{c}", ignorenulls=True).over(onward).alias(f"_after_{c}") for c in columns],
     ).where(F.col("_part") % 2 == 0)
     return heads.select(
         *keys,
