@@ -8,6 +8,7 @@ from hazegrid.catalog.aggregates import ALERTS, coming_alerts
 from hazegrid.catalog.joins import PLACES, REPORTS, places, reports, steps
 from hazegrid.catalog.projections import SESSIONS, messages
 from hazegrid.catalog.registry import query
+from hazegrid.catalog.tables import documents as text_table
 from hazegrid.catalog.tables import EV, HOURLY, hourly, observations, table
 from hazegrid.catalog.windows import FORECAST_TAIL
 from hazegrid.functions import risk
@@ -69,7 +70,7 @@ def evidence_corpus(spark, folder):
     """Documents; those labelled good are more credible."""
     labels = table(spark, folder, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     return (
-        table(spark, folder, "documents")
+        text_table(spark, folder)
         .join(labels, "doc_id", "left")
         .select(
             F.col("doc_id").alias("source_id"),

@@ -9,6 +9,7 @@ from hazegrid.catalog.joins import BRIEF, PLACES, places, site_brief
 from hazegrid.catalog.projections import CLEAN, INTENT, TITLE, _with, messages
 from hazegrid.catalog.rankings import ANOMALIES, CORPUS, RANKED, TOKENS, anomalies, evidence_corpus, evidence_queries
 from hazegrid.catalog.registry import query
+from hazegrid.catalog.tables import documents as text_table
 from hazegrid.catalog.tables import COORDINATES, EV, HOURLY, coordinates, hourly, observations, table
 from hazegrid.catalog.windows import FORECAST_TAIL
 from hazegrid.functions import risk, text, vectors
@@ -252,7 +253,7 @@ def h17_source_description(spark, folder):
       UNION ALL SELECT 'c' || conv_id || '-' || turn, {_with(INTENT, 'text')} FROM conversations""",
 )
 def h18_query_intent(spark, folder):
-    documents = table(spark, folder, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    documents = text_table(spark, folder).select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
     turns = table(spark, folder, "conversations").select(
         F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), "text"
     )
@@ -276,7 +277,7 @@ INTENT_CASES = {
     + " FROM i",
 )
 def h19_intent_report(spark, folder):
-    intents = table(spark, folder, "documents").select("doc_id", text.intent(F.col("text")).alias("intent"))
+    intents = text_table(spark, folder).select("doc_id", text.intent(F.col("text")).alias("intent"))
     intent = F.col("intent")
     return intents.select(
         "doc_id",
@@ -312,7 +313,7 @@ def h21_place_mention(spark, folder):
         F.col("n_name").alias("name"), F.col("r_name").alias("country"), F.col("n_nationkey").alias("catalog_rank")
     )
     said = F.concat("text", F.lit(" seen near nation_"), F.col("n_chars") % 60)
-    texts = table(spark, folder, "documents").select("doc_id", said.alias("text"))
+    texts = text_table(spark, folder).select("doc_id", said.alias("text"))
     return retrieval.mentioned_place(texts, catalog).select("doc_id", "place")
 
 

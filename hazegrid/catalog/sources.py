@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hazegrid import schema as S
 from hazegrid.catalog.registry import query
+from hazegrid.catalog.tables import documents as text_table
 from hazegrid.catalog.tables import COORDINATES, EV, HOURLY, SITE_COORDINATES, coordinates, hourly, observations, table
 from hazegrid.operators import quality, series
 from hazegrid.session import shared_path
@@ -143,7 +144,7 @@ def a8_json_documents(spark, folder):
       SELECT doc_id, substring(trim(regexp_replace(text, '[\s\x0b\x1c-\x1f\x{85}\pZ]+', ' ', 'g')), 1, 3500) AS t FROM documents) WHERE t <> ''""",
 )
 def a9_document_chunks(spark, folder):
-    chunks = documents.document_chunks(table(spark, folder, "documents").select("doc_id", "text"))
+    chunks = documents.document_chunks(text_table(spark, folder).select("doc_id", "text"))
     return chunks.select("doc_id", F.length("text").alias("n"), F.md5("text").alias("text"))
 
 

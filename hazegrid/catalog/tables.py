@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazegrid.operators.resample import hourly_mean
+from hazegrid.sources.tables import spread_few_files
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The text table, for work that costs far more than moving a small file's rows."""
+    return spread_few_files(table(spark, folder, "documents"))
+
+
 def observations(spark: SparkSession, folder: str) -> DataFrame:
     """``events`` read as a site series; 7 of 10 rows are labelled train, the others unseen."""
     return table(spark, folder, "events").select(

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazegrid.functions import text as X
 from hazegrid.operators.series import top_rows
@@ -14,6 +17,10 @@ CREDIBILITY_WEIGHT = 0.25
 RANKED_BY_DEPTH = {"quick": 6, "standard": 10, "deep": 14}
 SHORTLIST_BY_DEPTH = {"quick": 4, "standard": 6, "deep": 9}
 PLACE_LIST_LIMIT = 1_000
+# Entries (query, word) an index may have to be sent to every task: some 20 MB.
+INDEX_LIMIT = 500_000
+# Cells of the count table a task fills at a time.
+TASK_CELLS = 4_000_000
 
 
 def _by_depth(limits: dict[str, int], depth):
@@ -21,16 +28,17 @@ def _by_depth(limits: dict[str, int], depth):
     return F.when(depth == "quick", limits["quick"]).when(depth == "standard", limits["standard"]).otherwise(other)
 
 
-def rank_evidence(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+def rank_evidence(queries: DataFrame, corpus: DataFrame, index_limit: int = INDEX_LIMIT) -> DataFrame:
     """Top sources per query by lexical similarity plus a quarter of the credibility.
 
     ``queries``: (query_id, text, depth); ``corpus``: (source_id, text, credibility). Result: (query_id,
     source_id, similarity, score, rank), ties by source_id.
 
-    Shared words are counted over an inverted index of the query words, never over all pairs. The corpus is
-    laid out by source once, so a source's counts are formed where its words are, and only each task's best
-    rows per query are moved. Sources sharing no word with a query score by credibility alone; of those
-    only the overall most credible ones can appear, and they are added as one short list.
+    Shared words are counted over an inverted index of the query words, never over all pairs. An index of up
+    to ``index_limit`` entries (counted first) goes to every task, the corpus stays where it is read, and
+    only each task's best rows per query are moved. A larger index is joined by word instead. Sources
+    sharing no word with a query score by credibility alone; of those only the overall most credible ones
+    can appear, and they are added as one short list.
     """
     most = max(RANKED_BY_DEPTH.values())
     limits = queries.select("query_id", _by_depth(RANKED_BY_DEPTH, F.col("depth")).alias("_limit"))
@@ -40,20 +48,11 @@ def rank_evidence(queries: DataFrame, corpus: DataFrame) -> DataFrame:
         ),
         "query-words",
     )
-    sources = corpus.select("source_id", "credibility", X.tokens(F.col("text")).alias("_words")).repartition("source_id")
-    spread = sources.select(
-        "source_id", "credibility", F.size("_words").alias("_source_size"), F.explode("_words").alias("_word")
-    )
-    shared = spread.join(words, "_word").groupBy("source_id", "query_id").agg(
-        F.count(F.lit(1)).cast("double").alias("_shared"),
-        F.first("credibility").alias("credibility"),
-        F.first("_source_size").alias("_source_size"),
-        F.first("_query_size").alias("_query_size"),
-    )
-    similarity = X.overlap_similarity(F.col("_shared"), F.col("_query_size"), F.col("_source_size"))
-    matched = shared.select("query_id", "source_id", similarity.alias("similarity"), "credibility").withColumn(
-        "score", F.col("similarity") + F.col("credibility") * CREDIBILITY_WEIGHT
-    )
+    sources = corpus.select("source_id", "credibility", X.tokens(F.col("text")).alias("_words"))
+    if words.count() <= index_limit:
+        matched = _matched_in_place(words, sources, most)
+    else:
+        matched = _matched_by_join(words, sources)
     order = [F.desc("score"), F.asc("source_id")]
     best = top_rows(matched, ["query_id"], order, most, ["source_id"])
     credible = corpus.select("source_id", "credibility").orderBy(F.desc("credibility"), F.asc("source_id")).limit(most)
@@ -62,7 +61,6 @@ def rank_evidence(queries: DataFrame, corpus: DataFrame) -> DataFrame:
         "query_id",
         "source_id",
         F.lit(0.0).alias("similarity"),
-        "credibility",
         (F.col("credibility") * CREDIBILITY_WEIGHT).alias("score"),
     )
     candidates = best.unionByName(unmatched).groupBy("query_id", "source_id").agg(
@@ -73,6 +71,103 @@ def rank_evidence(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return ranked.join(limits, "query_id").where(F.col("rank") <= F.col("_limit")).drop("_limit")
 
 
+def _matched_by_join(words: DataFrame, sources: DataFrame) -> DataFrame:
+    """Scores of all pairs sharing a word, by a join on the word; adaptive execution splits frequent words."""
+    spread = sources.select(
+        "source_id", "credibility", F.size("_words").alias("_source_size"), F.explode("_words").alias("_word")
+    )
+    shared = spread.join(words, "_word").groupBy("source_id", "query_id").agg(
+        F.count(F.lit(1)).cast("double").alias("_shared"),
+        F.first("credibility").alias("credibility"),
+        F.first("_source_size").alias("_source_size"),
+        F.first("_query_size").alias("_query_size"),
+    )
+    similarity = X.overlap_similarity(F.col("_shared"), F.col("_query_size"), F.col("_source_size"))
+    return shared.select(
+        "query_id",
+        "source_id",
+        similarity.alias("similarity"),
+        (similarity + F.col("credibility") * CREDIBILITY_WEIGHT).alias("score"),
+    )
+
+
+def _matched_in_place(words: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+    """Scores of each task's ``most`` best matching sources per query."""
+    spark = words.sparkSession
+    entries = words.toPandas()  # at most index_limit rows, checked by the caller
+    query_ids, query = np.unique(entries["query_id"].to_numpy(), return_inverse=True)
+    word, vocabulary = pd.factorize(entries["_word"])
+    by_word = np.argsort(word, kind="stable")
+    index = {
+        "ids": query_ids,
+        "sizes": np.bincount(query, minlength=len(query_ids)).astype(float),
+        "words": {text: number for number, text in enumerate(vocabulary)},
+        "starts": np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(vocabulary)))]).astype(np.int64),
+        "queries": query[by_word],
+    }
+    shared_index = spark.sparkContext.broadcast(index)
+
+    def best(batches):
+        return _best_of_task(batches, shared_index.value, most)
+
+    fields = {**{f.name: f for f in sources.schema.fields}, **{f.name: f for f in words.schema.fields}}
+    schema = T.StructType(
+        [fields["query_id"], fields["source_id"], T.StructField("similarity", T.DoubleType()), T.StructField("score", T.DoubleType())]
+    )
+    return sources.mapInPandas(best, schema)
+
+
+def _shared_counts(source, number, starts, queries, shape):
+    """Words shared per (source, query): every known word of a source adds one to the queries holding it."""
+    lengths = starts[number + 1] - starts[number]
+    offsets = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    held_by = queries[np.repeat(starts[number], lengths) + offsets]
+    cells = np.repeat(source, lengths) * shape[1] + held_by
+    return np.bincount(cells, minlength=shape[0] * shape[1]).reshape(shape)
+
+
+def _best_of_task(batches, index, most):
+    columns = ["query_id", "source_id", "similarity", "score"]
+    kept = pd.DataFrame(columns=columns)
+    queries = len(index["ids"])
+    step = max(1, TASK_CELLS // max(queries, 1))
+    for batch in batches:
+        for start in range(0, len(batch), step):
+            part = batch.iloc[start : start + step].reset_index(drop=True)
+            sizes = part["_words"].map(len).to_numpy()
+            if queries == 0 or sizes.sum() == 0:
+                continue
+            number = pd.Series(np.concatenate(part["_words"].to_list())).map(index["words"]).to_numpy(float)
+            known = ~np.isnan(number)
+            source = np.repeat(np.arange(len(part)), sizes)[known]
+            shape = (len(part), queries)
+            counts = _shared_counts(source, number[known].astype(np.int64), index["starts"], index["queries"], shape)
+            row, column = np.nonzero(counts)
+            norm = np.sqrt(index["sizes"])[column] * np.sqrt(sizes.astype(float))[row]
+            similarity = counts[row, column] / norm
+            score = similarity + part["credibility"].to_numpy(float)[row] * CREDIBILITY_WEIGHT
+            # Only scores reaching the current place ``most`` of their query can change the result.
+            floor = np.full(queries, -np.inf)
+            if len(kept):
+                full = kept.groupby("_query")["score"].agg(["size", "min"])
+                full = full[full["size"] >= most]
+                floor[full.index.to_numpy(int)] = full["min"].to_numpy()
+            good = score >= floor[column]
+            found = pd.DataFrame(
+                {
+                    "_query": column[good],
+                    "source_id": part["source_id"].to_numpy()[row[good]],
+                    "similarity": similarity[good],
+                    "score": score[good],
+                }
+            )
+            merged = pd.concat([kept, found]) if len(kept) else found
+            merged = merged.sort_values(["_query", "score", "source_id"], ascending=[True, False, True])
+            kept = merged.groupby("_query").head(most)
+    if len(kept):
+        yield kept.assign(query_id=index["ids"][kept["_query"].to_numpy(int)])[columns]
+
+
 def shortlist(ranked: DataFrame, queries: DataFrame, pins: DataFrame) -> DataFrame:
     """First sources per query; a pinned source that was ranked but missed the cut moves to first place.
 
@@ -113,9 +208,12 @@ def mentioned_place(texts: DataFrame, catalog: DataFrame, text: str = "text", li
         return _mentioned_by_index(texts, lowered, text)
     ordered = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("o"), "catalog_rank", "needle", "label")))
     places = lowered.agg(ordered.alias("p")).select("p").scalar()
-    listed = texts.withColumns({"_places": places, "_lowered": F.lower(text)})
-    hits = F.filter("_places", lambda place: F.contains(F.col("_lowered"), place["needle"]))
-    return listed.withColumn("place", F.get(hits, F.lit(0))["label"]).drop("_places", "_lowered")
+    # The lowered text is bound as a lambda argument, so it is made once per row and not once per place.
+    first = F.transform(
+        F.array(F.lower(text)),
+        lambda lowered_text: F.get(F.filter("_places", lambda place: F.contains(lowered_text, place["needle"])), F.lit(0)),
+    )
+    return texts.withColumn("_places", places).withColumn("place", F.get(first, F.lit(0))["label"]).drop("_places")
 
 
 def _mentioned_by_index(texts: DataFrame, lowered: DataFrame, text: str) -> DataFrame:

@@ -77,6 +77,16 @@ def read_json_document(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path).first()["value"])
 
 
+def spread_few_files(df: DataFrame) -> DataFrame:
+    """Rows of a table of few files over all cores.
+
+    A file may be one row group, which one task reads and works on alone. A table of at least as many files
+    as there are cores is read in parallel as it is and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 class ProfileBook:
     """Named profiles, each a folder of tables; one is active and seen through stable view names."""
 
