@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hazegrid.catalog.registry import query
-from hazegrid.catalog.tables import EV, hourly, HOURLY, observations, table
+from hazegrid.catalog.tables import EV, observations, table
 from hazegrid.functions import calendar
 from hazegrid.operators import alerts, features, forecast, sessions
 from hazegrid.sources import tables as stored
@@ -171,7 +171,7 @@ def b11_session_search(spark, folder):
 
 @query(
     "a5_scan_site",
-    f"""WITH {HOURLY} SELECT "timestamp", site_id, o3 FROM hourly WHERE site_id = 'view'""",
+    f"""WITH {EV} SELECT "timestamp", site_id, o3 FROM ev WHERE site_id = 'view' AND dataset_split = 'unseen'""",
 )
 def a5_scan_site(spark, folder):
-    return stored.scan_site(hourly(spark, folder), "view", columns=["o3", "site_id"])
+    return stored.scan_site(observations(spark, folder), "view", "unseen", ["o3", "site_id"])

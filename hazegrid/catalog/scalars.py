@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hazegrid.catalog.joins import BRIEF, PLACES, places, site_brief
@@ -14,6 +13,7 @@ from hazegrid.catalog.tables import COORDINATES, EV, HOURLY, coordinates, hourly
 from hazegrid.catalog.windows import FORECAST_TAIL
 from hazegrid.functions import risk, text, vectors
 from hazegrid.operators import alerts, brief, forecast, joins, network, quality, retrieval, series
+from hazegrid.session import materialize
 
 
 @query(
@@ -44,9 +44,9 @@ def h2_threshold_alerts(spark, folder):
 )
 def h3_confidence_band(spark, folder):
     df = observations(spark, folder)
-    sigmas = df.groupBy("site_id").agg(F.round(F.stddev_pop("o3"), 6).alias("sigma"))
+    sigmas = materialize(df.groupBy("site_id").agg(F.round(F.stddev_pop("o3"), 6).alias("sigma")), "sigmas")
     lower, upper = risk.band(F.col("o3"), F.col("sigma"))
-    return df.join(F.broadcast(sigmas), "site_id").select(
+    return df.join(sigmas, "site_id").select(
         "event_id", F.round(lower, 6).alias("lower"), F.round(upper, 6).alias("upper")
     )
 
@@ -71,7 +71,8 @@ def with_baseline(spark, folder):
     df = observations(spark, folder)
     means = forecast.baseline_averages(df, order=("timestamp", "event_id")).where("site_id <> 'error'")
     means = means.withColumns({name: F.round(name, 6) for name in ("o3_avg", "no2_avg")})
-    return df.join(means, "site_id", "left")
+    # Written, so that the join sees how small it is and leaves the readings where they are.
+    return df.join(materialize(means, "means"), "site_id", "left")
 
 
 BASED = f"""{EV}, means AS (SELECT site_id AS s, round(avg(o3), 6) AS o3_avg, round(avg(no2), 6) AS no2_avg FROM (
@@ -234,7 +235,7 @@ def h16_embedding_similarity(spark, folder):
         "label", F.col("embedding").alias("anchor"), F.col("size").alias("anchor_size")
     )
     similarity = vectors.cosine(F.col("embedding"), F.col("anchor"), F.col("size"), F.col("anchor_size"))
-    return stored.join(anchors, "label").select("vec_id", F.round(similarity, 6).alias("similarity"))
+    return stored.join(materialize(anchors, "anchors"), "label").select("vec_id", F.round(similarity, 6).alias("similarity"))
 
 
 @query(

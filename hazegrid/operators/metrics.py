@@ -25,7 +25,7 @@ def regression_metrics(
     group = list(group)
     means = materialize(pairs.groupBy(*group).agg(F.avg(truth).alias("_mean")), "means")
     error = F.col(prediction) - F.col(truth)
-    centred = pairs.join(means, group) if group else pairs.crossJoin(means)
+    centred = pairs.join(means, group) if group else pairs.withColumn("_mean", means.select("_mean").scalar())
     sums = centred.groupBy(*group).agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum(error * error).alias("_sse"),
@@ -117,7 +117,6 @@ def exact_medians(df: DataFrame, columns: Sequence[str], group: Sequence[str] =
     counts = inside.groupBy(*keys, "n", bucket.cast("bigint").alias("_bucket"), kept.alias("_value")).agg(
         F.count(F.lit(1)).alias("_count")
     )
-    counts = materialize(counts, "counts")
     by_key = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     lower, upper = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
     buckets = (

@@ -17,6 +17,7 @@ CREDIBILITY_WEIGHT = 0.25
 RANKED_BY_DEPTH = {"quick": 6, "standard": 10, "deep": 14}
 SHORTLIST_BY_DEPTH = {"quick": 4, "standard": 6, "deep": 9}
 PLACE_LIST_LIMIT = 1_000
+NAME_HEAD = 6
 # Entries (query, word) an index may have to be sent to every task: some 20 MB.
 INDEX_LIMIT = 500_000
 # Cells of the count table a task fills at a time.
@@ -217,21 +218,21 @@ def mentioned_place(texts: DataFrame, catalog: DataFrame, text: str = "text", li
 
 
 def _mentioned_by_index(texts: DataFrame, lowered: DataFrame, text: str) -> DataFrame:
-    """Match through the names' first three letters: only texts holding them are compared with a name."""
-    head = 3
-    keyed = texts.withColumn("_id", F.xxhash64(text)).withColumn("_lowered", F.lower(text))
-    distinct = keyed.select("_id", "_lowered").dropDuplicates(["_id", "_lowered"])
-    places = lowered.withColumn("_head", F.substring("needle", 1, head))
-    sizes = F.array(*[F.lit(n) for n in range(1, head + 1)])
+    """Match through the names' first letters (up to six), as an equality join.
+
+    Letter groups of the texts move without the texts; those found among the names give candidates, and
+    only for these a text is looked at again.
+    """
+    keyed = texts.withColumns({"_id": F.xxhash64(text), "_lowered": F.lower(text)})
+    places = lowered.withColumn("_head", F.substring("needle", 1, NAME_HEAD))
+    sizes = F.array(*[F.lit(n) for n in range(1, NAME_HEAD + 1)])
     starts = F.sequence(F.lit(1), F.greatest(F.length("_lowered"), F.lit(1)))
-    grams = F.array_distinct(
-        F.flatten(
-            F.transform(sizes, lambda n: F.transform(starts, lambda at: F.substring(F.col("_lowered"), at, n)))
-        )
-    )
+    groups = F.flatten(F.transform(sizes, lambda n: F.transform(starts, lambda at: F.substring(F.col("_lowered"), at, n))))
+    heads = keyed.select("_id", F.explode(F.array_distinct(groups)).alias("_head")).distinct()
+    candidates = heads.join(places, "_head").drop("_head")
     hits = (
-        distinct.withColumn("_head", F.explode(grams))
-        .join(places, "_head")
+        keyed.select("_id", "_lowered")
+        .join(candidates, "_id")
         .where(F.contains("_lowered", "needle"))
         .groupBy("_id", "_lowered")
         .agg(F.min(F.struct((-F.col("size")).alias("o"), "catalog_rank", "label")).alias("_best"))

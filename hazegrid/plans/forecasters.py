@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from hazegrid import schema as S
 from hazegrid.operators.features import FeatureSpec, sequences
 from hazegrid.operators.series import latest_rows
-from hazegrid.plans.preprocess import column_statistics, scale_stage, scaled_names
+from hazegrid.plans.preprocess import column_statistics, mean_and_deviation, scale_stage, scaled_names
 from hazegrid.session import materialize
 from hazegrid.sources.tables import read_json_document, write_json_document
 
@@ -122,7 +122,7 @@ class SequenceForecaster:
         stages = [scale_stage(column_statistics(train, self.feature_columns))]
         self.model = PipelineModel(stages)
         self.target_scale = {
-            name: (mean, deviation or 1.0) for name, (_, mean, deviation) in column_statistics(train, self.targets).items()
+            name: (mean, deviation or 1.0) for name, (mean, deviation) in mean_and_deviation(train, self.targets).items()
         }
         windows = self._windows(train)
         labels = [

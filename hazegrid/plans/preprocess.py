@@ -19,13 +19,28 @@ def column_statistics(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[
     Two jobs over the table; what reaches the driver is three numbers per column.
     """
     medians = {row["column"]: row["median"] for row in exact_medians(df, columns).collect()}
-    imputed = {name: F.coalesce(F.col(name).cast("double"), F.lit(medians.get(name, 0.0))) for name in columns}
+    return _spread(df, columns, medians)
+
+
+def mean_and_deviation(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """``column -> (mean, population deviation)`` of the known values; one job."""
+    return {name: (mean, deviation) for name, (_, mean, deviation) in _spread(df, columns, None).items()}
+
+
+def _spread(df: DataFrame, columns: Sequence[str], medians: dict[str, float] | None):
+    def value(name: str):
+        known = F.col(name).cast("double")
+        return known if medians is None else F.coalesce(known, F.lit(medians.get(name, 0.0)))
+
     cells = [
-        F.struct(F.lit(name).alias("column"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"))
-        for name, value in imputed.items()
+        F.struct(F.lit(name).alias("column"), F.avg(value(name)).alias("mean"), F.stddev_pop(value(name)).alias("deviation"))
+        for name in columns
     ]
     found = df.agg(F.array(*cells).alias("cells")).first()["cells"]
-    return {cell["column"]: (medians.get(cell["column"], 0.0), cell["mean"] or 0.0, cell["deviation"] or 0.0) for cell in found}
+    centres = medians or {}
+    return {
+        cell["column"]: (centres.get(cell["column"], 0.0), cell["mean"] or 0.0, cell["deviation"] or 0.0) for cell in found
+    }
 
 
 def scale_stage(statistics: dict[str, tuple[float, float, float]]) -> SQLTransformer:
