@@ -25,7 +25,7 @@ class FeatureSpec:
     site: str = S.SITE
     timestamp: str = S.TIMESTAMP
     tie_break: Sequence[str] = (S.SPLIT,)
-    lag_columns: Sequence[str] = tuple(S.FORECAST_COLUMNS)
+    lag_columns: Sequence[str] = (*S.FORECAST_COLUMNS, *S.EXTERNAL_COLUMNS)
     sparse_columns: Sequence[str] = (*S.SATELLITE_COLUMNS, *S.EXTERNAL_COLUMNS)
     targets: Sequence[str] = tuple(S.TARGET_COLUMNS)
     lookback: int = S.MAX_LOOKBACK

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +26,9 @@ INDEX_LIMIT = 500_000
 # Cells of the count table a task fills at a time.
 TASK_CELLS = 4_000_000
 
+# Task functions of this module travel with the job, so executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _by_depth(limits: dict[str, int], depth):
     other = limits["deep"]

@@ -78,10 +78,10 @@ def train(
     """
     spark = dataset.sparkSession
     if validate:
-        for split in (S.TRAIN, S.UNSEEN):
-            report = quality.validation_report(
-                features.split_rows(dataset, split), [spec.site, spec.timestamp, *spec.lag_columns]
-            ).first()
+        inputs = [name for name in spec.lag_columns if name not in S.EXTERNAL_COLUMNS]
+        for split, targets in ((S.TRAIN, spec.targets), (S.UNSEEN, ())):
+            required = [spec.site, spec.timestamp, *inputs, *targets]
+            report = quality.validation_report(features.split_rows(dataset, split), required).first()
             if not report["passed"]:
                 raise ValueError({split: report["issues"]})
     write_features(features.build_features(dataset, spec), f"{root}/features")

@@ -13,7 +13,7 @@ DOCUMENT_CREDIBILITY = 0.82
 
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per file with its whole text."""
-    files = spark.read.option("wholetext", "true").text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_name").alias("source_id"), F.col("value").alias("text"))
 
 
