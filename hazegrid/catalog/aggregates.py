@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hazegrid.catalog.joins import model_errors, MODEL_ERRORS
 from hazegrid.catalog.registry import query
 from hazegrid.catalog.tables import COORDINATES, EV, HOURLY, coordinates, hourly, observations, table
 from hazegrid.catalog.windows import FORECAST_TAIL

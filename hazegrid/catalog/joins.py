@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hazegrid.catalog.projections import SESSIONS, messages
 from hazegrid.catalog.registry import query
-from hazegrid.catalog.tables import COORDINATES, EV, HOURLY, coordinates, hourly, observations, table
+from hazegrid.catalog.tables import COORDINATES, EV, HOURLY, coordinates, hourly, observations, stored_hours, table
 from hazegrid.catalog.windows import FORECAST_TAIL
 from hazegrid.operators import alerts, brief, forecast, joins, network, quality, resample, series, sessions
 
@@ -278,7 +278,7 @@ def c10_hotspot_comparison(spark, folder):
 
 
 def site_brief(spark, folder):
-    hours = hourly(spark, folder)
+    hours = stored_hours(spark, folder)
     df = joins.with_coordinates(observations(spark, folder), coordinates(spark))
     summary = quality.site_summary(df).select("site_id", "latitude", "longitude", "train_rows")
     points = forecast.lead_hours(series.latest_rows(hours, 24))

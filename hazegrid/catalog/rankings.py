@@ -9,10 +9,11 @@ from hazegrid.catalog.joins import PLACES, REPORTS, places, reports, steps
 from hazegrid.catalog.projections import SESSIONS, messages
 from hazegrid.catalog.registry import query
 from hazegrid.catalog.tables import documents as text_table
-from hazegrid.catalog.tables import EV, HOURLY, hourly, observations, table
+from hazegrid.catalog.tables import EV, hourly, observations, table
 from hazegrid.catalog.windows import FORECAST_TAIL
 from hazegrid.functions import risk
-from hazegrid.operators import alerts, forecast, network, resample, retrieval, series, sessions
+from hazegrid.operators import alerts, forecast, network, retrieval, series, sessions
+from hazegrid.session import materialize
 
 
 @query(
@@ -115,7 +116,7 @@ def f5_evidence_ranking(spark, folder):
 )
 def f6_pinned_shortlist(spark, folder):
     asked = evidence_queries(spark, folder)
-    ranked = retrieval.rank_evidence(asked, evidence_corpus(spark, folder))
+    ranked = materialize(retrieval.rank_evidence(asked, evidence_corpus(spark, folder)), "ranked")
     pins = ranked.where(F.col("rank") == F.col("query_id") % 14 + 1).select("query_id", "source_id")
     return retrieval.shortlist(ranked, asked, pins).select("query_id", "source_id", "place")
 
@@ -259,7 +260,6 @@ def f13_latest_query(spark, folder):
 def entry_site_alerts(spark, folder):
     """Hourly means, last 12 hours per site, thresholds, risk, canonical order."""
     points = series.latest_rows(hourly(spark, folder), 12)
-    found = alerts.threshold_alerts(points, 60.0, 50.0)
-    labels = points.select("site_id", "timestamp", risk.risk_label(F.col("o3"), F.col("no2")).alias("risk"))
-    ordered = alerts.ordered_alerts(found.join(labels, ["site_id", "timestamp"]))
+    labelled = points.withColumn("risk", risk.risk_label(F.col("o3"), F.col("no2")))
+    ordered = alerts.ordered_alerts(alerts.threshold_alerts(labelled, 60.0, 50.0, keep=["risk"]))
     return ordered.select("site_id", "timestamp", "pollutant", "severity", "value", "threshold", "risk")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hazegrid.catalog.joins import BRIEF, PLACES, places, site_brief
-from hazegrid.catalog.projections import CLEAN, INTENT, TITLE, _with, messages
+from hazegrid.catalog.joins import BRIEF, PLACES, places
+from hazegrid.catalog.projections import CLEAN, INTENT, TITLE, _with
 from hazegrid.catalog.rankings import ANOMALIES, CORPUS, RANKED, TOKENS, anomalies, evidence_corpus, evidence_queries
 from hazegrid.catalog.registry import query
 from hazegrid.catalog.tables import documents as text_table
-from hazegrid.catalog.tables import COORDINATES, EV, HOURLY, coordinates, hourly, observations, table
+from hazegrid.catalog.tables import EV, coordinates, hourly, observations, stored_hours, table
 from hazegrid.catalog.windows import FORECAST_TAIL
 from hazegrid.functions import risk, text, vectors
 from hazegrid.operators import alerts, brief, forecast, joins, network, quality, retrieval, series
@@ -355,7 +355,7 @@ def h22_json_columns(spark, folder):
       FROM wide w JOIN hist h ON w.site_id = h.site_id LEFT JOIN lines l ON w.site_id = l.site_id""",
 )
 def h23_site_texts(spark, folder):
-    hours = hourly(spark, folder)
+    hours = stored_hours(spark, folder)
     df = joins.with_coordinates(observations(spark, folder), coordinates(spark))
     summary = quality.site_summary(df)
     totals = quality.dataset_totals(df, ["no2"], ["o3"])

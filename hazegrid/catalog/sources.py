@@ -8,7 +8,7 @@ from hazegrid import schema as S
 from hazegrid.catalog.registry import query
 from hazegrid.catalog.tables import documents as text_table
 from hazegrid.catalog.tables import COORDINATES, EV, HOURLY, SITE_COORDINATES, coordinates, hourly, observations, table
-from hazegrid.operators import quality, series
+from hazegrid.operators import quality
 from hazegrid.session import shared_path
 from hazegrid.sources import documents, external, sites, tables
 

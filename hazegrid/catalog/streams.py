@@ -11,7 +11,6 @@ from hazegrid.catalog.sources import payloads
 from hazegrid.catalog.tables import EV, HOURLY, observations, table
 from hazegrid.operators import series
 from hazegrid.session import shared_path
-from hazegrid.sources import external
 from hazegrid.streaming import live
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazegrid.operators.resample import hourly_mean
+from hazegrid.session import materialize
 from hazegrid.sources.tables import spread_few_files
 
 
@@ -36,6 +37,11 @@ def hourly(spark: SparkSession, folder: str) -> DataFrame:
     return means.withColumns({"o3": F.round("o3", 6), "no2": F.round("no2", 6)})
 
 
+def stored_hours(spark: SparkSession, folder: str) -> DataFrame:
+    """The hourly table written once, for queries that read it several times."""
+    return materialize(hourly(spark, folder), "hours")
+
+
 EV = """ev AS (
   SELECT event_id, event_type AS site_id, ts AS "timestamp", value AS o3,
          CAST(json_extract_string(props, '$.k') AS DOUBLE) AS no2,

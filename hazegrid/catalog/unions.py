@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hazegrid.catalog.projections import SESSIONS, messages
 from hazegrid.catalog.registry import query
-from hazegrid.catalog.tables import EV, HOURLY, hourly, observations, table
+from hazegrid.catalog.tables import EV, hourly, observations, table
 from hazegrid.catalog.windows import FORECAST_TAIL
 from hazegrid.operators import forecast, joins, network, series, sessions
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hazegrid.catalog.registry import query
-from hazegrid.catalog.tables import EV, HOURLY, hourly, observations
+from hazegrid.catalog.tables import EV, HOURLY, hourly, observations, stored_hours
 from hazegrid.operators import features, forecast, quality, resample, series
 from hazegrid.operators.features import FeatureSpec
 
@@ -215,7 +215,7 @@ def e11_reanchored_forecast(spark, folder):
       round(max(CASE WHEN back = 1 THEN no2 END) - avg(no2), 6) AS no2_delta FROM ranked GROUP BY site_id""",
 )
 def e12_baseline_deltas(spark, folder):
-    hours = hourly(spark, folder)
+    hours = stored_hours(spark, folder)
     deltas = forecast.baseline_deltas(series.latest_rows(hours, 1), forecast.baseline_averages(hours))
     return deltas.select(
         "site_id", F.round("o3_delta", 6).alias("o3_delta"), F.round("no2_delta", 6).alias("no2_delta")

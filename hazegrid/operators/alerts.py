@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +36,14 @@ def threshold_alerts(
     no2_threshold: float = NO2_THRESHOLD,
     site: str = S.SITE,
     timestamp: str = S.TIMESTAMP,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per site, time and pollutant at or above its threshold. Stateless, so it also runs on streams."""
+    """One row per site, time and pollutant at or above its threshold. Stateless, so it also runs on streams.
+
+    ``keep`` names further columns of the points to carry along.
+    """
     both = F.array(_candidate("O3", 0, "o3", o3_threshold), _candidate("NO2", 1, "no2", no2_threshold))
-    rows = points.select(site, timestamp, F.inline(both)).where(F.col("value") >= F.col("threshold"))
+    rows = points.select(site, timestamp, *keep, F.inline(both)).where(F.col("value") >= F.col("threshold"))
     return rows.withColumn("severity", risk.alert_severity(F.col("value"), F.col("threshold")))
 
 
