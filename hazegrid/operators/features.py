@@ -186,8 +186,13 @@ def chronological_split(
     site: str = S.SITE,
     order: Sequence[str] = (S.TIMESTAMP, S.SPLIT),
     label: str = "part",
+    keep_rows: bool = False,
 ) -> DataFrame:
-    """Label rows train / validation / test by position in their site, without a window over a site."""
+    """Label rows train / validation / test by position in their site, without a window over a site.
+
+    With ``keep_rows`` every row also keeps its position and count within its own part, so that windows over a
+    whole part need no second sort.
+    """
     indexed = df if series.ROW in df.columns else series.index_rows(df, [site], order)
     test_start = F.floor(F.col(series.ROWS) * F.lit(1 - test_fraction))
     valid_start = F.floor(F.col(series.ROWS) * F.lit(1 - test_fraction - validation_fraction))
@@ -196,7 +201,12 @@ def chronological_split(
         .when(F.col(series.ROW) < test_start, "validation")
         .otherwise("test")
     )
-    return indexed.withColumn(label, part).drop(series.ROW, series.ROWS)
+    labelled = indexed.withColumn(label, part)
+    if not keep_rows:
+        return labelled.drop(series.ROW, series.ROWS)
+    start = F.when(part == "train", F.lit(0)).when(part == "validation", valid_start).otherwise(test_start)
+    end = F.when(part == "train", valid_start).when(part == "validation", test_start).otherwise(F.col(series.ROWS))
+    return labelled.withColumns({series.ROW: F.col(series.ROW) - start, series.ROWS: end - start})
 
 
 def sequences(

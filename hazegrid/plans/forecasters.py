@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hazegrid import schema as S
 from hazegrid.operators.features import FeatureSpec, sequences
-from hazegrid.operators.series import latest_rows
+from hazegrid.operators.series import ROW, ROWS, latest_rows
 from hazegrid.plans.preprocess import column_statistics, mean_and_deviation, scale_stage, scaled_names
 from hazegrid.session import materialize
 from hazegrid.sources.tables import read_json_document, write_json_document
@@ -24,6 +24,11 @@ SEED = 42
 PREDICTION = "prediction_"
 
 
+def _without_positions(df: DataFrame) -> list[str]:
+    """Row positions hold for a whole table only and end with the windows over it."""
+    return [name for name in df.columns if name not in (ROW, ROWS)]
+
+
 class Forecaster(Protocol):
     """What a model must offer to be trained, scored, chosen and saved by the jobs in this package."""
 
@@ -110,7 +115,7 @@ class SequenceForecaster:
         spec = FeatureSpec(tie_break=self.tie_break)
         built = sequences(rows, scaled_names(self.feature_columns), self.lookback, spec, into="_steps")
         flat = array_to_vector(F.flatten("_steps")).alias("_vector")
-        return built.select(*df.columns, flat)
+        return built.select(*_without_positions(df), flat)
 
     def _regressor(self, target: str):
         options = {"featuresCol": "_vector", "labelCol": f"_scaled_{target}", "predictionCol": f"_fit_{target}"}
@@ -145,7 +150,7 @@ class SequenceForecaster:
             (F.col(f"_fit_{name}") * deviation + mean).alias(f"{PREDICTION}{name}")
             for name, (mean, deviation) in self.target_scale.items()
         ]
-        return rows.select(*df.columns, *unscaled)
+        return rows.select(*_without_positions(df), *unscaled)
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/pipeline")

@@ -89,7 +89,7 @@ def train(
     excluded = [*spec.excluded, *spec.tie_break]
     columns = features.feature_columns(train_rows, spec.targets, excluded)
     parts = features.chronological_split(
-        train_rows, config.validation_fraction, config.test_fraction, spec.site, spec.order
+        train_rows, config.validation_fraction, config.test_fraction, spec.site, spec.order, keep_rows=True
     )
     parts.write.mode("overwrite").partitionBy("part").parquet(f"{root}/parts")
     parts = spark.read.parquet(f"{root}/parts")

@@ -87,6 +87,14 @@ def test_split_cuts(spark):
     assert [r["part"] for r in parts] == ["train"] * 4 + ["validation"] + ["test"] * 2
 
 
+def test_split_keeps_positions(spark):
+    df = spark.range(14).select((F.col("id") % 2).alias("site_id"), F.col("id").alias("timestamp"), F.lit("train").alias("dataset_split"))
+    parts = features.chronological_split(df, 0.15, 0.15, keep_rows=True).where("site_id = 1").orderBy("timestamp").collect()
+    assert [(r["part"][0], r["_row"], r["_rows"]) for r in parts] == [
+        ("t", 0, 4), ("t", 1, 4), ("t", 2, 4), ("t", 3, 4), ("v", 0, 1), ("t", 0, 2), ("t", 1, 2)
+    ]
+
+
 def test_calendar(spark):
     row = spark.sql("SELECT TIMESTAMP_NTZ'2024-12-29 06:00:00' AS timestamp").select(
         *[c.alias(n) for n, c in calendar_columns().items()], iso_text(F.col("timestamp")).alias("t")
