@@ -63,16 +63,16 @@ def compare(spark, con, folder, function, sql):
 
 
 if __name__ == "__main__":
-    from hazegrid.catalog import all_oracles, all_queries
+    import __spark_entry__ as contract
     from hazegrid.session import build_session
 
     folder, wanted = sys.argv[1], sys.argv[2:]
     spark = build_session(cpus=8)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
-    oracles = all_oracles()
+    oracles = contract.oracle_sql()
     bad = 0
-    for name, function in all_queries().items():
+    for name, function in contract.queries().items():
         if wanted and not any(name == w or name.startswith(w + "_") for w in wanted):
             continue
         start = time.time()
