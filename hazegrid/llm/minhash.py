@@ -219,7 +219,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefix_rows(open_sets: DataFrame, percent: int) -> DataFrame:
-    """``token, node, part`` for the rarest shingles of each set: as many as a similar set must share one of.
+    """``token, node, component, size, at`` for the rarest shingles of each set, of which similar sets share one.
 
     Rarity is counted over the open sets; ties go by the shingle itself, so all sets use one order. Only the
     shingle and its count are regrouped per node, a node's list is as long as its own text.
@@ -232,9 +232,8 @@ def _prefix_rows(open_sets: DataFrame, percent: int) -> DataFrame:
     )
     size = F.size("by_df")
     keep = size - F.ceil(size * percent / 100).cast("int") + 1
-    return ranked.select("node", "component", F.explode(F.slice("by_df", F.lit(1), keep)).alias("t")).where("t.df > 1").select(
-        F.col("t.token").alias("token"), "node", "component"
-    )
+    rows = ranked.select("node", "component", size.alias("size"), F.posexplode(F.slice("by_df", F.lit(1), keep)).alias("at", "t"))
+    return rows.where("t.df > 1").select(F.col("t.token").alias("token"), "node", "component", "size", "at")
 
 
 def _open_pairs(rows: DataFrame, buckets: DataFrame, parts: DataFrame, load_sets, percent: int) -> DataFrame:
@@ -260,8 +259,13 @@ def _open_pairs(rows: DataFrame, buckets: DataFrame, parts: DataFrame, load_sets
         F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")
     ).where("parts > 1").select("token", "main")
     crossing = prefix.join(largest, "token")
-    rest = crossing.where("component <> main").select("token", F.col("node").alias("other"), F.col("component").alias("part"))
-    return _ordered(crossing.join(rest, "token").where("component <> part").select("node", "other")).distinct()
+    rest = crossing.where("component <> main").select(
+        "token", F.col("node").alias("other"), F.col("component").alias("part"), F.col("size").alias("size2"), F.col("at").alias("at2")
+    )
+    # If this is the first shingle that both share, they have at most this many in common.
+    common = F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2"))
+    enough = common * (100 + percent) >= (F.col("size") + F.col("size2")) * percent
+    return _ordered(crossing.join(rest, "token").where((F.col("component") != F.col("part")) & enough).select("node", "other")).distinct()
 
 
 def near_duplicates(
