@@ -67,7 +67,7 @@ if __name__ == "__main__":
     from hazegrid.session import build_session
 
     folder, wanted = sys.argv[1], sys.argv[2:]
-    spark = build_session(cpus=8)
+    spark = build_session(cpus=os.environ.get("COMPARE_CPUS", "8"))
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     oracles = contract.oracle_sql()
