@@ -97,7 +97,7 @@ def _places(calls: DataFrame, edges: DataFrame) -> DataFrame:
         own = F.struct(F.col("place").alias("p"), F.col("level").alias("l"))
         joined = state.join(late, ["conv", "call_id"], "left").withColumn("to", F.greatest(own, "after"))
         state = materialize(joined.select("conv", "call_id", F.col("to.p").alias("place"), F.col("to.l").alias("level"), (F.col("to") != own).alias("moves")), "places")
-        round_ = state.agg(F.count_if("moves"), F.max("level"), F.count_if("level > 0")).first()
+        round_ = state.agg(F.count_if("moves"), F.max("level"), F.count_if(F.col("level") > 0)).first()
         if not round_[0]:
             return state.select("conv", "call_id", "place", "level", F.lit(False).alias("cyclic"))
         # Without a cycle no chain is longer than the calls that have moved at all.
