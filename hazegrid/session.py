@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -27,6 +28,17 @@ def build_session(app: str = "hazegrid", cpus: str | int = "*", partitions: int
     )
 
 
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers on machines that see this folder import the package, whatever folder Spark was started in.
+
+    A cluster whose machines do not see it gets the package with ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+
+
 _local_root: str | None = None
 
 
