@@ -12,12 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hazegrid.llm.columns import free_prefix
 from hazegrid.llm.fmindex import decontaminate
 from hazegrid.llm.minhash import near_duplicates
 from hazegrid.llm.mixing import mix
 from hazegrid.llm.pseudonyms import pseudonymise
 from hazegrid.llm.quality import fit_rules, score_quality
-from hazegrid.session import materialize
+from hazegrid.session import materialize, share_code
 
 PSEUDONYM_KEY = b"replace in production"
 ORACLE_SQL = None
@@ -33,8 +34,9 @@ def _counted(docs: DataFrame) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier rejects."""
     model = fit_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = score_quality(docs, model, score="_score", predicted="_predicted")
-    return scored.where("_predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = free_prefix(docs.columns, "_q_")
+    scored = score_quality(docs, model, score=f"{name}score", predicted=f"{name}predicted")
+    return scored.where(F.col(f"{name}predicted") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,33 +44,42 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Of several rows with that id one stays, the least by all its columns.
     """
+    share_code(spark)
     groups = near_duplicates(docs)
-    keep = groups.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
-    match = docs["doc_id"].eqNullSafe(F.col("_id"))
-    single = docs.join(keep.where("_n = 1 or _id is null").select("_id"), match, "left_semi")
-    repeated = docs.join(keep.where("_n > 1 and _id is not null").select("_id"), match, "left_semi")
-    least = repeated.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return single.unionByName(least)
+    name = free_prefix(docs.columns, "_k_")
+    keep = groups.where("kept").groupBy(F.col("doc_id").alias(f"{name}id")).agg(F.count(F.lit(1)).alias(f"{name}n"))
+    joined = docs.join(keep, docs["doc_id"].eqNullSafe(keep[f"{name}id"]))
+    alone = (F.col(f"{name}n") == 1) | F.col(f"{name}id").isNull()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    least = joined.where(~alone).groupBy(f"{name}id").agg(F.min(F.struct(*columns)).alias(f"{name}row"))
+    return joined.where(alone).select(*columns).union(least.select(f"{name}row.*"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of the benchmark out of the texts; all documents stay."""
+    share_code(spark)
     return _counted(decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def pseudonym_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal numbers, dates and addresses by pseudonyms of the same format."""
+    share_code(spark)
     return _counted(pseudonymise(docs, PSEUDONYM_KEY))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix with ``copies``, how often each is taken, and their source's target."""
+    """The documents of the mix with ``copies``, how often each is taken, and their source's target.
+
+    Rows of one id (or without an id) count as one document here; the stages before leave one row per id.
+    """
     plan = mix(docs).where("taken > 0")
-    copies = (F.col("taken") / F.col("size")).cast("long").alias("copies")
-    plan = plan.groupBy(F.col("id").alias("_id")).agg(
-        F.first("size").alias("size"), F.first("target").alias("target"), F.first("taken").alias("taken")
-    ).select("_id", "size", "target", "taken", copies)
-    return docs.join(plan, docs["doc_id"].eqNullSafe(F.col("_id"))).drop("_id")
+    name = free_prefix(docs.columns, "_m_")
+    plan = plan.groupBy(F.col("id").alias(f"{name}id")).agg(
+        (F.first("taken") / F.first("size")).cast("long").alias("copies"), F.first("target").alias("target")
+    )
+    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan[f"{name}id"]))
+    kept = [docs[f"`{c}`"] for c in docs.columns if c not in ("copies", "target")]
+    return joined.select(*kept, plan["copies"], plan["target"])
 
 
 STAGES = [

@@ -14,6 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazegrid.llm.columns import free_prefix
 from hazegrid.session import materialize
 
 SAMPLE_ROWS = 20_000
@@ -159,7 +160,11 @@ def fit_rules(
 def score_quality(
     docs: DataFrame, model: RuleEnsemble, text_column: str = "text", score: str = "score", predicted: str = "predicted"
 ) -> DataFrame:
-    """Add ``score`` (0 to 1) and ``predicted`` (1 from ``THRESHOLD`` on) to every row, empty and null texts too."""
-    scored = with_statistics(docs, text_column).withColumn(score, model.score())
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    return scored.select(*kept, score, (F.col(score) >= THRESHOLD).cast("int").alias(predicted))
+    """Add ``score`` (0 to 1) and ``predicted`` (1 from ``THRESHOLD`` on) to every row, empty and null texts too.
+
+    They replace columns of their names; all other columns stay.
+    """
+    prefix = free_prefix(docs.columns, "_s_")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (score, predicted)]
+    scored = with_statistics(docs, text_column, prefix).select(*kept, model.score(prefix).alias(score))
+    return scored.withColumn(predicted, (F.col(score) >= THRESHOLD).cast("int"))
