@@ -130,10 +130,11 @@ def fit_rules(
     chosen = usable.select(F.col(id_column).alias("_id"), F.col(label_column).cast("double").alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample_rows)
     texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
-    sample = with_statistics(texts.join(chosen, "_id"), "_text").drop("_text")
-    # The sample is bounded, so one sorted partition holds it and fits do not depend on the layout.
+    # The chosen ids are at most sample_rows, so every task can hold them and no text is moved.
+    sample = with_statistics(texts.join(F.broadcast(chosen), "_id"), "_text").drop("_text")
+    # The statistics of the sample are bounded too: one sorted partition, so fits do not depend on the layout.
     names = [f"_s_{name}" for name in STATISTICS]
-    sample = materialize(sample.coalesce(1).sort("_id", "_label", *names), "quality-sample")
+    sample = materialize(sample.repartition(1).sortWithinPartitions("_id", "_label", *names), "quality-sample")
     shares = sample.agg(F.avg("_label"), F.count(F.lit(1))).first()
     if not shares[1] or shares[0] in (0.0, 1.0):
         share = shares[0] if shares[1] else 0.5
