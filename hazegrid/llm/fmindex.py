@@ -172,6 +172,8 @@ def shard_hits(phrases: Phrases, hashes: np.ndarray, heads: np.ndarray) -> tuple
 
 def merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of half-open ranges, sorted; touching ranges become one."""
+    if not len(first):
+        return first, last
     order = np.argsort(first, kind="stable")
     first, reach = first[order], np.maximum.accumulate(last[order])
     new = np.ones(len(first), dtype=bool)
@@ -219,23 +221,29 @@ def contamination(
     kind = docs.schema[id_column].dataType.simpleString()
     schema = f"id {kind}, n_words long, hit_words long, starts array<long>, ends array<long>, items array<string>"
     blocks = _blocks(benchmark, item_column, item_text) or [[]]
-    table = docs.select(F.col(id_column).alias("id"), text_column)
+    table = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    if len(blocks) == 1:
+        return table.mapInArrow(_searching(blocks[0], window, 0), schema)
+    table = table.withColumn("key", F.xxhash64("text"))
+    return _united(table, [table.mapInArrow(_searching(block, window, 1), f"{schema}, key long") for block in blocks], schema)
 
-    def searching(block):
-        def search(batches):
-            phrases = Phrases(block, window)
-            breaks = tb.byte_classes(tb.NO_WORD)
-            for batch in batches:
-                data, offsets, _ = tb.batch_texts(batch.column(1))
-                for a, b in tb.row_slices(offsets, SHARD_BYTES):
-                    yield _shard_rows(phrases, breaks, batch.column(0).slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
-        return search
+def _searching(block: list[tuple[str, str]], window: int, keys: int):
+    """Map function: one index per shard, searched for the block's phrases; ``keys`` columns behind the text pass through."""
 
-    passes = [table.mapInArrow(searching(block), schema) for block in blocks]
-    if len(passes) == 1:
-        return passes[0]
-    return _united(passes, docs, id_column, text_column, kind)
+    def search(batches):
+        phrases = Phrases(block, window)
+        breaks = tb.byte_classes(tb.NO_WORD)
+        for batch in batches:
+            data, offsets, _ = tb.batch_texts(batch.column(1))
+            for a, b in tb.row_slices(offsets, SHARD_BYTES):
+                ids, part = batch.column(0).slice(a, b - a), data[offsets[a] : offsets[b]]
+                found = _shard_rows(phrases, breaks, ids, part, offsets[a : b + 1] - offsets[a])
+                for k in range(keys):
+                    found = found.append_column(batch.schema.field(2 + k), batch.column(2 + k).slice(a, b - a))
+                yield found
+
+    return search
 
 
 def _shard_rows(phrases: Phrases, breaks, ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
@@ -268,21 +276,21 @@ def _shard_rows(phrases: Phrases, breaks, ids: pa.Array, data: np.ndarray, offse
     )
 
 
-def _united(passes: list[DataFrame], docs: DataFrame, id_column: str, text_column: str, kind: str) -> DataFrame:
+def _united(table: DataFrame, passes: list[DataFrame], schema: str) -> DataFrame:
     """Several passes as one row per document: ranges and items joined, then merged beside the text again.
 
-    Rows of one id with the same text are one group here, each row of the input gets its result.
+    Rows of one id and text are one group here; each row of the input gets its result.
     """
     found = passes[0].where("hit_words > 0")
     for one in passes[1:]:
         found = found.unionByName(one.where("hit_words > 0"))
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    spans = found.groupBy("id").agg(
-        F.flatten(F.collect_list("starts")).alias("starts"),
-        F.flatten(F.collect_list("ends")).alias("ends"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    spans = found.groupBy("id", "key").agg(
+        F.collect_set(F.struct("starts", "ends")).alias("ranges"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
-    joined = texts.join(spans, texts["id"].eqNullSafe(spans["id"]), "left").select(texts["id"], "text", "starts", "ends", "items")
+    spans = spans.select("id", "key", F.flatten("ranges.starts").alias("starts"), F.flatten("ranges.ends").alias("ends"), "items")
+    on = table["id"].eqNullSafe(spans["id"]) & table["key"].eqNullSafe(spans["key"])
+    joined = table.join(spans, on, "left").select(table["id"], "text", "starts", "ends", "items")
 
     def merge(batches):
         breaks = tb.byte_classes(tb.NO_WORD)
@@ -306,7 +314,6 @@ def _united(passes: list[DataFrame], docs: DataFrame, id_column: str, text_colum
                 names=["id", "n_words", "hit_words", "starts", "ends", "items"],
             )
 
-    schema = f"id {kind}, n_words long, hit_words long, starts array<long>, ends array<long>, items array<string>"
     return joined.mapInArrow(merge, schema)
 
 
