@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from hazegrid.operators.resample import hourly_mean
 from hazegrid.session import materialize
-from hazegrid.sources.tables import spread_few_files
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,8 +14,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """The text table, for work that costs far more than moving a small file's rows."""
-    return spread_few_files(table(spark, folder, "documents"))
+    return table(spark, folder, "documents")
 
 
 def observations(spark: SparkSession, folder: str) -> DataFrame:

@@ -69,7 +69,8 @@ def shown_aqi(us_aqi: Column, european_aqi: Column) -> Column:
 
 
 def trend_direction(current: Column, baseline: Column) -> Column:
-    delta = current - baseline
+    """Unknown without a baseline; an unknown current value reads 0."""
+    delta = F.coalesce(current, F.lit(0.0)) - baseline
     return (
         F.when(baseline.isNull(), "unknown")
         .when(F.abs(delta) < STABLE_WITHIN, "stable")
@@ -79,7 +80,8 @@ def trend_direction(current: Column, baseline: Column) -> Column:
 
 
 def strongest_driver(o3: Column, no2: Column, o3_baseline: Column, no2_baseline: Column) -> Column:
-    """Pollutant farther from its baseline; without a baseline its own size counts. Ties go to O3."""
+    """Pollutant farther from its baseline; without a baseline its own size counts. Unknown values read 0, ties go to O3."""
+    o3, no2 = (F.coalesce(value, F.lit(0.0)) for value in (o3, no2))
     o3_distance = F.abs(o3 - F.coalesce(o3_baseline, F.lit(0.0)))
     no2_distance = F.abs(no2 - F.coalesce(no2_baseline, F.lit(0.0)))
     return F.when(o3_distance >= no2_distance, "O3").otherwise("NO2")
@@ -94,7 +96,8 @@ def anomaly_limit(mean: Column, floor: float) -> Column:
 
 
 def leading_pollutant(o3_peak: Column, no2_peak: Column) -> Column:
-    return F.when(o3_peak >= no2_peak, "O3").otherwise("NO2")
+    """Unknown peaks read 0, ties go to O3."""
+    return F.when(F.coalesce(o3_peak, F.lit(0.0)) >= F.coalesce(no2_peak, F.lit(0.0)), "O3").otherwise("NO2")
 
 
 def watch_driver(

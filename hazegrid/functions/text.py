@@ -70,25 +70,28 @@ def fixed_text(value: Column, digits: int = 1) -> Column:
     """Decimal text of the exact binary value, ties to even; null stays null.
 
     The usual formatter rounds the shortest decimal form half up, which differs from the exact value in the
-    last digit (2.15 is stored below 2.15). The value is split into two parts whose products with a small
-    power of ten are exact, so the comparison with the half-way point is exact too.
+    last digit (2.15 is stored below 2.15). The fraction is split into two parts whose products with a small
+    power of ten are exact, so the comparison with the half-way point is exact too. From 2^53 on a double has
+    no fraction; what does not fit a 64-bit integer, and values that are not finite, get the formatter's text.
     """
     scale = 10**digits
     size = F.abs(value)
-    coarse = F.floor(size * 2.0**20) / F.lit(2.0**20)
-    rest = size - coarse
-    whole = F.floor(size * float(scale))
-    above = coarse * float(scale) - whole.cast("double") - 0.5
+    whole = F.floor(size).cast("bigint")
+    fraction = size - whole.cast("double")
+    coarse = F.floor(fraction * 2.0**20) / F.lit(2.0**20)
+    rest = fraction - coarse
+    units = F.floor(fraction * float(scale))
+    above = coarse * float(scale) - units.cast("double") - 0.5
     below = -(rest * float(scale))
-    up = (above > below) | ((above == below) & (whole % 2 == 1))
-    units = (whole + up.cast("int")).cast("bigint")
+    odd = (units if digits else whole + units) % 2 == 1
+    up = (above > below) | ((above == below) & odd)
+    rounded = (units + up.cast("int")).cast("bigint")
     sign = F.when((value < 0) | ((value == 0) & F.startswith(value.cast("string"), F.lit("-"))), "-").otherwise("")
-    body = F.floor(units / scale).cast("bigint").cast("string")
+    body = (whole + F.floor(rounded / scale).cast("bigint")).cast("string")
     if digits:
-        body = F.concat(body, F.lit("."), F.lpad((units % scale).cast("string"), digits, "0"))
-    exact = F.concat(sign, body)
-    large = F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value))
-    return F.when(size < 2.0**29, exact).otherwise(large)
+        body = F.concat(body, F.lit("."), F.lpad((rounded % scale).cast("string"), digits, "0"))
+    beyond = F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value))
+    return F.when(size < 2.0**62, F.concat(sign, body)).otherwise(beyond)
 
 
 def number_text(value: Column) -> Column:

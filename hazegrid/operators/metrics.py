@@ -16,13 +16,14 @@ MEDIAN_BUCKETS = 4096
 def regression_metrics(
     pairs: DataFrame, group: Sequence[str] = ("model", "target"), truth: str = "truth", prediction: str = "prediction"
 ) -> DataFrame:
-    """RMSE, MAE, R2 and the refined index of agreement per group.
+    """RMSE, MAE, R2 and the refined index of agreement per group, over pairs that are known on both sides.
 
-    Two passes, both with partial sums before the shuffle: the mean of the truth per group (written, so the
+    Groups without any complete pair give no row; ``incomplete_pairs`` counts what was left out. Two passes, both with partial sums before the shuffle: the mean of the truth per group (written, so the
     planner knows its size when it is joined back), then everything else. R2 of a constant truth is 1 when
     the prediction is exact and 0 otherwise; R2 of a single row is null.
     """
     group = list(group)
+    pairs = pairs.where(F.col(truth).isNotNull() & F.col(prediction).isNotNull())
     means = materialize(pairs.groupBy(*group).agg(F.avg(truth).alias("_mean")), "means")
     error = F.col(prediction) - F.col(truth)
     centred = pairs.join(means, group) if group else pairs.withColumn("_mean", means.select("_mean").scalar())
@@ -53,6 +54,14 @@ def regression_metrics(
     )
 
 
+def incomplete_pairs(
+    pairs: DataFrame, group: Sequence[str] = ("model", "target"), truth: str = "truth", prediction: str = "prediction"
+) -> DataFrame:
+    """Rows per group whose truth or prediction is unknown: what the metrics leave out."""
+    unknown = F.col(truth).isNull() | F.col(prediction).isNull()
+    return pairs.groupBy(*group).agg(F.count_if(unknown).alias("incomplete"))
+
+
 def residual_spread(
     pairs: DataFrame, group: Sequence[str] = ("target",), truth: str = "truth", prediction: str = "prediction"
 ) -> DataFrame:
@@ -77,8 +86,8 @@ def exact_medians(df: DataFrame, columns: Sequence[str], group: Sequence[str] =
     """Exact median (mean of the two middle values) per column and group, as ``(group, column, median)``.
 
     The built-in exact median keeps every distinct value of a group in one buffer. Here a mergeable sketch
-    first gives a narrow bracket that must hold the middle; only values inside it are counted one by one,
-    and among those only the buckets around the middle are sorted.
+    first gives a narrow bracket that must hold the middle (three times its own error to either side); only
+    values inside it are counted one by one, and among those only the buckets around the middle are sorted.
     """
     group = list(group)
     half = 3.0 / MEDIAN_ACCURACY
@@ -90,21 +99,18 @@ def exact_medians(df: DataFrame, columns: Sequence[str], group: Sequence[str] =
             F.struct(
                 F.lit(name).alias("column"),
                 F.count(value).alias("n"),
-                F.min(value).alias("low"),
-                F.max(value).alias("high"),
                 near.alias("near"),
             )
         )
     brackets = df.groupBy(*group).agg(F.array(*wide).alias("_cells"))
     brackets = brackets.select(*group, F.explode("_cells").alias("c")).where(F.col("c.n") > 0)
-    small = F.col("c.n") <= MEDIAN_ACCURACY
     brackets = materialize(
         brackets.select(
             *group,
             "c.column",
             "c.n",
-            F.when(small, F.col("c.low")).otherwise(F.get("c.near", F.lit(0))).alias("_low"),
-            F.when(small, F.col("c.high")).otherwise(F.get("c.near", F.lit(1))).alias("_high"),
+            F.get("c.near", F.lit(0)).alias("_low"),
+            F.get("c.near", F.lit(1)).alias("_high"),
         ),
         "brackets",
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazegrid import schema as S
+from hazegrid.operators.series import BLOCK, ROW, frames, index_rows
 
 ORDER_BLOCK_ROWS = 1_000_000
 
@@ -67,33 +68,16 @@ def order_check(
     timestamp: str = S.TIMESTAMP,
     block_rows: int = ORDER_BLOCK_ROWS,
 ) -> DataFrame:
-    """Per site: does time ever step back, or is it unknown, in the order of a unique integer ``sequence``?
+    """Per site: does time ever step back, or is it unknown, in the order of a unique ``sequence``?
 
-    Steps are checked inside blocks of the sequence, which hold at most ``block_rows`` rows because it is
-    unique, and then from block to block.
+    Rows are numbered by a range sort, so numbers are dense whatever the sequence looks like, and cut into
+    blocks of ``block_rows`` that start with the last row of the block before.
     """
-    block = F.floor(F.col(sequence) / block_rows).alias("_block")
-    inside = Window.partitionBy(site, "_block").orderBy(sequence)
-    step_back = F.col(timestamp).isNull() | F.coalesce(
-        F.col(timestamp) < F.lag(timestamp).over(inside), F.lit(False)
-    )
-    blocks = (
-        df.select(site, timestamp, sequence, block)
-        .withColumn("_back", step_back)
-        .groupBy(site, "_block")
-        .agg(
-            F.bool_or("_back").alias("_back"),
-            F.min_by(timestamp, sequence).alias("_first"),
-            F.max_by(timestamp, sequence).alias("_last"),
-        )
-    )
-    across = Window.partitionBy(site).orderBy("_block")
-    joint = F.coalesce(F.col("_first") < F.lag("_last").over(across), F.lit(False))
-    return (
-        blocks.withColumn("_joint", joint)
-        .groupBy(site)
-        .agg(F.bool_or(F.col("_back") | F.col("_joint")).alias("out_of_order"))
-    )
+    numbered = index_rows(df.select(site, timestamp, sequence), [site], [sequence])
+    blocks = frames(numbered, block_rows, 1)
+    inside = Window.partitionBy(site, BLOCK).orderBy(ROW)
+    back = F.col(timestamp).isNull() | F.coalesce(F.col(timestamp) < F.lag(timestamp).over(inside), F.lit(False))
+    return blocks.withColumn("_back", back).groupBy(site).agg(F.bool_or("_back").alias("out_of_order"))
 
 
 def validation_report(

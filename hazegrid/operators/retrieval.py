@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-import sys
-
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hazegrid.functions import text as X
 from hazegrid.operators.series import top_rows
@@ -19,15 +13,10 @@ CREDIBILITY_WEIGHT = 0.25
 # Sources ranked and shortlisted per depth.
 RANKED_BY_DEPTH = {"quick": 6, "standard": 10, "deep": 14}
 SHORTLIST_BY_DEPTH = {"quick": 4, "standard": 6, "deep": 9}
-PLACE_LIST_LIMIT = 1_000
 NAME_HEAD = 6
-# Entries (query, word) an index may have to be sent to every task: some 20 MB.
-INDEX_LIMIT = 500_000
-# Cells of the count table a task fills at a time.
-TASK_CELLS = 4_000_000
-
-# Task functions of this module travel with the job, so executors need no installed copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+# Sources looked at per query for a first bound; it changes the work, never the result.
+PROBED_SOURCES = 200
+ROUNDING = 1e-9
 
 
 def _by_depth(limits: dict[str, int], depth):
@@ -35,144 +24,85 @@ def _by_depth(limits: dict[str, int], depth):
     return F.when(depth == "quick", limits["quick"]).when(depth == "standard", limits["standard"]).otherwise(other)
 
 
-def rank_evidence(queries: DataFrame, corpus: DataFrame, index_limit: int = INDEX_LIMIT) -> DataFrame:
+def rank_evidence(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """Top sources per query by lexical similarity plus a quarter of the credibility.
 
-    ``queries``: (query_id, text, depth); ``corpus``: (source_id, text, credibility). Result: (query_id,
-    source_id, similarity, score, rank), ties by source_id.
+    ``queries``: (query_id, text, depth); ``corpus``: (source_id, text, credibility), ids unique. Result:
+    (query_id, source_id, similarity, score, rank), ties by source_id.
+
+    Exact, without looking at all pairs:
 
-    Shared words are counted over an inverted index of the query words, never over all pairs. An index of up
-    to ``index_limit`` entries (counted first) goes to every task, the corpus stays where it is read, and
-    only each task's best rows per query are moved. A larger index is joined by word instead. Sources
-    sharing no word with a query score by credibility alone; of those only the overall most credible ones
-    can appear, and they are added as one short list.
+    1. Query words are ranked by their number of sources, rarest first. Sources of a query's rarest words and
+       the overall most credible ones give a score that the last listed source must reach.
+    2. That score, less the largest share credibility can add, is a needed similarity. With it a source of m
+       words shares at least k of the query's n words, so it holds one of the n - k + 1 rarest. The join on
+       (word, size class of m) uses only those: common words drop out of it.
+    3. The pairs found are scored on all their words, and the best are kept in two rounds.
+
+    Words that stay frequent are split by adaptive execution.
     """
     most = max(RANKED_BY_DEPTH.values())
-    limits = queries.select("query_id", _by_depth(RANKED_BY_DEPTH, F.col("depth")).alias("_limit"))
-    words = materialize(
-        queries.select("query_id", X.tokens(F.col("text")).alias("_words")).select(
-            "query_id", F.size("_words").alias("_query_size"), F.explode("_words").alias("_word")
-        ),
-        "query-words",
-    )
-    sources = corpus.select("source_id", "credibility", X.tokens(F.col("text")).alias("_words"))
-    if words.count() <= index_limit:
-        matched = _matched_in_place(words, sources, most)
-    else:
-        matched = _matched_by_join(words, sources)
     order = [F.desc("score"), F.asc("source_id")]
-    best = top_rows(matched, ["query_id"], order, most, ["source_id"])
-    credible = corpus.select("source_id", "credibility").orderBy(F.desc("credibility"), F.asc("source_id")).limit(most)
-    listed = credible.agg(F.collect_list(F.struct("source_id", "credibility")).alias("c")).select("c").scalar()
-    unmatched = queries.select("query_id", listed.alias("_listed")).select("query_id", F.inline("_listed")).select(
+    limits = queries.select("query_id", _by_depth(RANKED_BY_DEPTH, F.col("depth")).alias("_limit"))
+    sources = materialize(corpus.select("source_id", "credibility", X.tokens(F.col("text")).alias("_words")), "sources")
+    asked = materialize(queries.select("query_id", X.tokens(F.col("text")).alias("_asked")), "asked")
+    size_class = F.floor(F.log2(F.greatest(F.size("_words"), F.lit(1)) + F.lit(0.5))).cast("int").alias("_class")
+    held = sources.select("source_id", size_class, F.explode("_words").alias("_word"))
+    words = _ranked_words(asked, held)
+
+    credible = sources.select("source_id", "credibility").orderBy(F.desc("credibility"), F.asc("source_id")).limit(most)
+    listed = materialize(credible, "credible")
+    tops = listed.agg(F.collect_list(F.struct("source_id", "credibility")).alias("c"), F.max("credibility").alias("m"))
+    unmatched = asked.select("query_id", tops.select("c").scalar().alias("_listed")).select("query_id", F.inline("_listed")).select(
         "query_id",
         "source_id",
         F.lit(0.0).alias("similarity"),
         (F.col("credibility") * CREDIBILITY_WEIGHT).alias("score"),
     )
-    candidates = best.unionByName(unmatched).groupBy("query_id", "source_id").agg(
-        F.max("similarity").alias("similarity"), F.max("score").alias("score")
+
+    probed = words.where((F.col("_sources") > 0) & (F.col("_through") <= PROBED_SOURCES)).select("query_id", "_word")
+    probes = _scored(held.join(probed, "_word").select("query_id", "source_id").distinct(), asked, sources)
+    bound = _best_of_each(probes.unionByName(unmatched)).where(F.col("_place") == most).select(
+        "query_id", F.col("score").alias("_bound")
     )
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    ranked = candidates.withColumn("rank", place).where(F.col("rank") <= most)
+    bound = materialize(bound, "bounds")
+
+    highest = tops.select(F.coalesce("m", F.lit(0.0)) * CREDIBILITY_WEIGHT).scalar()
+    needed = words.join(bound, "query_id", "left").withColumn("_needed", F.coalesce("_bound", F.lit(0.0)) - highest - ROUNDING)
+    classes = needed.where("_sources > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(30))).alias("_class"))
+    shared = F.ceil(F.col("_needed") * F.sqrt(F.col("_size") * F.pow(F.lit(2.0), "_class")) - ROUNDING)
+    useful = classes.where(F.col("_at") <= F.col("_size") - F.greatest(shared, F.lit(1)) + 1).select("query_id", "_word", "_class")
+    pairs = held.join(useful, ["_word", "_class"]).select("query_id", "source_id").distinct()
+    matched = _scored(pairs, asked, sources)
+    best = top_rows(matched, ["query_id"], order, most, ["source_id"])
+    ranked = _best_of_each(best.unionByName(unmatched)).withColumnRenamed("_place", "rank")
     return ranked.join(limits, "query_id").where(F.col("rank") <= F.col("_limit")).drop("_limit")
 
 
-def _matched_by_join(words: DataFrame, sources: DataFrame) -> DataFrame:
-    """Scores of all pairs sharing a word, by a join on the word; adaptive execution splits frequent words."""
-    spread = sources.select(
-        "source_id", "credibility", F.size("_words").alias("_source_size"), F.explode("_words").alias("_word")
-    )
-    shared = spread.join(words, "_word").groupBy("source_id", "query_id").agg(
-        F.count(F.lit(1)).cast("double").alias("_shared"),
-        F.first("credibility").alias("credibility"),
-        F.first("_source_size").alias("_source_size"),
-        F.first("_query_size").alias("_query_size"),
-    )
-    similarity = X.overlap_similarity(F.col("_shared"), F.col("_query_size"), F.col("_source_size"))
-    return shared.select(
-        "query_id",
-        "source_id",
-        similarity.alias("similarity"),
-        (similarity + F.col("credibility") * CREDIBILITY_WEIGHT).alias("score"),
-    )
+def _ranked_words(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """``query_id, _word, _size, _sources, _at, _through``: words of each query, rarest first, with running source counts."""
+    words = asked.select("query_id", F.size("_asked").alias("_size"), F.explode("_asked").alias("_word"))
+    counts = held.join(words.select("_word").distinct(), "_word", "left_semi").groupBy("_word").agg(F.count(F.lit(1)).alias("_sources"))
+    counted = words.join(counts, "_word", "left").withColumn("_sources", F.coalesce("_sources", F.lit(0)))
+    # A window holds the words of one query.
+    by_query = Window.partitionBy("query_id").orderBy("_sources", "_word")
+    through = F.sum("_sources").over(by_query.rowsBetween(Window.unboundedPreceding, 0))
+    return materialize(counted.withColumns({"_at": F.row_number().over(by_query), "_through": through}), "query-words")
 
 
-def _matched_in_place(words: DataFrame, sources: DataFrame, most: int) -> DataFrame:
-    """Scores of each task's ``most`` best matching sources per query."""
-    spark = words.sparkSession
-    entries = words.toPandas()  # at most index_limit rows, checked by the caller
-    query_ids, query = np.unique(entries["query_id"].to_numpy(), return_inverse=True)
-    word, vocabulary = pd.factorize(entries["_word"])
-    by_word = np.argsort(word, kind="stable")
-    index = {
-        "ids": query_ids,
-        "sizes": np.bincount(query, minlength=len(query_ids)).astype(float),
-        "words": {text: number for number, text in enumerate(vocabulary)},
-        "starts": np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(vocabulary)))]).astype(np.int64),
-        "queries": query[by_word],
-    }
-    shared_index = spark.sparkContext.broadcast(index)
-
-    def best(batches):
-        return _best_of_task(batches, shared_index.value, most)
-
-    fields = {**{f.name: f for f in sources.schema.fields}, **{f.name: f for f in words.schema.fields}}
-    schema = T.StructType(
-        [fields["query_id"], fields["source_id"], T.StructField("similarity", T.DoubleType()), T.StructField("score", T.DoubleType())]
+def _scored(pairs: DataFrame, asked: DataFrame, sources: DataFrame) -> DataFrame:
+    joined = pairs.join(asked, "query_id").join(sources, "source_id")
+    similarity = X.lexical_similarity(F.col("_asked"), F.col("_words"))
+    return joined.select("query_id", "source_id", similarity.alias("similarity"), "credibility").select(
+        "query_id", "source_id", "similarity", (F.col("similarity") + F.col("credibility") * CREDIBILITY_WEIGHT).alias("score")
     )
-    return sources.mapInPandas(best, schema)
-
-
-def _shared_counts(source, number, starts, queries, shape):
-    """Words shared per (source, query): every known word of a source adds one to the queries holding it."""
-    lengths = starts[number + 1] - starts[number]
-    offsets = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    held_by = queries[np.repeat(starts[number], lengths) + offsets]
-    cells = np.repeat(source, lengths) * shape[1] + held_by
-    return np.bincount(cells, minlength=shape[0] * shape[1]).reshape(shape)
-
-
-def _best_of_task(batches, index, most):
-    columns = ["query_id", "source_id", "similarity", "score"]
-    kept = pd.DataFrame(columns=columns)
-    queries = len(index["ids"])
-    step = max(1, TASK_CELLS // max(queries, 1))
-    for batch in batches:
-        for start in range(0, len(batch), step):
-            part = batch.iloc[start : start + step].reset_index(drop=True)
-            sizes = part["_words"].map(len).to_numpy()
-            if queries == 0 or sizes.sum() == 0:
-                continue
-            number = pd.Series(np.concatenate(part["_words"].to_list())).map(index["words"]).to_numpy(float)
-            known = ~np.isnan(number)
-            source = np.repeat(np.arange(len(part)), sizes)[known]
-            shape = (len(part), queries)
-            counts = _shared_counts(source, number[known].astype(np.int64), index["starts"], index["queries"], shape)
-            row, column = np.nonzero(counts)
-            norm = np.sqrt(index["sizes"])[column] * np.sqrt(sizes.astype(float))[row]
-            similarity = counts[row, column] / norm
-            score = similarity + part["credibility"].to_numpy(float)[row] * CREDIBILITY_WEIGHT
-            # Only scores reaching the current place ``most`` of their query can change the result.
-            floor = np.full(queries, -np.inf)
-            if len(kept):
-                full = kept.groupby("_query")["score"].agg(["size", "min"])
-                full = full[full["size"] >= most]
-                floor[full.index.to_numpy(int)] = full["min"].to_numpy()
-            good = score >= floor[column]
-            found = pd.DataFrame(
-                {
-                    "_query": column[good],
-                    "source_id": part["source_id"].to_numpy()[row[good]],
-                    "similarity": similarity[good],
-                    "score": score[good],
-                }
-            )
-            merged = pd.concat([kept, found]) if len(kept) else found
-            merged = merged.sort_values(["_query", "score", "source_id"], ascending=[True, False, True])
-            kept = merged.groupby("_query").head(most)
-    if len(kept):
-        yield kept.assign(query_id=index["ids"][kept["_query"].to_numpy(int)])[columns]
+
+
+def _best_of_each(scored: DataFrame) -> DataFrame:
+    """One row per pair, with its place in its query; only places that a result may show are kept."""
+    single = scored.groupBy("query_id", "source_id").agg(F.max("similarity").alias("similarity"), F.max("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("source_id")))
+    return single.withColumn("_place", place).where(F.col("_place") <= max(RANKED_BY_DEPTH.values()))
 
 
 def shortlist(ranked: DataFrame, queries: DataFrame, pins: DataFrame) -> DataFrame:
@@ -199,52 +129,41 @@ def describe_sources(sources: DataFrame) -> DataFrame:
     )
 
 
-def mentioned_place(texts: DataFrame, catalog: DataFrame, text: str = "text", limit: int = PLACE_LIST_LIMIT) -> DataFrame:
+def mentioned_place(texts: DataFrame, catalog: DataFrame, text: str = "text") -> DataFrame:
     """First catalog place named in each text, the longest name first, then catalog order.
 
-    ``catalog``: (name, country, catalog_rank). Up to ``limit`` places are read as one list by every row;
-    a larger catalog is matched through an index on the names' first letters, see ``_mentioned_by_index``.
+    ``catalog``: (name, country, catalog_rank), of any size. Names are found through their first letters (up to
+    six), as an equality join. From a text come only pieces that start with the first two letters of some name
+    and have the length of some head; they move with a fingerprint of the text, not with the text.
     """
     lowered = catalog.select(
         F.lower("name").alias("needle"),
         F.concat_ws(", ", "name", F.nullif("country", F.lit(""))).alias("label"),
         F.length("name").alias("size"),
         "catalog_rank",
+        F.substring(F.lower("name"), 1, NAME_HEAD).alias("_head"),
     ).where(F.length("needle") > 0)
-    if catalog.limit(limit + 1).count() > limit:
-        return _mentioned_by_index(texts, lowered, text)
-    ordered = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("o"), "catalog_rank", "needle", "label")))
-    places = lowered.agg(ordered.alias("p")).select("p").scalar()
-    # The lowered text is bound as a lambda argument, so it is made once per row and not once per place.
-    first = F.transform(
-        F.array(F.lower(text)),
-        lambda lowered_text: F.get(F.filter("_places", lambda place: F.contains(lowered_text, place["needle"])), F.lit(0)),
-    )
-    return texts.withColumn("_places", places).withColumn("place", F.get(first, F.lit(0))["label"]).drop("_places")
-
-
-def _mentioned_by_index(texts: DataFrame, lowered: DataFrame, text: str) -> DataFrame:
-    """Match through the names' first letters (up to six), as an equality join.
-
-    Letter groups of the texts move without the texts; those found among the names give candidates, and
-    only for these a text is looked at again.
-    """
-    keyed = texts.withColumns({"_id": F.xxhash64(text), "_lowered": F.lower(text)})
-    places = lowered.withColumn("_head", F.substring("needle", 1, NAME_HEAD))
-    sizes = F.array(*[F.lit(n) for n in range(1, NAME_HEAD + 1)])
-    starts = F.sequence(F.lit(1), F.greatest(F.length("_lowered"), F.lit(1)))
-    groups = F.flatten(F.transform(sizes, lambda n: F.transform(starts, lambda at: F.substring(F.col("_lowered"), at, n))))
-    heads = keyed.select("_id", F.explode(F.array_distinct(groups)).alias("_head")).distinct()
-    candidates = heads.join(places, "_head").drop("_head")
+    places = materialize(lowered, "places")
+    # At most the pairs of letters of the alphabet, and six lengths.
+    pairs = places.agg(F.collect_set(F.substring("_head", 1, 2)).alias("p")).select("p").scalar()
+    sizes = places.agg(F.collect_set(F.length("_head")).alias("n")).select("n").scalar()
+    identity = {"_id": F.xxhash64(text), "_id2": F.xxhash64(F.reverse(F.col(text)), F.length(text))}
+    keyed = texts.withColumns({**identity, "_lowered": F.lower(text), "_pairs": pairs, "_sizes": sizes})
+    # A look-ahead finds the piece at every place in one pass over the text.
+    pieces = [
+        F.when(F.array_contains("_sizes", n), F.regexp_extract_all("_lowered", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+        for n in range(1, NAME_HEAD + 1)
+    ]
+    pieces = F.flatten(F.filter(F.array(*pieces), lambda found: found.isNotNull()))
+    fitting = F.filter(F.array_distinct(pieces), lambda piece: F.array_contains("_pairs", F.substring(piece, 1, 2)))
+    heads = keyed.select("_id", "_id2", F.explode(fitting).alias("_head"))
+    candidates = heads.join(places, "_head").drop("_head").distinct()
     hits = (
-        keyed.select("_id", "_lowered")
-        .join(candidates, "_id")
+        keyed.select("_id", "_id2", "_lowered")
+        .join(candidates, ["_id", "_id2"])
         .where(F.contains("_lowered", "needle"))
-        .groupBy("_id", "_lowered")
+        .groupBy("_id", "_id2")
         .agg(F.min(F.struct((-F.col("size")).alias("o"), "catalog_rank", "label")).alias("_best"))
     )
-    return (
-        keyed.join(hits, ["_id", "_lowered"], "left")
-        .withColumn("place", F.col("_best.label"))
-        .drop("_id", "_lowered", "_best")
-    )
+    found = keyed.join(hits, ["_id", "_id2"], "left").withColumn("place", F.col("_best.label"))
+    return found.select(*texts.columns, "place")

@@ -155,8 +155,12 @@ def latest_rows(
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The newest row of every key; ``order`` ends with a unique tie-break."""
-    return top_rows(df, keys, [F.desc(name) for name in order], 1, list(order))
+    """The newest row of every key; ``order`` ends with a unique tie-break. Unknown order values count as oldest.
+
+    One shuffle of one row per key and task: rows are combined before it, so a hot key is no problem.
+    """
+    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_newest"))
+    return newest.select("_newest.*")
 
 
 def nest_points(

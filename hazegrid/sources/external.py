@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hazegrid import schema as S
 from hazegrid.operators.resample import interpolate_hourly
+from hazegrid.sources.tables import read_partitioned
 
 DATA_SOURCE = "openmeteo"
 # Fixed value: first day with history per domain.
@@ -37,9 +38,9 @@ def external_table(payloads: DataFrame) -> DataFrame:
 
 
 def payload_current(payloads: DataFrame) -> DataFrame:
-    """The current values; unknown measures read 0, an unknown time reads now."""
+    """The current values; unknown measures read 0, an unknown time reads now (UTC)."""
     measures = dict(zip(("o3", "no2", "us_aqi", "european_aqi"), S.EXTERNAL_MEASURES))
-    at = F.coalesce(F.col("current.time").cast("timestamp_ntz"), F.localtimestamp())
+    at = F.coalesce(F.col("current.time").cast("timestamp_ntz"), F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.localtimestamp()))
     return payloads.where(F.col("current").isNotNull()).select(
         S.SITE,
         at.alias(S.TIMESTAMP),
@@ -56,8 +57,8 @@ def upsert_external(fresh: DataFrame, path: str, refresh: bool = False) -> None:
     spark = fresh.sparkSession
     rows = fresh
     if not refresh and _exists(spark, path):
-        # The stored sites are the partition names; one line per site, read without opening the data.
-        stored = spark.read.parquet(path).select(F.col(S.SITE).cast(fresh.schema[S.SITE].dataType)).distinct()
+        # Sites are folder names and get the type they have in ``fresh``, so site ``007`` stays what it is.
+        stored = read_partitioned(spark, path, {S.SITE: fresh.schema[S.SITE].dataType}).select(S.SITE).distinct()
         rows = fresh.join(stored, S.SITE, "left_anti")
     laid = rows.repartitionByRange(S.SITE, S.TIMESTAMP).sortWithinPartitions(S.SITE, S.TIMESTAMP)
     (

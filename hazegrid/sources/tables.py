@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from hazegrid import schema as S
 
@@ -57,11 +58,27 @@ def write_features(features: DataFrame, path: str, mode: str = "overwrite", rows
     ordered.write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy(S.SPLIT, S.SITE).parquet(path)
 
 
-def read_features(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    rows = spark.read.parquet(path)
+def read_features(
+    spark: SparkSession, path: str, split: str | None = None, site_type: DataType | str = "string"
+) -> DataFrame:
+    """A table written by ``write_features``. Site and split are folder names, so the type of the site is given here.
+
+    Left to itself Spark would guess it from the names and read site ``007`` as the number 7.
+    """
+    rows = read_partitioned(spark, path, {S.SPLIT: "string", S.SITE: site_type})
     return rows if split is None else rows.where(F.col(S.SPLIT) == split)
 
 
+def read_partitioned(spark: SparkSession, path: str, partitions: dict[str, DataType | str]) -> DataFrame:
+    """A partitioned Parquet table whose partition columns have the given types, whatever their names look like."""
+    files = spark.read.option("basePath", path).parquet(path)
+    names = [name for name in files.columns if name not in partitions]
+    schema = StructType([files.schema[name] for name in names])
+    for name, kind in partitions.items():
+        schema = schema.add(name, kind)
+    return spark.read.schema(schema).parquet(path)
+
+
 def write_documents(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Rows as JSON lines; nulls are written, so every line has every field."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
@@ -77,16 +94,6 @@ def read_json_document(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path).first()["value"])
 
 
-def spread_few_files(df: DataFrame) -> DataFrame:
-    """Rows of a table of few files over all cores.
-
-    A file may be one row group, which one task reads and works on alone. A table of at least as many files
-    as there are cores is read in parallel as it is and not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 class ProfileBook:
     """Named profiles, each a folder of tables; one is active and seen through stable view names."""
 
