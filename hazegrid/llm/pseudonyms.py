@@ -163,8 +163,13 @@ def _address(text: str, key: bytes, back: bool) -> str | None:
     octets = [int(p) for p in parts]
     if any(o > 255 for o in octets) or any(len(p) > 1 and p[0] == "0" for p in parts) or not 1 <= octets[0] <= 223:
         return None
-    new = _permute(key, "address", [octets[0] - 1, *octets[1:]], [223, 256, 256, 256], back)
-    return ".".join(map(str, [new[0] + 1, *new[1:]]))
+    # Numbers of as many digits: from 0, 10 or 100 on; the first one is neither 0 nor above 223.
+    lows = [(0, 10, 100)[len(p) - 1] for p in parts]
+    ends = [(10, 100, 256)[len(p) - 1] for p in parts]
+    lows[0], ends[0] = max(1, lows[0]), min(224, ends[0])
+    sizes = [b - a for a, b in zip(lows, ends, strict=True)]
+    new = _permute(key, "address", [o - a for o, a in zip(octets, lows, strict=True)], sizes, back)
+    return ".".join(str(v + a) for v, a in zip(new, lows, strict=True))
 
 
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
