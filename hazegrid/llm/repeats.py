@@ -13,10 +13,12 @@ on their part of the phrase and on the following parse. Only that equality is ne
 so suffix ranks are kept as fingerprints and groups take the place of sorted runs; the sort of all suffixes of
 dictionary and parse would cost several corpus-wide sorts and give the same classes.
 
+Stretches are refined in three steps, from about 150 start positions to 16 and then to one:
+
 1. Cores seen once end all strings of their stretch: nothing there repeats.
 2. Hulls seen twice settle whole stretches: everything there repeats.
-3. Only stretches with a repeated core and differing hulls (the borders of repeats) are opened into single
-   positions, one copy per hull, and the strings there are counted.
+3. Only stretches with a repeated core and differing hulls (the borders of repeats) are cut into shorter ones,
+   with longer cores and shorter hulls, and of the copies of a settled hull only one goes along.
 
 Groups are only counted, with partial sums before each shuffle, so very frequent passages and thousands of
 copies cost no more than other text.
@@ -35,10 +37,11 @@ from hazegrid.session import materialize
 LENGTH = 400
 TRIGGER_BYTES = 12
 CORE_SHARE = 4  # a core reaches length / CORE_SHARE bytes beyond its trigger
+STEPS = (16, 1)  # start positions per stretch after each cut
 
 
 class Stretches:
-    """Stretches of all texts of a slice: first and last start position, core, hull and the row they are in."""
+    """Stretches of all texts of a slice: first and last start position, trigger, core, hull and row."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int):
         self.data, self.offsets, self.length = data, offsets, length
@@ -48,27 +51,56 @@ class Stretches:
         sizes = np.maximum(np.diff(offsets) - length + 1, 0)
         total = int(sizes.sum())
         ends = np.cumsum(sizes)
-        self.starts = np.arange(total) - np.repeat(ends - sizes, sizes) + np.repeat(offsets[:-1], sizes)
+        starts = np.arange(total) - np.repeat(ends - sizes, sizes) + np.repeat(offsets[:-1], sizes)
         rows = np.repeat(np.arange(len(sizes)), sizes)
         if not total:
-            self.low = self.high = self.row = self.core = np.zeros(0, np.int64)
-            self.hull = [np.zeros(0, np.uint64)] * 2
+            self._set(*[np.zeros(0, np.int64)] * 4)
             return
         at = np.arange(len(data) - TRIGGER_BYTES + 1)
         hashes = tb.mixed(self.prefix[0].raw(at, at + TRIGGER_BYTES)) & np.uint64(0xFFFFFFFF00000000)
-        trigger = _sliding_least(hashes | at.astype(np.uint64), zone)[self.starts] & np.uint64(0xFFFFFFFF)
+        trigger = _sliding_least(hashes | at.astype(np.uint64), zone)[starts] & np.uint64(0xFFFFFFFF)
         trigger = trigger.astype(np.int64)
         new = np.ones(total, dtype=bool)
         new[1:] = (trigger[1:] != trigger[:-1]) | (rows[1:] != rows[:-1])
         first = np.flatnonzero(new)
         last = np.append(first[1:], total) - 1
-        self.low, self.high, self.row = self.starts[first], self.starts[last], rows[first]
-        self.core = self.prefix[0](trigger[first], trigger[first] + TRIGGER_BYTES + tail)
-        self.hull = [p(self.low, self.high + length) for p in self.prefix]
-
-    def strings(self, starts: np.ndarray) -> list[np.ndarray]:
-        """Both fingerprints of the strings at these positions."""
-        return [p(starts, starts + self.length) for p in self.prefix]
+        self._set(starts[first], starts[last], trigger[first], rows[first])
+        self.core = self.prefix[0](self.trigger, self.trigger + TRIGGER_BYTES + tail)
+
+    def _set(self, low: np.ndarray, high: np.ndarray, trigger: np.ndarray, row: np.ndarray) -> None:
+        self.low, self.high, self.trigger, self.row = low, high, trigger, row
+        self.core = np.zeros(0, np.uint64)
+        self.hull = [p(low, high + self.length) for p in self.prefix]
+
+    def cut(self, chosen: np.ndarray, step: int) -> Stretches:
+        """The chosen stretches in pieces of ``step`` start positions, counted back from the trigger.
+
+        The core of a piece holds what all its possible strings share, also where a border cuts it short, so
+        equal strings have equal cores in every text.
+        """
+        low, high, trigger, row = (x[chosen] for x in (self.low, self.high, self.trigger, self.row))
+        nearest, farthest = (trigger - high) // step, (trigger - low) // step
+        n = farthest - nearest + 1
+        number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        piece = np.repeat(farthest, n) - number
+        low, high, trigger, row = (np.repeat(x, n) for x in (low, high, trigger, row))
+        begin = trigger - piece * step
+        part = Stretches.__new__(Stretches)
+        part.data, part.offsets, part.length, part.prefix = self.data, self.offsets, self.length, self.prefix
+        part._set(np.maximum(low, begin - step + 1), np.minimum(high, begin), trigger, row)
+        part.core = self.prefix[0](begin, begin - step + 1 + self.length)
+        return part
+
+    def marked(self, lists: pa.Array, first: int) -> np.ndarray:
+        """Stretches whose hull is in the list of their row; the slice's rows start at ``first``."""
+        found = np.zeros(len(self.low), dtype=bool)
+        borders = np.searchsorted(self.row, np.arange(len(self.offsets)))
+        for row in np.flatnonzero(np.diff(borders)):
+            hulls = lists[first + int(row)]
+            if hulls.is_valid:
+                x, y = borders[row], borders[row + 1]
+                found[x:y] = np.isin(tb.signed(self.hull[0][x:y]), hulls.values.to_numpy())
+        return found
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -104,79 +136,86 @@ def _counted(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order[first], np.diff(np.append(first, len(order))) > 1
 
 
-def _stretch_rows(texts: DataFrame, length: int) -> DataFrame:
-    """``text, core, hull, hull2, again`` per distinct stretch of each row; again: it is there more than once."""
+ROWS = "text long, core long, hull long, hull2 long, again boolean"
+
+
+def _distinct(keys: np.ndarray, part: Stretches, again: np.ndarray) -> pa.RecordBatch:
+    """One row per distinct stretch of each text; again: it is there twice, or known to repeat."""
+    place, more = _counted([part.row, part.core, *part.hull, again.astype(np.int8)])
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(keys[part.row[place]], type=pa.int64()),
+            *[pa.array(tb.signed(x[place]), type=pa.int64()) for x in (part.core, *part.hull)],
+            pa.array(more | again[place]),
+        ],
+        names=["text", "core", "hull", "hull2", "again"],
+    )
+
 
+def _stretch_rows(texts: DataFrame, length: int) -> DataFrame:
     def parse(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy()
             for a, part in _slices(batch, 1, length):
-                place, again = _counted([part.row, part.core, *part.hull])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(keys[a + part.row[place]], type=pa.int64()),
-                        *[pa.array(tb.signed(x[place]), type=pa.int64()) for x in (part.core, *part.hull)],
-                        pa.array(again),
-                    ],
-                    names=["text", "core", "hull", "hull2", "again"],
-                )
+                yield _distinct(keys[a:], part, np.zeros(len(part.low), dtype=bool))
+
+    return texts.mapInArrow(parse, ROWS)
 
-    return texts.mapInArrow(parse, "text long, core long, hull long, hull2 long, again boolean")
 
+def _pieces(part: Stretches, opened: list[pa.Array], first: int) -> Stretches:
+    """Cut the stretches of a slice as often as there are lists of hulls to cut."""
+    for lists, step in zip(opened, STEPS):
+        part = part.cut(part.marked(lists, first), step)
+    return part
 
-def _string_rows(texts: DataFrame, length: int) -> DataFrame:
-    """``text, string, string2, again`` for each position of the stretches named in ``open``."""
+
+def _piece_rows(texts: DataFrame, length: int, levels: int) -> DataFrame:
+    """Rows of the pieces behind ``levels`` cuts. Columns: ``text, content``, a list of hulls to cut per level, and
+    the list of those that are settled (their pieces repeat)."""
 
     def expand(batches):
         for batch in batches:
-            keys, wanted = batch.column(0).to_numpy(), batch.column(2)
+            keys, opened = batch.column(0).to_numpy(), [batch.column(2 + k) for k in range(levels)]
             for a, part in _slices(batch, 1, length):
-                chosen = np.zeros(len(part.low), dtype=bool)
-                borders = np.searchsorted(part.row, np.arange(len(part.offsets)))
-                for row, (x, y) in enumerate(zip(borders[:-1], borders[1:], strict=True)):
-                    hulls = wanted[a + row].values.to_numpy()
-                    chosen[x:y] = np.isin(tb.signed(part.hull[0][x:y]), hulls)
-                low, high, rows = part.low[chosen], part.high[chosen], part.row[chosen]
-                sizes = high - low + 1
-                starts = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
-                rows = np.repeat(rows, sizes)
-                strings = part.strings(starts)
-                place, again = _counted([rows, *strings])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(keys[a + rows[place]], type=pa.int64()),
-                        *[pa.array(tb.signed(s[place]), type=pa.int64()) for s in strings],
-                        pa.array(again),
-                    ],
-                    names=["text", "string", "string2", "again"],
-                )
+                part = _pieces(part, opened[:-1], a)
+                settled = part.marked(batch.column(2 + levels), a)
+                both = [part.cut(part.marked(opened[-1], a) & kind, STEPS[levels - 1]) for kind in (~settled, settled)]
+                for pieces, again in zip(both, (False, True), strict=True):
+                    yield _distinct(keys[a:], pieces, np.full(len(pieces.low), again))
 
-    return texts.mapInArrow(expand, "text long, string long, string2 long, again boolean")
+    return texts.mapInArrow(expand, ROWS)
 
 
-def _cut(texts: DataFrame, length: int, kind: str) -> DataFrame:
-    """``id, n_bytes, starts, ends, kept`` per row, from the settled hulls and repeated strings of its text."""
+def _cut_texts(texts: DataFrame, length: int, kind: str) -> DataFrame:
+    """``id, n_bytes, starts, ends, kept`` per row, from the lists of hulls settled and cut in its text."""
 
     def remove(batches):
         for batch in batches:
-            ids, hulls, strings = batch.column(0), batch.column(2), batch.column(3)
+            ids, settled, opened = batch.column(0), batch.column(2), [batch.column(3 + k) for k in range(len(STEPS))]
             for a, part in _slices(batch, 1, length):
-                borders = np.searchsorted(part.row, np.arange(len(part.offsets)))
+                low, high, rows = [], [], []
+                pieces = part
+                for level in range(len(STEPS) + 1):
+                    hit = pieces.marked(settled, a)
+                    low.append(pieces.low[hit])
+                    high.append(pieces.high[hit] + length)
+                    rows.append(pieces.row[hit])
+                    if level < len(STEPS):
+                        pieces = pieces.cut(pieces.marked(opened[level], a), STEPS[level])
+                low, high, rows = (np.concatenate(x) for x in (low, high, rows))
+                order = np.lexsort([low, rows])
+                low, high, borders = low[order], high[order], np.searchsorted(rows[order], np.arange(len(part.offsets)))
                 starts, ends, kept = [], [], []
                 for row, (x, y) in enumerate(zip(borders[:-1], borders[1:], strict=True)):
-                    base, stop = part.offsets[row], part.offsets[row + 1]
-                    low, high = _spans(part, x, y, hulls[a + row], strings[a + row])
-                    starts.append((low - base).tolist())
-                    ends.append((high - base).tolist())
-                    if len(low):
-                        edges = np.stack([np.concatenate([[base], high]), np.concatenate([low, [stop]])], axis=1)
-                        kept.append(b"".join(part.data[i:j].tobytes() for i, j in edges))
-                    else:
-                        kept.append(part.data[base:stop].tobytes())
-                n = len(starts)
+                    base, stop = int(part.offsets[row]), int(part.offsets[row + 1])
+                    begin, end = _merged(low[x:y], high[x:y])
+                    starts.append((begin - base).tolist())
+                    ends.append((end - base).tolist())
+                    edges = zip([base, *end.tolist()], [*begin.tolist(), stop], strict=True)
+                    kept.append(b"".join(part.data[i:j].tobytes() for i, j in edges))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(a, n),
+                        ids.slice(a, len(starts)),
                         pa.array(np.diff(part.offsets)),
                         pa.array(starts, type=pa.list_(pa.int64())),
                         pa.array(ends, type=pa.list_(pa.int64())),
@@ -188,29 +227,29 @@ def _cut(texts: DataFrame, length: int, kind: str) -> DataFrame:
     return texts.mapInArrow(remove, f"id {kind}, n_bytes long, starts array<long>, ends array<long>, kept binary")
 
 
-def _spans(part: Stretches, x: int, y: int, hulls: pa.Scalar, strings: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    """Merged byte ranges to remove from one row, whose stretches are x .. y."""
-    low, high = [], []
-    if hulls.is_valid and y > x:
-        hit = np.isin(tb.signed(part.hull[0][x:y]), hulls.values.to_numpy())
-        low.append(part.low[x:y][hit])
-        high.append(part.high[x:y][hit] + part.length)
-    if strings.is_valid and y > x:
-        places = np.arange(part.low[x], part.high[y - 1] + 1)
-        places = places[np.isin(tb.signed(part.strings(places)[0]), strings.values.to_numpy())]
-        low.append(places)
-        high.append(places + part.length)
-    if not sum(map(len, low)):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    low, high = np.concatenate(low), np.concatenate(high)
-    order = np.argsort(low, kind="stable")
-    low, reach = low[order], np.maximum.accumulate(high[order])
+def _merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal ranges covered by ranges that are sorted by their start."""
+    if not len(low):
+        return low, high
+    reach = np.maximum.accumulate(high)
     new = np.ones(len(low), dtype=bool)
     new[1:] = low[1:] > reach[:-1]
     first = np.flatnonzero(new)
     return low[first], reach[np.append(first[1:], len(low)) - 1]
 
 
+def _judged(rows: DataFrame, label: str) -> DataFrame:
+    """Rows with a repeated core, with ``settled`` and whether they are to be cut (``open``)."""
+    twice = (F.count(F.lit(1)) > 1) | F.max("again")
+    cores = rows.groupBy("core").agg(twice.alias("twice"), (F.min("hull") != F.max("hull")).alias("mixed"))
+    repeated = materialize(rows.join(cores.where("twice").select("core", "mixed"), "core"), f"{label}-repeated")
+    # Of the copies of a settled hull the one in the first text is cut, to be met by strings of other hulls.
+    hulls = repeated.groupBy("hull", "hull2").agg(twice.alias("settled"), F.min("text").alias("first"))
+    judged = repeated.join(hulls, ["hull", "hull2"])
+    open_ = F.col("mixed") & (~F.col("settled") | (F.col("text") == F.col("first")))
+    return materialize(judged.select("text", "hull", "settled", open_.alias("open")), f"{label}-judged")
+
+
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH) -> DataFrame:
     """``id, n_bytes, starts, ends, kept`` per row: ranges of the UTF-8 text to remove and the bytes that stay.
 
@@ -225,24 +264,27 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     texts = docs.select(F.col(id_column).alias("id"), F.xxhash64(content, F.length(content)).alias("text"), content.alias("content"))
     long_texts = texts.where(F.octet_length("content") >= length)
 
-    stretches = _stretch_rows(long_texts.select("text", "content"), length)
-    stretches = materialize(stretches, "stretches")
-    twice = (F.count(F.lit(1)) > 1) | F.max("again")
-    cores = stretches.groupBy("core").agg(twice.alias("twice"), (F.min("hull") != F.max("hull")).alias("mixed"))
-    repeated = materialize(stretches.join(cores.where("twice").drop("twice"), "core"), "repeated")
-    hulls = repeated.groupBy("hull", "hull2").agg(twice.alias("settled"), F.min("text").alias("first"))
-    marked = materialize(repeated.join(hulls, ["hull", "hull2"]), "marked")
-    settled = marked.where("settled").groupBy("text").agg(F.collect_set("hull").alias("hulls"))
-
-    # Of the copies of a settled hull the one of the first text is opened, to be met by strings of other hulls.
-    opened = marked.where("mixed and (not settled or text = first)").groupBy("text").agg(F.collect_set("hull").alias("open"))
-    one_each = long_texts.select("text", "content").join(opened, "text")
-    strings = materialize(_string_rows(one_each, length), "strings")
-    # Equal texts say the same of each of their strings, and their hulls are settled already.
-    strings = strings.groupBy("text", "string", "string2").agg(F.max("again").alias("again"))
-    same = strings.groupBy("string", "string2").agg(((F.count(F.lit(1)) > 1) | F.max("again")).alias("twice")).where("twice")
-    found = strings.join(same.drop("twice"), ["string", "string2"]).groupBy("text").agg(F.collect_set("string").alias("strings"))
-
-    flags = materialize(settled.join(found, "text", "full_outer").select("text", "hulls", "strings"), "flags")
-    joined = texts.join(flags, "text", "left").select("id", "content", "hulls", "strings")
-    return _cut(joined, length, kind)
+    rows = materialize(_stretch_rows(long_texts.select("text", "content"), length), "stretches")
+    cut: list[DataFrame] = []
+    settled = None
+    for level in range(len(STEPS) + 1):
+        judged = _judged(rows, f"level-{level}")
+        found = judged.where("settled").select("text", "hull")
+        settled = found if settled is None else settled.union(found)
+        if level < len(STEPS):
+            sure = F.collect_set(F.when(F.col("settled"), F.col("hull"))).alias("sure")
+            lists = materialize(judged.where("open").groupBy("text").agg(F.collect_set("hull").alias(f"open{level}"), sure), "open")
+            texts_here = long_texts.select("text", "content").join(lists, "text")
+            for k, former in enumerate(cut):
+                texts_here = texts_here.join(former, "text")
+            cut.append(lists.drop("sure"))
+            names = [f"open{k}" for k in range(level + 1)]
+            rows = materialize(_piece_rows(texts_here.select("text", "content", *names, "sure"), length, level + 1), "pieces")
+
+    flags = settled.groupBy("text").agg(F.collect_set("hull").alias("settled"))
+    for former in cut:
+        flags = flags.join(former, "text", "left")
+    flags = materialize(flags, "flags")
+    names = [f"open{k}" for k in range(len(STEPS))]
+    joined = texts.join(flags, "text", "left").select("id", "content", "settled", *names)
+    return _cut_texts(joined, length, kind)
