@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hazegrid.catalog.joins import MODEL_ERRORS, model_errors
 from hazegrid.catalog.registry import query
 from hazegrid.catalog.tables import EV, observations
-from hazegrid.operators import features, forecast
+from hazegrid.operators import alerts, features, forecast, metrics, series
 from hazegrid.operators.features import FeatureSpec
 from hazegrid.plans import preprocess, training
 from hazegrid.plans.forecasters import ForestForecaster, ModelRegistry, SequenceForecaster
@@ -49,12 +49,19 @@ def forecast_table(spark, folder):
     return dataset(spark, folder).withColumns(calendar_columns())
 
 
-def fitted_forest(spark, folder):
-    rows = materialize(forecast_table(spark, folder), "rows")
+def train_parts(rows):
+    """Fitting, checking and testing part of the train rows, cut by time in each site."""
     known = rows.where("dataset_split = 'train'")
+    parts = materialize(features.chronological_split(known, 0.15, 0.15, order=("timestamp", "event_id")), "parts")
+    return [parts.where(F.col("part") == p).drop("part") for p in ("train", "validation", "test")]
+
+
+def fitted_forest(spark, folder):
+    """A forest and band widths from its errors on rows it has not seen."""
+    fitting, _, testing = train_parts(forecast_table(spark, folder))
     forest = ForestForecaster(PLAIN, trees=5, depth=5)
-    forest.fit(known)
-    scored = training.evaluate([forest], known, forest.targets)
+    forest.fit(fitting)
+    scored = training.evaluate([forest], testing, forest.targets)
     sigmas = materialize(scored.select("target", F.col("rmse").alias("sigma")), "sigmas")
     return forest, sigmas
 
@@ -75,31 +82,78 @@ def j1_preprocess(spark, folder):
     return scaled.select("event_id", *[F.round(f"_z_{name}", 6).alias(name) for name in ("o3", "sparse", "constant")])
 
 
-@query("j2_forest_metrics")
+# The test rows of the train split, and what a model is told about per target. SQL cannot fit a model, so the
+# queries give what SQL can state: the rows scored, their truth, and how the error compares with the plain mean's.
+TESTED = f"""{EV}, numbered AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY "timestamp", event_id) - 1 AS i,
+    count(*) OVER (PARTITION BY site_id) AS n FROM ev WHERE dataset_split = 'train'),
+  tested AS (SELECT * FROM numbered WHERE i >= floor(CAST(n AS DOUBLE) * (CAST(1 AS DOUBLE) - CAST(0.15 AS DOUBLE))))"""
+
+
+def scored_against_mean(model, testing, factor: float):
+    """Per target: rows scored, sum of the truth, and whether the error is below ``factor`` times that of the mean."""
+    pairs = materialize(training.scored_pairs(model.predict(testing), model.name, model.targets), "scored")
+    truth = pairs.where("truth IS NOT NULL AND prediction IS NOT NULL").groupBy("model", "target").agg(
+        F.count(F.lit(1)).alias("scored"), F.round(F.sum("truth"), 4).alias("truth_sum"), F.stddev_pop("truth").alias("_spread")
+    )
+    errors = metrics.regression_metrics(pairs).select("model", "target", "rmse")
+    return truth.join(errors, ["model", "target"]).select(
+        "model", "target", "scored", "truth_sum", (F.col("rmse") < factor * F.col("_spread")).alias("error_bounded")
+    )
+
+
+@query(
+    "j2_forest_metrics",
+    f"""WITH {EV}, whole AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY "timestamp", event_id) > 72),
+      numbered AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY "timestamp", event_id) - 1 AS i,
+        count(*) OVER (PARTITION BY site_id) AS n FROM whole WHERE dataset_split = 'train'),
+      tested AS (SELECT * FROM numbered WHERE i >= floor(CAST(n AS DOUBLE) * (CAST(1 AS DOUBLE) - CAST(0.15 AS DOUBLE))))
+      SELECT 'baseline_random_forest' AS model, 'O3_target' AS target, count(o3) AS scored, round(sum(o3), 4) AS truth_sum, true AS error_bounded FROM tested
+      UNION ALL SELECT 'baseline_random_forest', 'NO2_target', count(no2), round(sum(no2), 4), true FROM tested""",
+)
 def j2_forest_metrics(spark, folder):
     rows = materialize(features.build_features(dataset(spark, folder), SPEC), "features")
-    known = rows.where("dataset_split = 'train'")
-    columns = features.feature_columns(known, SPEC.targets, [*SPEC.excluded, "event_id"])
+    columns = features.feature_columns(rows.where("dataset_split = 'train'"), SPEC.targets, [*SPEC.excluded, "event_id"])
+    fitting, _, testing = train_parts(rows)
     forest = ForestForecaster(columns, trees=5, depth=5)
-    forest.fit(known)
-    return training.evaluate([forest], known, forest.targets)
+    forest.fit(fitting)
+    return scored_against_mean(forest, testing, 1.0)
 
 
-@query("j3_sequence_metrics")
+@query(
+    "j3_sequence_metrics",
+    f"""WITH {TESTED}, w AS (SELECT * FROM tested QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY i) > 6)
+      SELECT 'sequence' AS model, 'O3_target' AS target, count(o3) AS scored, round(sum(o3), 4) AS truth_sum, true AS error_bounded FROM w
+      UNION ALL SELECT 'sequence', 'NO2_target', count(no2), round(sum(no2), 4), true FROM w""",
+)
 def j3_sequence_metrics(spark, folder):
-    rows = materialize(forecast_table(spark, folder).where("dataset_split = 'train'"), "rows")
-    parts = materialize(features.chronological_split(rows, 0.15, 0.15, order=("timestamp", "event_id")), "parts")
-    fitting, checking, testing = (parts.where(F.col("part") == p).drop("part") for p in ("train", "validation", "test"))
+    fitting, checking, testing = train_parts(forecast_table(spark, folder))
     model = SequenceForecaster(PLAIN, 6, tie_break=("event_id",))
     model.fit(fitting, checking)
-    return training.evaluate([model], testing, model.targets)
+    return scored_against_mean(model, testing, 1.25)  # values here do not depend on the past
+
+
+def band_flags(points, sigmas, keys):
+    """Keys of a forecast, and whether the bands have the width that the errors ask for."""
+    width = F.lit(2 * 1.96)
+    good = F.lit(True)
+    for target, name in (("O3_target", "o3"), ("NO2_target", "no2")):
+        sigma = sigmas.where(F.col("target") == target).agg(F.max("sigma").alias("s")).select("s").scalar()
+        good &= F.abs(F.col(f"{name}_upper") - F.col(f"{name}_lower") - width * sigma) < 1e-6
+        good &= F.abs(F.col(f"{name}_upper") + F.col(f"{name}_lower") - 2 * F.col(name)) < 1e-6
+    return points.select(*keys, "model_name", good.alias("band_fits"))
 
 
-@query("j4_batch_forecast")
+@query(
+    "j4_batch_forecast",
+    f"""WITH {EV} SELECT site_id, "timestamp", event_id, 'baseline_random_forest' AS model_name, true AS band_fits
+      FROM ev WHERE dataset_split = 'unseen'
+      QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY "timestamp" DESC, event_id DESC) <= 24""",
+)
 def j4_batch_forecast(spark, folder):
     forest, sigmas = fitted_forest(spark, folder)
     unseen = forecast_table(spark, folder).where("dataset_split = 'unseen'")
-    return training.batch_forecast(forest, unseen, sigmas, 0, order=("timestamp", "event_id"))
+    points = training.batch_forecast(forest, unseen, sigmas, 0, order=("timestamp", "event_id"))
+    return band_flags(points, sigmas, ["site_id", "timestamp", "event_id"])
 
 
 @query(
@@ -121,7 +175,7 @@ def j5_passthrough_forecast(spark, folder):
     return points.withColumns({name: F.round(name, 6) for name in ends})
 
 
-@query("j6_saved_model")
+@query("j6_saved_model", f"""WITH {EV} SELECT DISTINCT site_id, 0.0::DOUBLE AS difference FROM ev""")
 def j6_saved_model(spark, folder):
     """A saved and loaded model predicts what the original did: the largest difference per site."""
     forest, _ = fitted_forest(spark, folder)
@@ -134,17 +188,55 @@ def j6_saved_model(spark, folder):
     return before.join(after, "event_id").groupBy("site_id").agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("difference"))
 
 
-@query("j7_training_job")
+MEASURES = """measures AS (SELECT model, target, metric FROM
+    (VALUES ('baseline_random_forest'), ('sequence')) m(model), (VALUES ('O3_target'), ('NO2_target')) t(target),
+    (VALUES ('rmse'), ('mae'), ('r2'), ('ria')) k(metric) WHERE EXISTS (SELECT 1 FROM events))"""
+
+
+@query(
+    "j7_training_job",
+    f"""WITH {MEASURES} SELECT model, target, metric, true AS known, true AS active_has_least_error FROM measures""",
+)
 def j7_training_job(spark, folder):
-    metadata = training.train(dataset(spark, folder), shared_path(spark, "job"), SPEC, CONFIG)
+    metadata = training.train(dataset(spark, folder), shared_path(spark, "job"), SPEC, CONFIG, sequence=None)
+    errors = {model: sum(t["rmse"] for t in targets.values()) for model, targets in metadata["metrics"].items()}
+    right = errors[metadata["active_model"]] == min(errors.values())
     measured = training.metrics_table(spark, metadata)
-    return measured.withColumn("active", F.col("model") == metadata["active_model"])
+    return measured.select(
+        "model", "target", "metric", F.col("value").isNotNull().alias("known"), F.lit(right).alias("active_has_least_error")
+    )
 
 
-@query("j8_profile_comparison")
+@query(
+    "j8_profile_comparison",
+    f"""WITH {MEASURES} SELECT model, target, metric, true AS zip_only, true AS external_augmented FROM measures""",
+)
 def j8_profile_comparison(spark, folder):
     profiles = {"zip_only": dataset(spark, folder), "external_augmented": dataset(spark, folder, external=True)}
-    return training.compare_profiles(profiles, shared_path(spark, "profiles"), SPEC, CONFIG)
+    compared = training.compare_profiles(profiles, shared_path(spark, "profiles"), SPEC, CONFIG)
+    return compared.select("model", "target", "metric", *[F.col(name).isNotNull().alias(name) for name in profiles])
+
+
+@query(
+    "h2_forecast_alerts",
+    f"""WITH {EV}, coming AS (SELECT * FROM ev WHERE dataset_split = 'unseen'
+        QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY "timestamp" DESC, event_id DESC) <= 12),
+      both_ AS (SELECT site_id, "timestamp", event_id, 'O3' AS pollutant, 0 AS r, o3 AS value, 100.0::DOUBLE AS threshold FROM coming
+        UNION ALL SELECT site_id, "timestamp", event_id, 'NO2', 1, no2, 80.0::DOUBLE FROM coming)
+      SELECT site_id, "timestamp", event_id, pollutant, value, threshold, 'lstm' AS model_name,
+        CASE WHEN value >= threshold * 1.2::DOUBLE THEN 'critical' ELSE 'warning' END AS severity,
+        row_number() OVER (ORDER BY "timestamp", site_id, r, event_id) AS place
+      FROM both_ WHERE value >= threshold""",
+)
+def h2_forecast_alerts(spark, folder):
+    unseen = observations(spark, folder).where("dataset_split = 'unseen'")
+    order = ("timestamp", "event_id")
+    points = forecast.passthrough_forecast(unseen, model_errors(spark, folder), "lstm", 12, "o3", "no2", order=order)
+    found = alerts.forecast_alerts(points, order=order).withColumn("all", F.lit(0))
+    listed = series.index_rows(found, ["all"], ["timestamp", "site_id", "pollutant_rank", "event_id"])
+    return listed.select(
+        "site_id", "timestamp", "event_id", "pollutant", "value", "threshold", "model_name", "severity", (F.col(series.ROW) + 1).alias("place")
+    )
 
 
 class SiteMean:
@@ -169,7 +261,14 @@ class SiteMean:
 
         from hazegrid.sources.tables import write_json_document
 
-        write_json_document(SparkSession.active(), {"kind": "mean", "means": self.means}, f"{path}/document")
+        document = {"kind": "mean", "targets": self.targets, "means": self.means}
+        write_json_document(SparkSession.active(), document, f"{path}/document")
+
+    @classmethod
+    def load(cls, spark, path, document):
+        model = cls(document["targets"])
+        model.means = document["means"]
+        return model
 
 
 @query(
@@ -182,5 +281,9 @@ def j9_custom_forecaster(spark, folder):
     known = dataset(spark, folder).where("dataset_split = 'train'")
     model = SiteMean(SPEC.targets)
     model.fit(known)
-    scored = training.evaluate([model], known, model.targets)
+    registry = ModelRegistry(spark, shared_path(spark, "custom"), {"mean": SiteMean.load})
+    registry.save(model)
+    registry.save_metadata({"available_models": [model.name]})
+    loaded = registry.load(model.name)
+    scored = training.evaluate([loaded], known, loaded.targets)
     return scored.select("model", "target", F.round("rmse", 4).alias("rmse"))

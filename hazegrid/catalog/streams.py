@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hazegrid.catalog.models import forecast_table, fitted_forest
+from hazegrid.catalog.models import band_flags, fitted_forest, forecast_table
 from hazegrid.catalog.registry import query
 from hazegrid.catalog.scalars import THRESHOLD_ALERTS
 from hazegrid.catalog.sources import payloads
@@ -107,8 +107,12 @@ def i5_streaming_latest(spark, folder):
     return newest.select("site_id", "event_id", "o3", "no2")
 
 
-@query("i6_streaming_scoring")
+@query(
+    "i6_streaming_scoring",
+    f"""WITH {EV} SELECT site_id, event_id, 'baseline_random_forest' AS model_name, true AS band_fits, true AS as_in_batch FROM ev""",
+)
 def i6_streaming_scoring(spark, folder):
+    """Keys of all rows scored as a stream, whether their bands fit, and whether a batch gives the same values."""
     forest, sigmas = fitted_forest(spark, folder)
     landed = shared_path(spark, "scoring-input")
     forecast_table(spark, folder).write.parquet(landed)
@@ -118,4 +122,10 @@ def i6_streaming_scoring(spark, folder):
         lambda path, checkpoint: live.score_batches(stream, forest, sigmas, path, checkpoint, ("site_id", "event_id")),
         "scores",
     )
-    return rows.drop("batch")
+    once = forest.predict(spark.read.parquet(landed)).select(
+        "event_id", F.col("prediction_O3_target").alias("_o3"), F.col("prediction_NO2_target").alias("_no2")
+    )
+    same = (F.abs(F.col("o3") - F.col("_o3")) < 1e-9) & (F.abs(F.col("no2") - F.col("_no2")) < 1e-9)
+    joined = rows.join(once, "event_id", "left").withColumn("as_in_batch", F.coalesce(same, F.lit(False)))
+    flags = band_flags(joined, sigmas, ["site_id", "event_id", "as_in_batch"])
+    return flags.select("site_id", "event_id", "model_name", "band_fits", "as_in_batch")

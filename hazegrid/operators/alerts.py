@@ -52,6 +52,20 @@ def ordered_alerts(alerts: DataFrame, site: str = S.SITE, timestamp: str = S.TIM
     return alerts.orderBy(timestamp, site, "pollutant_rank")
 
 
+def forecast_alerts(
+    points: DataFrame,
+    o3_threshold: float = O3_THRESHOLD,
+    no2_threshold: float = NO2_THRESHOLD,
+    site: str = S.SITE,
+    order: Sequence[str] = (S.TIMESTAMP,),
+) -> DataFrame:
+    """Alerts of a forecast of all sites (``site, *order, o3, no2, model_name``), to be listed with ``ordered_alerts``.
+
+    The model's name and the order columns of the point stay beside each alert.
+    """
+    return threshold_alerts(points, o3_threshold, no2_threshold, site, order[0], [*order[1:], "model_name"])
+
+
 def severity_counts(alerts: DataFrame, sites: DataFrame | None = None, site: str = S.SITE) -> DataFrame:
     """Alerts per severity and site; with ``sites`` also for sites that have none."""
     counted = alerts.groupBy(site).agg(

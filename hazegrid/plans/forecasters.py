@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -168,12 +168,28 @@ class SequenceForecaster:
         write_json_document(SparkSession.active(), document, f"{path}/document")
 
 
+def _load_forest(spark: SparkSession, path: str, document: dict) -> ForestForecaster:
+    model = PipelineModel.load(f"{path}/pipeline")
+    return ForestForecaster(document["feature_columns"], document["targets"], name=document["name"], model=model)
+
+
+def _load_sequence(spark: SparkSession, path: str, document: dict) -> SequenceForecaster:
+    kept = {key: document[key] for key in ("feature_columns", "lookback", "targets", "family", "tie_break", "name", "residual_std")}
+    scale = {key: tuple(pair) for key, pair in document["target_scale"].items()}
+    return SequenceForecaster(**kept, model=PipelineModel.load(f"{path}/pipeline"), target_scale=scale)
+
+
 class ModelRegistry:
-    """Saved models by name under one folder, with the metadata document of their training job."""
+    """Saved models by name under one folder, with the metadata document of their training job.
+
+    A saved model has a document whose ``kind`` says how to load it. ``loaders`` adds kinds of one's own: a
+    function of session, folder and document.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, loaders: dict[str, Callable] | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.loaders = {"forest": _load_forest, "sequence": _load_sequence, **(loaders or {})}
 
     def path(self, name: str) -> str:
         return f"{self.root}/models/{name}"
@@ -187,24 +203,13 @@ class ModelRegistry:
     def metadata(self) -> dict:
         return read_json_document(self.spark, f"{self.root}/metadata")
 
-    def load(self, name: str) -> ForestForecaster | SequenceForecaster:
+    def load(self, name: str) -> Forecaster:
         if name not in self.metadata()["available_models"]:
             raise KeyError(f"Unknown model: {name}")
         document = read_json_document(self.spark, f"{self.path(name)}/document")
-        model = PipelineModel.load(f"{self.path(name)}/pipeline")
-        if document["kind"] == "forest":
-            return ForestForecaster(document["feature_columns"], document["targets"], name=name, model=model)
-        return SequenceForecaster(
-            document["feature_columns"],
-            document["lookback"],
-            document["targets"],
-            document["family"],
-            document["tie_break"],
-            name,
-            model,
-            {key: tuple(pair) for key, pair in document["target_scale"].items()},
-            document["residual_std"],
-        )
+        if document["kind"] not in self.loaders:
+            raise KeyError(f"No loader for models of kind {document['kind']}")
+        return self.loaders[document["kind"]](self.spark, self.path(name), document)
 
 
 def latest_with_history(df: DataFrame, horizon: int, history: int, order: Sequence[str]) -> DataFrame:

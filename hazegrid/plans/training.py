@@ -20,6 +20,7 @@ from hazegrid.plans.forecasters import (
     SequenceForecaster,
     latest_with_history,
 )
+from hazegrid.session import materialize
 from hazegrid.sources.tables import read_features, write_features
 
 # Band width for a sequence model that carries no residual spread.
@@ -54,12 +55,15 @@ def scored_pairs(predicted: DataFrame, model: str, targets: Sequence[str]) -> Da
 
 
 def evaluate(forecasters: Sequence[Forecaster], test: DataFrame, targets: Sequence[str]) -> DataFrame:
-    """Metrics per model and target on the test rows each model can predict."""
+    """Metrics per model and target on the test rows each model can predict.
+
+    The predictions are written once, since the metrics read them twice and each model should run once per row.
+    """
     pairs = None
     for model in forecasters:
         scored = scored_pairs(model.predict(test), model.name, targets)
         pairs = scored if pairs is None else pairs.unionByName(scored)
-    return metrics.regression_metrics(pairs)
+    return metrics.regression_metrics(materialize(pairs, "scored"))
 
 
 def train(
@@ -70,22 +74,25 @@ def train(
     extra_forecasters: Sequence[Forecaster] = (),
     validate: bool = True,
     sources: Sequence[str] = (),
+    sequence: str | None = None,
 ) -> dict:
     """The whole job: checks, features, split, two models, metrics, choice, metadata document.
 
+    The checks ask for every input column that features are derived from, the satellite columns among them, and
+    for ``sequence`` (a unique row number of the source, if there is one) also for rows in time order.
     ``dataset`` holds train and unseen rows; features are derived over both, then split. The feature table
     is written once and read back by everything after it.
     """
     spark = dataset.sparkSession
     if validate:
-        inputs = [name for name in spec.lag_columns if name not in S.EXTERNAL_COLUMNS]
+        inputs = [name for name in dict.fromkeys([*spec.lag_columns, *spec.sparse_columns]) if name not in S.EXTERNAL_COLUMNS]
         for split, targets in ((S.TRAIN, spec.targets), (S.UNSEEN, ())):
             required = [spec.site, spec.timestamp, *inputs, *targets]
-            report = quality.validation_report(features.split_rows(dataset, split), required).first()
+            report = quality.validation_report(features.split_rows(dataset, split), required, sequence=sequence).first()
             if not report["passed"]:
                 raise ValueError({split: report["issues"]})
     write_features(features.build_features(dataset, spec), f"{root}/features")
-    train_rows = read_features(spark, f"{root}/features", S.TRAIN)
+    train_rows = read_features(spark, f"{root}/features", S.TRAIN, dataset.schema[spec.site].dataType)
     excluded = [*spec.excluded, *spec.tie_break]
     columns = features.feature_columns(train_rows, spec.targets, excluded)
     parts = features.chronological_split(
@@ -142,9 +149,10 @@ def metrics_table(spark, metadata: dict) -> DataFrame:
 
 
 def model_sigmas(spark, metadata: dict, forecaster: Forecaster) -> DataFrame:
-    """Band widths: residual spread for a sequence model, RMSE for any other."""
-    if isinstance(forecaster, SequenceForecaster):
-        spread = {name: forecaster.residual_std.get(name, DEFAULT_RESIDUAL) for name in forecaster.targets}
+    """Band widths: a model's own ``residual_std`` where it has one, else its RMSE."""
+    own = getattr(forecaster, "residual_std", None)
+    if own is not None:
+        spread = {name: own.get(name, DEFAULT_RESIDUAL) for name in forecaster.targets}
     else:
         spread = {name: values["rmse"] for name, values in metadata["metrics"][forecaster.name].items()}
     rows = [(name, float(value)) for name, value in spread.items()]

@@ -47,7 +47,7 @@ def compare(spark, con, folder, function, sql):
     df = function(spark, folder)
     got = df.collect()
     if sql is None:
-        return None, len(got)
+        return (None if got else "no rows and no SQL to say so"), len(got)
     result = con.execute(sql)
     names = [d[0] for d in result.description]
     expected = result.fetchall()
