@@ -21,7 +21,7 @@ from hazegrid.llm import textbytes as tb
 
 WINDOW_WORDS = 10
 BLOCK_BYTES = 8 << 20  # of benchmark text per pass
-SHARD_BYTES = 16 << 20  # of document text per index
+SHARD_BYTES = 8 << 20  # of document text per index
 SAMPLE_EVERY = 8
 
 

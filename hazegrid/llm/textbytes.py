@@ -16,7 +16,7 @@ import pyarrow as pa
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
