@@ -44,14 +44,14 @@ def c2_external_context(spark, folder):
 
 @query(
     "c3_site_counts",
-    f"""WITH {EV}, t AS (SELECT site_id, count(*) AS train_rows FROM ev WHERE dataset_split = 'train' GROUP BY 1),
-      u AS (SELECT site_id, count(*) AS unseen_rows FROM ev WHERE dataset_split = 'unseen' AND o3 > 480 GROUP BY 1)
+    """WITH t AS (SELECT c_custkey AS site_id, count(*) AS train_rows FROM customer GROUP BY 1),
+      u AS (SELECT o_custkey AS site_id, count(*) AS unseen_rows FROM orders GROUP BY 1)
       SELECT t.site_id, t.train_rows, coalesce(u.unseen_rows, 0) AS unseen_rows FROM t LEFT JOIN u ON t.site_id = u.site_id""",
 )
 def c3_site_counts(spark, folder):
-    df = observations(spark, folder)
-    unseen = df.where("dataset_split = 'unseen' AND o3 > 480")
-    return quality.site_counts(df.where("dataset_split = 'train'"), unseen)
+    """Customers stand for sites, their orders for unseen rows; customers without orders have none."""
+    known = table(spark, folder, "customer").select(F.col("c_custkey").alias("site_id"))
+    return quality.site_counts(known, table(spark, folder, "orders").select(F.col("o_custkey").alias("site_id")))
 
 
 @query(
@@ -154,13 +154,15 @@ def c6_session_steps(spark, folder):
 @query(
     "c7_session_detail",
     f"""WITH {REPORTS}, {SESSIONS},
-      m AS (SELECT conv_id AS session_id, string_agg(role || ':' || text, '|' ORDER BY turn) AS t FROM conversations GROUP BY 1),
-      r AS (SELECT session_id, string_agg(payload, '|' ORDER BY created_at DESC) AS t FROM reports GROUP BY 1),
-      s AS (SELECT r.session_id, string_agg(s.payload, '|' ORDER BY s.created_at DESC) AS t
-        FROM steps s JOIN reports r ON s.report_id = r.report_id GROUP BY 1)
-      SELECT x.session_id, x.title, md5(m.t) AS messages, md5(coalesce(r.t, '')) AS reports, md5(coalesce(s.t, '')) AS steps
-      FROM sessions x LEFT JOIN m ON x.session_id = m.session_id LEFT JOIN r ON x.session_id = r.session_id
-        LEFT JOIN s ON x.session_id = s.session_id""",
+      m AS (SELECT conv_id AS session_id, turn // 500 AS page, string_agg(role || ':' || text, '|' ORDER BY turn) AS t FROM conversations GROUP BY 1, 2),
+      r AS (SELECT session_id, created_at // 500 AS page, string_agg(payload, '|' ORDER BY created_at DESC) AS t FROM reports GROUP BY 1, 2),
+      s AS (SELECT r.session_id, s.created_at // 500 AS page, string_agg(s.payload, '|' ORDER BY s.created_at DESC) AS t
+        FROM steps s JOIN reports r ON s.report_id = r.report_id GROUP BY 1, 2),
+      p AS (SELECT session_id, page FROM m UNION SELECT session_id, page FROM r UNION SELECT session_id, page FROM s)
+      SELECT x.session_id, CAST(p.page AS BIGINT) AS page, x.title, md5(coalesce(m.t, '')) AS messages, md5(coalesce(r.t, '')) AS reports, md5(coalesce(s.t, '')) AS steps
+      FROM sessions x LEFT JOIN p ON x.session_id = p.session_id
+        LEFT JOIN m ON m.session_id = p.session_id AND m.page = p.page LEFT JOIN r ON r.session_id = p.session_id AND r.page = p.page
+        LEFT JOIN s ON s.session_id = p.session_id AND s.page = p.page""",
 )
 def c7_session_detail(spark, folder):
     said, told = messages(spark, folder), reports(spark, folder)
@@ -170,8 +172,9 @@ def c7_session_detail(spark, folder):
     empty = F.lit("")
     return detail.select(
         "session_id",
+        "page",
         "title",
-        F.md5(F.array_join(line, "|")).alias("messages"),
+        F.md5(F.coalesce(F.array_join(line, "|"), empty)).alias("messages"),
         F.md5(F.coalesce(F.array_join("reports.payload", "|"), empty)).alias("reports"),
         F.md5(F.coalesce(F.array_join("steps.payload", "|"), empty)).alias("steps"),
     )

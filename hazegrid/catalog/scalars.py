@@ -9,10 +9,10 @@ from hazegrid.catalog.projections import CLEAN, INTENT, TITLE, _with
 from hazegrid.catalog.rankings import ANOMALIES, CORPUS, RANKED, TOKENS, anomalies, evidence_corpus, evidence_queries
 from hazegrid.catalog.registry import query
 from hazegrid.catalog.tables import documents as text_table
-from hazegrid.catalog.tables import EV, coordinates, hourly, observations, stored_hours, table
+from hazegrid.catalog.tables import EV, HOURLY, coordinates, hourly, observations, stored_hours, table
 from hazegrid.catalog.windows import FORECAST_TAIL
 from hazegrid.functions import risk, text, vectors
-from hazegrid.operators import alerts, brief, forecast, joins, network, quality, retrieval, series
+from hazegrid.operators import alerts, brief, evidence, forecast, joins, network, quality, retrieval, series
 from hazegrid.session import materialize
 
 
@@ -333,9 +333,7 @@ def h22_json_columns(spark, folder):
     )
 
 
-@query(
-    "h23_site_texts",
-    f"""{BRIEF}, hist AS (SELECT site_id, count(*) AS n, avg(o3) AS o, avg(no2) AS x, min("timestamp") AS a, max("timestamp") AS z
+SITE_TEXTS = f"""{BRIEF}, hist AS (SELECT site_id, count(*) AS n, avg(o3) AS o, avg(no2) AS x, min("timestamp") AS a, max("timestamp") AS z
         FROM (SELECT * FROM hourly QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY "timestamp" DESC) <= 168) GROUP BY 1),
       cells10 AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY "timestamp", r) AS place FROM (
           SELECT site_id, "timestamp", 'O3' AS pollutant, 0 AS r, o3 AS value, 60.0 AS thr FROM back WHERE b <= 12 AND o3 >= 60
@@ -352,8 +350,10 @@ def h22_json_columns(spark, folder):
         'Selected site ' || w.site_id || ' is located at ' || latitude || ', ' || longitude || '. The dataset contains ' ||
           (SELECT count(DISTINCT site_id) FROM ev) || ' sites, ' || (SELECT count(*) FROM ev WHERE dataset_split = 'train') || ' train rows, and ' ||
           (SELECT count(*) FROM ev WHERE dataset_split = 'unseen') || ' unseen rows. Features include no2. Targets are o3.' AS dataset_text
-      FROM wide w JOIN hist h ON w.site_id = h.site_id LEFT JOIN lines l ON w.site_id = l.site_id""",
-)
+      FROM wide w JOIN hist h ON w.site_id = h.site_id LEFT JOIN lines l ON w.site_id = l.site_id"""
+
+
+@query("h23_site_texts", SITE_TEXTS)
 def h23_site_texts(spark, folder):
     hours = stored_hours(spark, folder)
     df = joins.with_coordinates(observations(spark, folder), coordinates(spark))
@@ -370,17 +370,76 @@ def h23_site_texts(spark, folder):
     )
 
 
-@query(
-    "h23_network_text",
-    f"""WITH {PLACES}, top AS (SELECT *, greatest(coalesce(us_aqi, 0), coalesce(european_aqi, 0)) AS pressure FROM places
+NETWORK_TEXT = f"""WITH {PLACES}, top AS (SELECT *, greatest(coalesce(us_aqi, 0), coalesce(european_aqi, 0)) AS pressure FROM places
         ORDER BY pressure DESC, catalog_rank LIMIT 8)
       SELECT 'Live network scope is global. ' || string_agg(name || ' ' || country || ' O3 ' || printf('%.1f', o3) || ' NO2 ' || printf('%.1f', no2) ||
-        ' modeled US AQI ' || printf('%.0f', coalesce(us_aqi, 0)), ' ' ORDER BY pressure DESC, catalog_rank) AS network_text FROM top""",
-)
+        ' modeled US AQI ' || printf('%.0f', coalesce(us_aqi, 0)), ' ' ORDER BY pressure DESC, catalog_rank) AS network_text FROM top"""
+
+
+@query("h23_network_text", NETWORK_TEXT)
 def h23_network_text(spark, folder):
     return brief.network_text(network.hotspots(places(spark, folder)), "global")
 
 
+EVIDENCE = f"""st AS ({SITE_TEXTS}), nt AS ({NETWORK_TEXT}), lt AS (WITH {HOURLY}
+    SELECT site_id, o3, no2, "timestamp" FROM hourly QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY "timestamp" DESC) = 1),
+  evidence AS (
+    SELECT site_id, 'dataset_summary' AS chunk_id, 'Dataset summary' AS title, 'dataset' AS source_type, dataset_text AS text, 0.95::DOUBLE AS credibility, '' AS metadata FROM st
+    UNION ALL SELECT site_id, 'live_station', 'Current station conditions', 'live',
+      'Live station feed provider is station. Current O3 is ' || printf('%.1f', o3) || ' ug/m3 and current NO2 is ' || printf('%.1f', no2) ||
+      ' ug/m3. Source label: Hourly mean. Fallback used: False. Last updated: ' || strftime("timestamp", '%Y-%m-%dT%H:%M:%S') || '.', 0.95, 'provider=station' FROM lt
+    UNION ALL SELECT site_id, 'forecast_station', 'Forecast outlook', 'forecast', forecast_text, 0.92, 'horizon_hours=24;model_name=lstm' FROM st
+    UNION ALL SELECT site_id, 'alerts', 'Alert state', 'alerts', alerts_text, 0.9, '' FROM st
+    UNION ALL SELECT site_id, 'historical_recent', 'Recent historical behavior', 'historical', history_text, 0.88, '' FROM st
+    UNION ALL SELECT site_id, 'live_network', 'Live network', 'network', network_text, 0.86, 'scope=global' FROM st, nt)"""
+
+
+def site_evidence(spark, folder):
+    texts = materialize(h23_site_texts(spark, folder), "site-texts")
+    newest = series.latest_per_key(stored_hours(spark, folder), ["site_id"], ["timestamp"]).withColumns(
+        {"provider": F.lit("station"), "source_label": F.lit("Hourly mean"), "fallback_used": F.lit(False)}
+    )
+    network = h23_network_text(spark, folder).select("network_text").scalar()
+    return evidence.evidence_table(
+        {
+            "dataset_summary": texts.select("site_id", F.col("dataset_text").alias("text")),
+            "live_station": brief.live_text(newest).select("site_id", F.col("live_text").alias("text"), F.lit("station").alias("provider")),
+            "forecast_station": texts.select(
+                "site_id", F.col("forecast_text").alias("text"), F.lit(24).alias("horizon_hours"), F.lit("lstm").alias("model_name")
+            ),
+            "alerts": texts.select("site_id", F.col("alerts_text").alias("text")),
+            "historical_recent": texts.select("site_id", F.col("history_text").alias("text")),
+            "live_network": texts.select("site_id", network.alias("text"), F.lit("global").alias("scope")),
+        }
+    )
+
+
+@query("h23_evidence_table", f"""WITH {EVIDENCE} SELECT site_id, chunk_id, title, source_type, text, credibility, metadata FROM evidence""")
+def h23_evidence_table(spark, folder):
+    fact = lambda e: F.concat_ws("=", e["key"], e["value"])
+    facts = F.array_join(F.array_sort(F.transform(F.map_entries("metadata"), fact)), ";")
+    return site_evidence(spark, folder).withColumn("metadata", facts)
+
+
+EVIDENCE_RANKED = RANKED.replace(
+    CORPUS,
+    f"""{EVIDENCE}, {CORPUS.replace("corpus AS", "written AS", 1)}, corpus AS (
+      SELECT site_id || ':' || chunk_id AS source_id, text, source_type, credibility FROM evidence
+      UNION ALL SELECT 'document:' || source_id, text, source_type, credibility FROM written)""",
+)
+
+
+@query(
+    "h23_evidence_ranked",
+    f"""WITH {EVIDENCE_RANKED} SELECT query_id, source_id, round(similarity, 9) AS similarity, round(score, 9) AS score, rank FROM ranked""",
+)
+def h23_evidence_ranked(spark, folder):
+    written = evidence_corpus(spark, folder).withColumnRenamed("source_id", "doc_id")
+    sources = materialize(evidence.as_sources(site_evidence(spark, folder), written), "evidence")
+    ranked = retrieval.rank_evidence(evidence_queries(spark, folder), sources)
+    return ranked.withColumns({"similarity": F.round("similarity", 9), "score": F.round("score", 9)})
+
+
 @query(
     "h23_evidence_digest",
     f"""WITH {RANKED}, kept AS (SELECT r.query_id, r.source_id, rank, text FROM ranked r JOIN corpus c ON r.source_id = c.source_id

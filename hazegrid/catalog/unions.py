@@ -98,23 +98,21 @@ def g5_live_with_fallback(spark, folder):
 
 @query(
     "g6_network_locations",
-    """WITH p AS (SELECT n_nationkey AS key, n_name AS name FROM nation),
-      e AS (SELECT user_id % 30 AS key, event_id, ts, value AS o3, event_type FROM events),
-      live AS (SELECT *, 0 AS priority FROM e WHERE event_type IN ('click', 'view') AND o3 >= 300),
-      cached AS (SELECT *, 1 AS priority FROM e WHERE event_type = 'error' AND o3 >= 250),
-      both_tiers AS (SELECT * FROM live UNION ALL SELECT * FROM cached),
+    """WITH p AS (SELECT c_custkey AS key, c_name AS name FROM customer),
+      e AS (SELECT user_id AS key, event_id, ts, value AS o3, event_type FROM events),
+      both_tiers AS (SELECT *, 0 AS priority FROM e WHERE event_type = 'click'
+        UNION ALL SELECT *, 1 AS priority FROM e WHERE event_type = 'error'),
       best AS (SELECT * FROM both_tiers QUALIFY row_number() OVER (PARTITION BY key ORDER BY priority, ts DESC, event_id DESC) = 1)
       SELECT p.key, p.name, best.event_id, best.o3, priority > 0 AS fallback_used FROM p JOIN best ON p.key = best.key""",
 )
 def g6_network_locations(spark, folder):
-    catalog = table(spark, folder, "nation").select(F.col("n_nationkey").cast("bigint").alias("key"), F.col("n_name").alias("name"))
+    """Customers stand for places, clicks for the live feed and errors for the cache; some have only one or none."""
+    places = table(spark, folder, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
     events = table(spark, folder, "events").select(
-        (F.col("user_id") % 30).alias("key"), "event_id", F.col("ts").alias("timestamp"), F.col("value").alias("o3"), "event_type"
+        F.col("user_id").alias("key"), "event_id", F.col("ts").alias("timestamp"), F.col("value").alias("o3"), "event_type"
     )
-    # Users are dealt to places; extreme readings stand for the feeds, so some places have only a cache or nothing.
-    live = events.where(F.col("event_type").isin("click", "view") & (F.col("o3") >= 300))
-    cached = events.where((F.col("event_type") == "error") & (F.col("o3") >= 250))
-    known = network.network_locations(catalog, live, cached, order=("timestamp", "event_id"))
+    live, cached = events.where("event_type = 'click'"), events.where("event_type = 'error'")
+    known = network.network_locations(places, live, cached, order=("timestamp", "event_id"))
     return known.select("key", "name", "event_id", "o3", "fallback_used")
 
 

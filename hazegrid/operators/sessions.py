@@ -41,10 +41,11 @@ def newest_first(steps: DataFrame) -> DataFrame:
 def session_detail(
     sessions: DataFrame, messages: DataFrame, reports: DataFrame, steps: DataFrame, page_rows: int = DETAIL_PAGE
 ) -> DataFrame:
-    """Sessions with nested messages (oldest first), reports and steps (newest first), in pages.
+    """Sessions with nested messages (oldest first), reports and steps (newest first), one row per page.
 
-    Each table has ``created_at`` unique per session (a running number). A page covers ``page_rows``
-    consecutive numbers, so no array grows with the session.
+    The key is (session, ``page``), for sessions of any length: a page covers ``page_rows`` consecutive numbers
+    of ``created_at``, a running number unique per session in each table, so no array grows with the session.
+    A session without any rows has one line with a null page.
     """
     parts = []
     for rows, fields, name, newest in (

@@ -11,11 +11,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "hazegrid", cpus: str | int = "*", partitions: int = 8) -> SparkSession:
-    """A local session for tests and the benchmark; a cluster brings its own."""
+def build_session(
+    app: str = "hazegrid", cpus: str | int = "*", partitions: int = 8, shared: str | None = None
+) -> SparkSession:
+    """A local session for tests and the benchmark; a cluster brings its own.
+
+    ``shared`` becomes ``spark.checkpoint.dir``, the folder for written intermediate tables.
+    """
+    builder = SparkSession.builder.master(f"local[{cpus}]")
+    if shared is not None:
+        builder = builder.config("spark.checkpoint.dir", shared)
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName(app)
+        builder.appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
@@ -61,9 +68,28 @@ def shared_root(spark: SparkSession) -> str:
     return _local_root
 
 
+_written: list[str] = []
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_root(spark)}/hazegrid/{label}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, remembered for ``release``."""
+    path = f"{shared_root(spark)}/hazegrid/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete everything this process has written under ``shared_path`` so far; returns how many paths that were.
+
+    For the end of a job, when no table that reads from there is needed any more.
+    """
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    paths = _written.copy()
+    _written.clear()
+    for path in paths:
+        location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        location.getFileSystem(configuration).delete(location, True)
+    return len(paths)
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:

@@ -8,16 +8,19 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from hazegrid.session import build_session  # noqa: E402
+from hazegrid.session import build_session, release  # noqa: E402
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("hazegrid-tests", 8, partitions=4)
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
+    session = build_session("hazegrid-tests", 8, partitions=4, shared=str(shared))
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
+    assert not list((shared / "hazegrid").glob("*")), "written tables are left in the shared folder"
     session.stop()
 
 

@@ -125,3 +125,19 @@ def test_small_labels(spark):
         text.intent_title(F.lit("brief"), F.lit("forecast")),
     ).first()
     assert tuple(row) == ("a b c", "standby", "standby", "live-high", "live-medium", "live-exploratory", None, "Forecast intelligence brief")
+
+
+def test_fixed_text_of_large_values(spark):
+    values = [536870911.25, 536870912.25, 0.05, 2.15, 0.25, 0.35, 99.95, 999999999999.95, 2.0**53, 2.0**53 + 2, -0.04, 1e15 + 0.5, float(2**61)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", text.fixed_text(F.col("v")).alias("t"))
+    assert [r["t"] for r in df.collect()] == [f"{v:.1f}" for v in values]
+    whole = spark.createDataFrame([(v,) for v in (0.5, 1.5, 2.5, 2.0**40 + 0.5)], "v double").select(text.fixed_text(F.col("v"), 0).alias("t"))
+    assert [r["t"] for r in whole.collect()] == [f"{v:.0f}" for v in (0.5, 1.5, 2.5, 2.0**40 + 0.5)]
+
+
+def test_unknown_values_in_labels(spark):
+    df = spark.createDataFrame([(None, 10.0), (None, None), (3.0, None)], "a double, b double")
+    got = df.select(risk.trend_direction(F.col("a"), F.col("b")).alias("t"), risk.leading_pollutant(F.col("a"), F.col("b")).alias("l"),
+                    risk.strongest_driver(F.col("a"), F.col("b"), F.lit(0.0), F.lit(0.0)).alias("d")).collect()
+    assert [r["t"] for r in got] == ["falling", "unknown", "unknown"]
+    assert [r["l"] for r in got] == ["NO2", "O3", "O3"] and [r["d"] for r in got] == ["NO2", "O3", "O3"]

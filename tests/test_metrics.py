@@ -64,3 +64,11 @@ def test_exact_medians_beyond_the_sketch(spark, monkeypatch, kind):
 def test_median_of_nothing(spark):
     df = spark.range(3).select(F.lit(None).cast("double").alias("a"), F.col("id").alias("b"))
     assert {r["column"]: r["median"] for r in metrics.exact_medians(df, ["a", "b"]).collect()} == {"b": 1.0}
+
+
+def test_unknown_values_are_left_out(spark):
+    rows = [("m", "t", 1.0, 2.0), ("m", "t", 2.0, 3.0), ("m", "t", 3.0, None), ("m", "t", None, 3.0), ("none", "t", None, 1.0)]
+    pairs = spark.createDataFrame(rows, "model string, target string, truth double, prediction double")
+    got = metrics.regression_metrics(pairs).collect()
+    assert len(got) == 1 and (got[0]["rmse"], got[0]["mae"], got[0]["r2"]) == (1.0, 1.0, -3.0)
+    assert {r["model"]: r["incomplete"] for r in metrics.incomplete_pairs(pairs).collect()} == {"m": 2, "none": 1}

@@ -108,6 +108,24 @@ def test_order_check_across_blocks(spark):
     assert got == {"up": False, "inside": True, "joint": True, "null": True}
 
 
+def test_order_check_of_sparse_numbers(spark):
+    """Numbers far apart, and one site with nine tenths of the rows."""
+    big = [("big", i * 10**9 + i % 7, i) for i in range(900)]
+    back = [("back", i * 10**9, i if i != 50 else 1) for i in range(100)]
+    df = spark.createDataFrame(big + back, "site_id string, seq long, timestamp int").repartition(5)
+    got = {r["site_id"]: r["out_of_order"] for r in quality.order_check(df, "seq", block_rows=64).collect()}
+    assert got == {"big": False, "back": True}
+
+
+def test_newest_row_takes_one_shuffle(spark):
+    from conftest import plan_of
+
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("b", None, "z")], "site_id string, t int, v string")
+    newest = series.latest_per_key(df, ["site_id"], ["t"])
+    assert plan_of(newest).split("== Physical Plan ==")[-1].count("Exchange") == 1
+    assert newest.columns == ["site_id", "t", "v"] and {(r["site_id"], r["v"]) for r in newest.collect()} == {("a", "y"), ("b", "z")}
+
+
 def test_nested_pages_are_bounded(skewed):
     pages = series.nest_pages(skewed, ["site_id"], "id", ["v"], page_rows=50)
     assert pages.agg(F.max(F.size("points"))).first()[0] <= 50

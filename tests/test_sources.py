@@ -77,6 +77,27 @@ def test_external_history(spark, tmp_path):
     assert stored() == {1: 1.0, 2: 20.0, 3: 30.0}
 
 
+ODD_SITES = ["007", "7", "1e3", "2024-01-01", "ok"]
+
+
+def test_external_history_keeps_odd_ids(spark, tmp_path):
+    path = str(tmp_path / "odd")
+    first = spark.createDataFrame([(s, dt.datetime(2024, 1, 1), 1.0) for s in ODD_SITES], "site_id string, timestamp timestamp_ntz, v double")
+    external.upsert_external(first, path)
+    external.upsert_external(first.withColumn("v", F.lit(2.0)).unionByName(first.withColumns({"site_id": F.lit("new"), "v": F.lit(3.0)}).limit(1)), path)
+    stored = tables.read_partitioned(spark, path, {"site_id": "string"})
+    assert {r["site_id"]: r["v"] for r in stored.collect()} == {**{s: 1.0 for s in ODD_SITES}, "new": 3.0}
+
+
+def test_features_keep_odd_ids(spark, tmp_path):
+    path = str(tmp_path / "features")
+    df = spark.createDataFrame([(s, "train", dt.datetime(2024, 1, 1), 1.0) for s in ODD_SITES], "site_id string, dataset_split string, timestamp timestamp_ntz, v double")
+    tables.write_features(df, path)
+    back = tables.read_features(spark, path)
+    assert back.schema["site_id"].dataType.simpleString() == "string"
+    assert back.join(df, ["site_id", "timestamp"]).count() == len(ODD_SITES)
+
+
 def test_fetch_plan(spark):
     df = spark.createDataFrame([(1, dt.datetime(2020, 5, 5)), (1, dt.datetime(2023, 1, 2)), (2, dt.datetime(2023, 3, 3))], "site_id int, timestamp timestamp_ntz")
     plan = {r["site_id"]: (str(r["start_date"]), str(r["end_date"])) for r in external.external_fetch_plan(df).collect()}
