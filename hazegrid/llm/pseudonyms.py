@@ -130,13 +130,20 @@ def _iban(text: str, key: bytes, back: bool) -> str | None:
 
 
 def _phone(text: str, key: bytes, back: bool) -> str | None:
+    """Area and exchange start with 2 to 9 in a real number; others count only where the writing leaves no doubt.
+
+    First digits stay in their group (0 and 1, or 2 to 9), so real numbers become real numbers.
+    """
     digits = re.sub(r"\D", "", text)
     national = digits[-10:]
-    if len(digits) not in (10, 11) or (len(digits) == 11 and digits[0] != "1") or "1" > national[0] or national[0] < "2" or national[3] < "2":
+    plain = not text.startswith(("+", "(", "1 ("))
+    firsts = [int(national[0]), int(national[3])]
+    if len(digits) not in (10, 11) or (len(digits) == 11 and digits[0] != "1") or (plain and min(firsts) < 2):
         return None
-    values = [int(national[0]) - 2, int(national[1:3]), int(national[3]) - 2, int(national[4:6]), int(national[6:])]
-    new = _permute(key, "phone", values, [8, 100, 8, 100, 10_000], back)
-    number = f"{new[0] + 2}{new[1]:02d}{new[2] + 2}{new[3]:02d}{new[4]:04d}"
+    lows, sizes = [2 if f >= 2 else 0 for f in firsts], [8 if f >= 2 else 2 for f in firsts]
+    values = [firsts[0] - lows[0], int(national[1:3]), firsts[1] - lows[1], int(national[4:6]), int(national[6:])]
+    new = _permute(key, "phone", values, [sizes[0], 100, sizes[1], 100, 10_000], back)
+    number = f"{new[0] + lows[0]}{new[1]:02d}{new[2] + lows[1]}{new[3]:02d}{new[4]:04d}"
     return _filled(text, digits[:-10] + number)
 
 
@@ -161,12 +168,12 @@ def _social(text: str, key: bytes, back: bool) -> str | None:
 def _address(text: str, key: bytes, back: bool) -> str | None:
     parts = text.split(".")
     octets = [int(p) for p in parts]
-    if any(o > 255 for o in octets) or any(len(p) > 1 and p[0] == "0" for p in parts) or not 1 <= octets[0] <= 223:
+    if any(o > 255 for o in octets) or any(len(p) > 1 and p[0] == "0" for p in parts) or not octets[0]:
         return None
-    # Numbers of as many digits: from 0, 10 or 100 on; the first one is neither 0 nor above 223.
+    # Numbers of as many digits: from 0, 10 or 100 on; the first one is not 0 and stays below or from 224 on.
     lows = [(0, 10, 100)[len(p) - 1] for p in parts]
     ends = [(10, 100, 256)[len(p) - 1] for p in parts]
-    lows[0], ends[0] = max(1, lows[0]), min(224, ends[0])
+    lows[0], ends[0] = (224, 256) if octets[0] >= 224 else (max(1, lows[0]), min(224, ends[0]))
     sizes = [b - a for a, b in zip(lows, ends, strict=True)]
     new = _permute(key, "address", [o - a for o, a in zip(octets, lows, strict=True)], sizes, back)
     return ".".join(str(v + a) for v, a in zip(new, lows, strict=True))
