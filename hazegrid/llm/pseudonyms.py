@@ -205,7 +205,7 @@ def _symbols(kind: str, fixed: int = 0) -> Callable[[str, bytes, bool], str | No
         rest = [c for c in text[fixed:] if c.isalnum()]
         groups = ["0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in rest]
         if kind == "hex":
-            groups = ["0123456789abcdef"] * len(rest)
+            groups = ["0123456789ABCDEF" if text.upper() == text else "0123456789abcdef"] * len(rest)
         elif kind == "access":
             groups = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"] * len(rest)
         sizes = [len(g) for g in groups]
@@ -219,7 +219,7 @@ def _symbols(kind: str, fixed: int = 0) -> Callable[[str, bytes, bool], str | No
 KINDS: list[tuple[str, str | None, re.Pattern, Callable]] = [
     ("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9][A-Za-z0-9._%+-]*)(?=@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", re.ASCII), _symbols("email")),
     ("access", "AKIA", re.compile(r"(?<![A-Za-z0-9])(AKIA[A-Z0-9]{16})(?![A-Za-z0-9])"), _symbols("access", 4)),
-    ("hex", None, re.compile(r"(?:token|password|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?([0-9a-f]{12,128})(?![0-9A-Za-z])"), _symbols("hex")),
+    ("hex", None, re.compile(r"(?i:token|password|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?([0-9a-f]{12,128}|[0-9A-F]{12,128})(?![0-9A-Za-z])"), _symbols("hex")),
     ("iban", None, re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"), _iban),
     ("card", None, re.compile(r"(?<![0-9A-Za-z.-])([0-9](?:[ -]?[0-9]){12,18})(?![0-9A-Za-z]|[.-][0-9])"), _card),
     ("phone", None, re.compile(r"(?<![0-9A-Za-z+(])((?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z]|[.-][0-9])"), _phone),
