@@ -217,9 +217,11 @@ def h14_extract_numbers(spark, folder):
 )
 def h15_lexical_similarity(spark, folder):
     turns = table(spark, folder, "conversations").select("conv_id", "turn", text.tokens(F.col("text")).alias("words"))
-    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("words").alias("before"))
+    # Numbered by a range sort: the turn before is the one with the next smaller number, gaps or not.
+    numbered = series.index_rows(turns, ["conv_id"], ["turn"])
+    before = numbered.select("conv_id", (F.col(series.ROW) + 1).alias(series.ROW), F.col("words").alias("before"))
     similarity = text.lexical_similarity(F.col("before"), F.col("words"))
-    return turns.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.round(similarity, 9).alias("similarity"))
+    return numbered.join(before, ["conv_id", series.ROW]).select("conv_id", "turn", F.round(similarity, 9).alias("similarity"))
 
 
 @query(

@@ -13,6 +13,38 @@ from hazegrid.operators.network import hotspot_struct
 
 ALERTS_IN_TEXT = 10
 FEATURES_IN_TEXT = 12
+# The sentences of the evidence texts.
+HISTORY = (
+    "Recent history for site {site} spans {count} hours. Average O3 is {o3} and average NO2 is {no2}. "
+    "First timestamp {first}, last timestamp {last}."
+)
+NO_HISTORY = "No historical trend points are available."
+FORECAST = (
+    "Forecast model {model} generated {horizon} hourly points. "
+    "Peak O3 is {o3} ug/m3 at forecast hour +{o3_hour}. Peak NO2 is {no2} ug/m3 at forecast hour +{no2_hour}."
+)
+ANCHORED = " The forecast window is anchored after live station sync {at}."
+GENERATED = " Forecast generated at {at}."
+NO_FORECAST = "No forecast points are available."
+VISIBLE = (
+    "The frontend attached the exact visible dashboard state for this investigation. Station {station}; "
+    "selected timestamp {selected}; visible phase {phase}; visible O3 {o3} ug/m3; visible NO2 {no2} ug/m3; "
+    "visible risk {risk}; forecast peak O3 {peak_o3} at {peak_o3_time}; forecast peak NO2 {peak_no2} at "
+    "{peak_no2_time}; active city comparison {city}; active configured alert count {alerts}."
+)
+ALERT = "{pollutant} {severity} at site {site}: {message} value {value} threshold {threshold}"
+NO_ALERTS = "No current threshold exceedance alerts were generated."
+PLACE = "{name} {country} O3 {o3} NO2 {no2} modeled US AQI {aqi}"
+NETWORK = "Live network scope is {scope}. "
+NO_NETWORK = "No live network locations are currently available."
+DATASET = (
+    "Selected site {site} is located at {lat}, {lon}. The dataset contains {sites} sites, {train} train rows, "
+    "and {unseen} unseen rows. Features include {features}. Targets are {targets}."
+)
+LIVE = (
+    "Live station feed provider is {provider}. Current O3 is {o3} ug/m3 and current NO2 is {no2} ug/m3. "
+    "Source label: {label}. Fallback used: {fallback}. Last updated: {updated}."
+)
 
 
 def site_brief(
@@ -109,8 +141,7 @@ def _sentence(template: str, **values: Column) -> Column:
 
 def history_text(stats: DataFrame, site: str = S.SITE) -> DataFrame:
     text = _sentence(
-        "Recent history for site {site} spans {count} hours. Average O3 is {o3} and average NO2 is {no2}. "
-        "First timestamp {first}, last timestamp {last}.",
+        HISTORY,
         site=F.col(site),
         count=F.col("count"),
         o3=fixed_text(F.col("avg_o3")),
@@ -118,7 +149,7 @@ def history_text(stats: DataFrame, site: str = S.SITE) -> DataFrame:
         first=iso_text(F.col("first_timestamp")),
         last=iso_text(F.col("last_timestamp")),
     )
-    return stats.select(site, F.coalesce(text, F.lit("No historical trend points are available.")).alias("history_text"))
+    return stats.select(site, F.coalesce(text, F.lit(NO_HISTORY)).alias("history_text"))
 
 
 def forecast_text(
@@ -131,8 +162,7 @@ def forecast_text(
 ) -> DataFrame:
     """The peak sentences; ``anchored`` and ``generated`` name timestamp columns to be told as well."""
     text = _sentence(
-        "Forecast model {model} generated {horizon} hourly points. "
-        "Peak O3 is {o3} ug/m3 at forecast hour +{o3_hour}. Peak NO2 is {no2} ug/m3 at forecast hour +{no2_hour}.",
+        FORECAST,
         model=F.lit(model),
         horizon=F.lit(horizon),
         o3=fixed_text(F.col("peak_o3")),
@@ -142,10 +172,10 @@ def forecast_text(
     )
     if anchored:
         at = iso_text(F.col(anchored))
-        text = F.concat(text, _sentence(" The forecast window is anchored after live station sync {at}.", at=at))
+        text = F.concat(text, _sentence(ANCHORED, at=at))
     if generated:
-        text = F.concat(text, _sentence(" Forecast generated at {at}.", at=iso_text(F.col(generated))))
-    return peaks.select(site, F.coalesce(text, F.lit("No forecast points are available.")).alias("forecast_text"))
+        text = F.concat(text, _sentence(GENERATED, at=iso_text(F.col(generated))))
+    return peaks.select(site, F.coalesce(text, F.lit(NO_FORECAST)).alias("forecast_text"))
 
 
 def visible_text(visible: DataFrame, site: str = S.SITE) -> DataFrame:
@@ -155,10 +185,7 @@ def visible_text(visible: DataFrame, site: str = S.SITE) -> DataFrame:
         return F.coalesce(F.col(name).cast("string"), F.lit(missing)) if name in visible.columns else F.lit(missing)
 
     text = _sentence(
-        "The frontend attached the exact visible dashboard state for this investigation. Station {station}; "
-        "selected timestamp {selected}; visible phase {phase}; visible O3 {o3} ug/m3; visible NO2 {no2} ug/m3; "
-        "visible risk {risk}; forecast peak O3 {peak_o3} at {peak_o3_time}; forecast peak NO2 {peak_no2} at "
-        "{peak_no2_time}; active city comparison {city}; active configured alert count {alerts}.",
+        VISIBLE,
         station=shown("station_label", "unknown"),
         selected=shown("selected_timestamp", "sync pending"),
         phase=shown("phase", "unknown"),
@@ -178,7 +205,7 @@ def visible_text(visible: DataFrame, site: str = S.SITE) -> DataFrame:
 def alerts_text(first_alerts: DataFrame, sites: DataFrame, site: str = S.SITE) -> DataFrame:
     """Up to ten alerts per site (``first_alerts`` output, with ``place``) in one text."""
     text = _sentence(
-        "{pollutant} {severity} at site {site}: {message} value {value} threshold {threshold}",
+        ALERT,
         pollutant=F.col("pollutant"),
         severity=F.col("severity"),
         site=F.col(site),
@@ -189,14 +216,14 @@ def alerts_text(first_alerts: DataFrame, sites: DataFrame, site: str = S.SITE) -
     kept = first_alerts.where(F.col("place") <= ALERTS_IN_TEXT)
     lines = kept.groupBy(site).agg(F.sort_array(F.collect_list(F.struct("place", text.alias("line")))).alias("_lines"))
     joined = F.array_join("_lines.line", " ")
-    none = F.lit("No current threshold exceedance alerts were generated.")
+    none = F.lit(NO_ALERTS)
     return sites.select(site).join(lines, site, "left").select(site, F.coalesce(joined, none).alias("alerts_text"))
 
 
 def network_text(hotspots: DataFrame, scope: str, rank: str = "catalog_rank") -> DataFrame:
     """One row: the hot spots of the network in one text."""
     text = _sentence(
-        "{name} {country} O3 {o3} NO2 {no2} modeled US AQI {aqi}",
+        PLACE,
         name=F.col("name"),
         country=F.col("country"),
         o3=fixed_text(F.col("o3")),
@@ -205,8 +232,8 @@ def network_text(hotspots: DataFrame, scope: str, rank: str = "catalog_rank") ->
     )
     place = F.struct((-F.col("pressure")).alias("p"), F.col(rank).alias("r"), text.alias("line"))
     listed = hotspots.agg(F.sort_array(F.collect_list(place)).alias("_lines"))
-    some = F.concat(F.lit(f"Live network scope is {scope}. "), F.array_join("_lines.line", " "))
-    none = F.lit("No live network locations are currently available.")
+    some = F.concat(F.lit(NETWORK.format(scope=scope)), F.array_join("_lines.line", " "))
+    none = F.lit(NO_NETWORK)
     return listed.select(F.when(F.size("_lines") > 0, some).otherwise(none).alias("network_text"))
 
 
@@ -215,8 +242,7 @@ def dataset_text(summary: DataFrame, totals: DataFrame, site: str = S.SITE) -> D
     one = totals.select(F.struct(*totals.columns).alias("t")).scalar()
     held = summary.withColumn("_t", one)
     text = _sentence(
-        "Selected site {site} is located at {lat}, {lon}. The dataset contains {sites} sites, {train} train rows, "
-        "and {unseen} unseen rows. Features include {features}. Targets are {targets}.",
+        DATASET,
         site=F.col(site),
         lat=F.col("latitude"),
         lon=F.col("longitude"),
@@ -231,8 +257,7 @@ def dataset_text(summary: DataFrame, totals: DataFrame, site: str = S.SITE) -> D
 
 def live_text(snapshot: DataFrame, site: str = S.SITE) -> DataFrame:
     text = _sentence(
-        "Live station feed provider is {provider}. Current O3 is {o3} ug/m3 and current NO2 is {no2} ug/m3. "
-        "Source label: {label}. Fallback used: {fallback}. Last updated: {updated}.",
+        LIVE,
         provider=F.col("provider"),
         o3=fixed_text(F.col("o3")),
         no2=fixed_text(F.col("no2")),
