@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hazegrid.catalog.projections import SESSIONS, messages
+from hazegrid.catalog.projections import SESSIONS, messages, user_messages
 from hazegrid.catalog.registry import query
 from hazegrid.catalog.tables import COORDINATES, EV, HOURLY, coordinates, hourly, observations, stored_hours, table
 from hazegrid.catalog.windows import FORECAST_TAIL
@@ -182,7 +182,7 @@ def c7_session_detail(spark, folder):
 
 @query(
     "c8_cascade_removal",
-    f"""WITH {REPORTS}, {SESSIONS}, gone AS (SELECT session_id FROM sessions WHERE pinned),
+    f"""WITH {REPORTS}, {SESSIONS}, gone AS (SELECT session_id FROM sessions WHERE pinned AND session_id % 7 = session_id % 2),
       gone_reports AS (SELECT report_id FROM reports WHERE session_id IN (SELECT session_id FROM gone))
       SELECT 'sessions' AS kept, count(*) AS n FROM sessions WHERE session_id NOT IN (SELECT session_id FROM gone)
       UNION ALL SELECT 'messages', count(*) FROM conversations WHERE conv_id NOT IN (SELECT session_id FROM gone)
@@ -192,9 +192,11 @@ def c7_session_detail(spark, folder):
 )
 def c8_cascade_removal(spark, folder):
     said, told = messages(spark, folder), reports(spark, folder)
-    listed = sessions.sessions_from_messages(said)
+    listed = sessions.sessions_from_messages(user_messages(spark, folder))
+    # Users 0 and 1 ask to remove all pinned sessions with even and odd numbers; only their own go.
+    asked = listed.where("pinned").select("session_id", F.concat(F.lit("u"), F.col("session_id") % 2).alias("user_id"))
     feedback = told.select("report_id", F.lit("useful").alias("value"))
-    kept = sessions.remove_sessions(listed.where("pinned"), listed, said, told, steps(spark, folder), feedback)
+    kept = sessions.remove_sessions(asked, listed, said, told, steps(spark, folder), feedback)
     result = None
     for name, df in kept.items():
         counted = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("kept"), "n")

@@ -131,6 +131,11 @@ def messages(spark, folder):
     )
 
 
+def user_messages(spark, folder):
+    """Conversations are dealt to seven users."""
+    return messages(spark, folder).withColumn("user_id", F.concat(F.lit("u"), F.col("session_id") % 7))
+
+
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\pZ]"
 INTENT = """CASE
   WHEN regexp_matches(lower({0}), 'alert|threshold|warning|critical|risk') THEN 'alert'

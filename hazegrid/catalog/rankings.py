@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hazegrid.catalog.aggregates import ALERTS, coming_alerts
 from hazegrid.catalog.joins import PLACES, REPORTS, places, reports, steps
-from hazegrid.catalog.projections import SESSIONS, messages
+from hazegrid.catalog.projections import SESSIONS, messages, user_messages
 from hazegrid.catalog.registry import query
 from hazegrid.catalog.tables import documents as text_table
 from hazegrid.catalog.tables import EV, hourly, observations, table
@@ -123,16 +123,16 @@ def f6_pinned_shortlist(spark, folder):
 
 @query(
     "f7_session_list",
-    f"""WITH {SESSIONS} SELECT session_id, title, mode, pinned, updated_at,
-      row_number() OVER (ORDER BY pinned DESC, updated_at DESC, session_id) AS place FROM sessions""",
+    f"""WITH {SESSIONS} SELECT 'u' || session_id % 7 AS user_id, session_id, title, mode, pinned, updated_at,
+      row_number() OVER (PARTITION BY session_id % 7 ORDER BY pinned DESC, updated_at DESC, session_id) AS place FROM sessions""",
 )
 def f7_session_list(spark, folder):
-    listed = sessions.sessions_from_messages(messages(spark, folder)).withColumns(
-        {"all": F.lit(0), "_unpinned": ~F.col("pinned"), "_age": -F.col("updated_at")}
+    listed = sessions.sessions_from_messages(user_messages(spark, folder)).withColumns(
+        {"_unpinned": ~F.col("pinned"), "_age": -F.col("updated_at")}
     )
-    ordered = series.index_rows(listed, ["all"], ["_unpinned", "_age", "session_id"])
+    ordered = series.index_rows(listed, ["user_id"], ["_unpinned", "_age", "session_id"])
     return sessions.session_list(ordered).select(
-        "session_id", "title", "mode", "pinned", "updated_at", (F.col(series.ROW) + 1).alias("place")
+        "user_id", "session_id", "title", "mode", "pinned", "updated_at", (F.col(series.ROW) + 1).alias("place")
     )
 
 

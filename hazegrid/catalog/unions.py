@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hazegrid.catalog.projections import SESSIONS, messages
+from hazegrid.catalog.projections import SESSIONS, user_messages
 from hazegrid.catalog.registry import query
 from hazegrid.catalog.tables import EV, hourly, observations, table
 from hazegrid.catalog.windows import FORECAST_TAIL
@@ -118,18 +118,20 @@ def g6_network_locations(spark, folder):
 
 @query(
     "g7_graph_nodes",
-    f"""WITH {SESSIONS} SELECT 'session:' || session_id AS node_id, title AS label, 'session' AS "group" FROM sessions
-      UNION ALL SELECT DISTINCT 'mode:' || mode, upper(mode[1]) || mode[2:], 'mode' FROM sessions
-      UNION ALL SELECT DISTINCT 'tag:' || t, t, 'tag' FROM (SELECT unnest(tags) AS t FROM sessions)""",
+    f"""WITH {SESSIONS}, s AS (SELECT *, 'u' || session_id % 7 AS user_id FROM sessions)
+      SELECT user_id, 'session:' || session_id AS node_id, title AS label, 'session' AS "group" FROM s
+      UNION ALL SELECT DISTINCT user_id, 'mode:' || mode, upper(mode[1]) || mode[2:], 'mode' FROM s
+      UNION ALL SELECT DISTINCT user_id, 'tag:' || t, t, 'tag' FROM (SELECT user_id, unnest(tags) AS t FROM s)""",
 )
 def g7_graph_nodes(spark, folder):
-    return sessions.graph_nodes(sessions.sessions_from_messages(messages(spark, folder)))
+    return sessions.graph_nodes(sessions.sessions_from_messages(user_messages(spark, folder)))
 
 
 @query(
     "g7_graph_edges",
-    f"""WITH {SESSIONS} SELECT 'session:' || session_id AS source, 'mode:' || mode AS target, 1.0::DOUBLE AS weight FROM sessions
-      UNION ALL SELECT 'session:' || session_id, 'tag:' || t, 1.0::DOUBLE FROM (SELECT session_id, unnest(tags) AS t FROM sessions)""",
+    f"""WITH {SESSIONS}, s AS (SELECT *, 'u' || session_id % 7 AS user_id FROM sessions)
+      SELECT user_id, 'session:' || session_id AS source, 'mode:' || mode AS target, 1.0::DOUBLE AS weight FROM s
+      UNION ALL SELECT user_id, 'session:' || session_id, 'tag:' || t, 1.0::DOUBLE FROM (SELECT user_id, session_id, unnest(tags) AS t FROM s)""",
 )
 def g7_graph_edges(spark, folder):
-    return sessions.graph_edges(sessions.sessions_from_messages(messages(spark, folder)))
+    return sessions.graph_edges(sessions.sessions_from_messages(user_messages(spark, folder)))

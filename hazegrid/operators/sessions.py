@@ -1,4 +1,7 @@
-"""Research sessions: lists, search, details, removal, knowledge graph."""
+"""Research sessions: lists, search, details, removal, knowledge graph.
+
+Where the session table has a ``user_id``, lists, removal and the graph are per user.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,16 @@ from hazegrid.functions import text as X
 from hazegrid.operators.series import nest_pages, top_rows
 
 DETAIL_PAGE = 500
+USER = "user_id"
+
+
+def _user(df: DataFrame) -> list[str]:
+    return [USER] if USER in df.columns else []
+
+
+def of_user(sessions: DataFrame, user: str) -> DataFrame:
+    """The sessions that a user may see."""
+    return sessions.where(F.col(USER) == user)
 
 
 def search_sessions(sessions: DataFrame, needle: str) -> DataFrame:
@@ -25,8 +38,8 @@ def search_sessions(sessions: DataFrame, needle: str) -> DataFrame:
 
 
 def session_list(sessions: DataFrame, tie: str = "session_id") -> DataFrame:
-    """Pinned first, then the most recently updated."""
-    return sessions.orderBy(F.desc("pinned"), F.desc("updated_at"), F.asc(tie))
+    """Pinned first, then the most recently updated; user by user where there are users."""
+    return sessions.orderBy(*_user(sessions), F.desc("pinned"), F.desc("updated_at"), F.asc(tie))
 
 
 def session_steps(steps: DataFrame, reports: DataFrame) -> DataFrame:
@@ -66,8 +79,13 @@ def session_detail(
 def remove_sessions(
     removed: DataFrame, sessions: DataFrame, messages: DataFrame, reports: DataFrame, steps: DataFrame, feedback: DataFrame
 ) -> dict[str, DataFrame]:
-    """All tables without the removed sessions and everything that hangs on them."""
-    gone = removed.select("session_id").distinct()
+    """All tables without the removed sessions and everything that hangs on them.
+
+    With a ``user_id`` in ``removed`` only sessions of that very user go; other requests change nothing.
+    """
+    gone = removed.select("session_id", *_user(removed)).distinct()
+    if _user(removed):
+        gone = gone.join(sessions.select("session_id", USER), ["session_id", USER], "left_semi").select("session_id").distinct()
     gone_reports = reports.join(gone, "session_id", "left_semi").select("report_id")
     return {
         "sessions": sessions.join(gone, "session_id", "left_anti"),
@@ -99,11 +117,11 @@ def graph_edges(sessions: DataFrame) -> DataFrame:
         F.array(F.concat(F.lit("mode:"), F.col("mode"))),
         F.transform("tags", lambda tag: F.concat(F.lit("tag:"), tag)),
     )
-    return sessions.select(source, F.explode(targets).alias("target"), F.lit(1.0).alias("weight"))
+    return sessions.select(*_user(sessions), source, F.explode(targets).alias("target"), F.lit(1.0).alias("weight"))
 
 
 def graph_nodes(sessions: DataFrame) -> DataFrame:
-    """Distinct session, mode and tag nodes."""
+    """Distinct session, mode and tag nodes (of each user)."""
 
     def node(prefix: str, key: Column, label: Column, group: str) -> Column:
         return F.struct(
@@ -115,7 +133,7 @@ def graph_nodes(sessions: DataFrame) -> DataFrame:
         F.array(node("session:", F.col("session_id"), F.col("title"), "session"), node("mode:", mode, F.initcap(mode), "mode")),
         F.transform("tags", lambda tag: node("tag:", tag, tag, "tag")),
     )
-    return sessions.select(F.inline(listed)).dropDuplicates(["node_id"])
+    return sessions.select(*_user(sessions), F.inline(listed)).dropDuplicates([*_user(sessions), "node_id"])
 
 
 def parse_payload(df: DataFrame, column: str, schema: str, into: str) -> DataFrame:
@@ -124,7 +142,7 @@ def parse_payload(df: DataFrame, column: str, schema: str, into: str) -> DataFra
 
 
 def sessions_from_messages(messages: DataFrame) -> DataFrame:
-    """Session lines derived from a message table (session_id, created_at, role, content).
+    """Session lines derived from a message table (session_id, created_at, role, content, perhaps user_id).
 
     The first user message gives title and mode; the distinct roles are the tags.
     """
@@ -134,10 +152,12 @@ def sessions_from_messages(messages: DataFrame) -> DataFrame:
         F.max("created_at").alias("updated_at"),
         F.sort_array(F.collect_set("role")).alias("tags"),
         F.count_if(F.col("role") == "system").alias("_system"),
+        *[F.min(name).alias(name) for name in _user(messages)],
     )
     query = X.clean_query(F.coalesce("_first", F.lit("")))
     return grouped.select(
         "session_id",
+        *_user(messages),
         X.session_title(query).alias("title"),
         X.intent(query).alias("mode"),
         (F.col("_system") > 0).alias("pinned"),

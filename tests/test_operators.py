@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from hazegrid.operators import alerts, brief, forecast, network, resample, retrieval, sessions
 
@@ -231,6 +232,18 @@ def test_session_detail_in_pages(spark):
     assert detail.where("session_id = 2").first()["reports"] is None
 
 
+def test_sessions_are_removed_by_their_own_user_only(spark):
+    said = conversation(spark).withColumn("user_id", F.concat(F.lit("u"), F.col("session_id")))
+    told = said.where("role = 'assistant'").selectExpr("session_id", "created_at", "content AS payload", "concat('r', created_at) AS report_id")
+    listed = sessions.sessions_from_messages(said)
+    assert {r["user_id"] for r in listed.collect()} == {"u1", "u2"} and sessions.of_user(listed, "u1").count() == 1
+    asked = spark.createDataFrame([(1, "u2"), (2, "u2"), (2, "u2")], "session_id int, user_id string")
+    kept = sessions.remove_sessions(asked, listed, said, told, told, told.select("report_id"))
+    assert [r["session_id"] for r in kept["sessions"].collect()] == [1] and kept["messages"].count() == 7 and kept["reports"].count() == 3
+    nodes = {(r["user_id"], r["node_id"]) for r in sessions.graph_nodes(listed).collect()}
+    assert ("u2", "session:2") in nodes and ("u1", "session:2") not in nodes
+
+
 def test_search_and_order(spark):
     listed = sessions.sessions_from_messages(conversation(spark))
     assert sessions.search_sessions(listed, "   ").count() == 2
