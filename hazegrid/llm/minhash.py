@@ -3,7 +3,7 @@
 1. Every text becomes the set of its distinct word shingles (64-bit fingerprints), a MinHash signature and a
    fingerprint of the whole set. Equal sets are one node, so exact copies cost one row each from here on.
 2. Bands of the signature give buckets. A bucket is never turned into all its pairs: each member is paired with
-   two members of the bucket, other ones in every band.
+   one or two members of the bucket.
 3. Candidate pairs are compared by batches of signature values. After each batch a pair is dropped when the
    posterior chance that its similarity reaches the threshold is below ``miss``. The rest is decided exactly
    on the full sets.
@@ -29,6 +29,7 @@ from hazegrid.session import materialize
 BANDS, BAND_ROWS = 40, 6
 COMPARED, BATCH = 128, 32
 MISS = 1e-6
+VARIED = 8
 
 
 def needed_matches(percent: int, miss: float = MISS) -> list[int]:
@@ -140,9 +141,13 @@ def _band_rows(nodes: DataFrame) -> DataFrame:
 
 
 def _star_pairs(rows: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Each member of a bucket with two of its members; the key chooses which, so bands differ."""
-    rep = [F.col(c).bitwiseXOR(F.col("key")) for c in ("low", "high")]
-    pairs = rows.join(buckets.where("n > 1"), "key").select("node", F.explode(F.array(*rep)).alias("other"))
+    """Each member of a bucket with its smallest member, which bands of one group share, so pairs are few.
+
+    In one of ``VARIED`` buckets also with a member that the key chooses, so members far from the smallest one
+    are held against others too.
+    """
+    chosen = F.when(F.col("key") % VARIED == 0, F.col("high").bitwiseXOR(F.col("key"))).otherwise(F.col("low"))
+    pairs = rows.join(buckets.where("n > 1"), "key").select("node", F.explode(F.array("low", chosen)).alias("other"))
     return _ordered(pairs).distinct()
 
 
@@ -291,7 +296,7 @@ def near_duplicates(
     signs = materialize(with_set.dropDuplicates(["node"]).select("node", "n_shingles", "signature", "bands"), "nodes")
     rows = materialize(_band_rows(signs), "bands")
     moved = F.col("node").bitwiseXOR(F.col("key"))
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(moved).alias("low"), F.max(moved).alias("high"))
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max(moved).alias("high"))
     buckets = materialize(buckets.where("n > 1"), "buckets")
 
     def load_sets(wanted: DataFrame) -> DataFrame:
