@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazegrid.llm import textbytes as tb
+from hazegrid.llm.columns import free_prefix
+from hazegrid.session import materialize
 
 WINDOW_WORDS = 10
 BLOCK_BYTES = 8 << 20  # of benchmark text per pass
@@ -228,8 +230,11 @@ def contamination(
     return _united(table, [table.mapInArrow(_searching(block, window, 1), f"{schema}, key long") for block in blocks], schema)
 
 
-def _searching(block: list[tuple[str, str]], window: int, keys: int):
-    """Map function: one index per shard, searched for the block's phrases; ``keys`` columns behind the text pass through."""
+def _searching(block: list[tuple[str, str]], window: int, keys: int, name: str = "id"):
+    """Map function: one index per shard, searched for the block's phrases; ``keys`` columns behind the text pass through.
+
+    ``name`` is that of the first column, which names the row.
+    """
 
     def search(batches):
         phrases = Phrases(block, window)
@@ -241,7 +246,7 @@ def _searching(block: list[tuple[str, str]], window: int, keys: int):
                 found = _shard_rows(phrases, breaks, ids, part, offsets[a : b + 1] - offsets[a])
                 for k in range(keys):
                     found = found.append_column(batch.schema.field(2 + k), batch.column(2 + k).slice(a, b - a))
-                yield found
+                yield found.rename_columns([name, *found.schema.names[1:]])
 
     return search
 
@@ -276,41 +281,47 @@ def _shard_rows(phrases: Phrases, breaks, ids: pa.Array, data: np.ndarray, offse
     )
 
 
-def _united(table: DataFrame, passes: list[DataFrame], schema: str) -> DataFrame:
-    """Several passes as one row per document: ranges and items joined, then merged beside the text again.
-
-    Rows of one id and text are one group here; each row of the input gets its result.
-    """
+def _joined_spans(passes: list[DataFrame], keys: list[str]) -> DataFrame:
+    """``keys, starts, ends, items`` of all passes together; ranges of different passes may overlap."""
     found = passes[0].where("hit_words > 0")
     for one in passes[1:]:
         found = found.unionByName(one.where("hit_words > 0"))
-    spans = found.groupBy("id", "key").agg(
+    spans = found.groupBy(*keys).agg(
         F.collect_set(F.struct("starts", "ends")).alias("ranges"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
-    spans = spans.select("id", "key", F.flatten("ranges.starts").alias("starts"), F.flatten("ranges.ends").alias("ends"), "items")
+    return spans.select(*keys, F.flatten("ranges.starts").alias("starts"), F.flatten("ranges.ends").alias("ends"), "items")
+
+
+def _merged_rows(batch: pa.RecordBatch):
+    """Per row of ``key, text, starts, ends``: number of words, words hit, and the byte ranges merged word by word."""
+    data, offsets, _ = tb.batch_texts(batch.column(1))
+    start, end, heads = tb.words(tb.LOWER[data], offsets, tb.byte_classes(tb.NO_WORD))
+    for row, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+        own = slice(heads[row], heads[row + 1])
+        begins, stops = start[own] - offsets[row], end[own] - offsets[row]
+        first = np.searchsorted(begins, np.array(a or [], dtype=np.int64))
+        last = np.searchsorted(stops, np.array(b or [], dtype=np.int64)) + 1
+        low, high = merged(first, last)
+        yield len(begins), int((high - low).sum()), begins[low].tolist(), stops[high - 1].tolist()
+
+
+def _united(table: DataFrame, passes: list[DataFrame], schema: str) -> DataFrame:
+    """Several passes as one row per document: ranges and items joined, then merged beside the text again.
+
+    Rows of one id and text are one group here; each row of the input gets its result.
+    """
+    spans = _joined_spans(passes, ["id", "key"])
     on = table["id"].eqNullSafe(spans["id"]) & table["key"].eqNullSafe(spans["key"])
     joined = table.join(spans, on, "left").select(table["id"], "text", "starts", "ends", "items")
 
     def merge(batches):
-        breaks = tb.byte_classes(tb.NO_WORD)
         for batch in batches:
-            data, offsets, _ = tb.batch_texts(batch.column(1))
-            data = tb.LOWER[data]
-            start, end, heads = tb.words(data, offsets, breaks)
-            hit, lows, highs = [], [], []
-            for row, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                low, high = merged(np.array(a or [], dtype=np.int64), np.array(b or [], dtype=np.int64))
-                own = slice(heads[row], heads[row + 1])
-                inside = np.searchsorted(low, start[own] - offsets[row], side="right") - 1
-                ok = inside >= 0
-                ok[ok] = (end[own] - offsets[row])[ok] <= high[inside[ok]]
-                hit.append(int(ok.sum()))
-                lows.append(low.tolist())
-                highs.append(high.tolist())
-            items = [x or [] for x in batch.column(4).to_pylist()]
+            found = list(_merged_rows(batch))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            items = pa.array([x or [] for x in batch.column(4).to_pylist()], type=pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(heads)), pa.array(hit, type=pa.int64()), pa.array(lows, type=pa.list_(pa.int64())), pa.array(highs, type=pa.list_(pa.int64())), pa.array(items, type=pa.list_(pa.string()))],
+                [batch.column(0), *(pa.array([f[k] for f in found], type=kind) for k, kind in enumerate(kinds)), items],
                 names=["id", "n_words", "hit_words", "starts", "ends", "items"],
             )
 
@@ -323,14 +334,60 @@ def decontaminate(
     """The documents with every merged span cut out of the text; one space stays in its place.
 
     All rows stay, in the same columns; texts without a hit are unchanged, null stays null. Spans are cut until
-    no phrase is left, since the words around a cut may form one.
+    no phrase is left, since the words around a cut may form one. Each round of cuts takes the spans of the whole
+    benchmark, so its number of blocks and their order change nothing. With several blocks the rounds run at once
+    and are written to the shared folder.
     """
-    columns = docs.columns
     blocks = _blocks(benchmark, "item_id", item_text) or [[]]
-    result = docs
-    for block in blocks:
-        result = result.mapInArrow(_cutting(block, window, columns.index(text_column)), docs.schema)
-    return result
+    if len(blocks) == 1:
+        return docs.mapInArrow(_cutting(blocks[0], window, docs.columns.index(text_column)), docs.schema)
+    return _cut_in_rounds(docs, blocks, text_column, window)
+
+
+def _cut_in_rounds(docs: DataFrame, blocks: list[list[tuple[str, str]]], text_column: str, window: int) -> DataFrame:
+    """Cuts for several blocks: what a text becomes depends on the text only, so equal texts are cut once.
+
+    The first round searches all texts, each later one only those that the round before has changed.
+    """
+    schema = "key string, n_words long, hit_words long, starts array<long>, ends array<long>, items array<string>"
+    text = F.col(f"`{text_column}`")
+    now, rounds = docs.where(text.isNotNull()).select(F.md5(text).alias("key"), text.alias("text")), []
+    while True:
+        passes = [now.mapInArrow(_searching(block, window, 0, "key"), schema) for block in blocks]
+        spans = materialize(_joined_spans(passes, ["key"]), "spans")
+        if spans.isEmpty():
+            break
+        hit = now.join(spans, "key").dropDuplicates(["key"]).select("key", "text", "starts", "ends")
+        now = materialize(hit.mapInArrow(_cut_rows, "key string, text string"), "cut")
+        rounds.append(now.withColumn("round", F.lit(len(rounds))))
+    if not rounds:
+        return docs
+    changed = rounds[0]
+    for one in rounds[1:]:
+        changed = changed.unionByName(one)
+    name = free_prefix(docs.columns, "_b_")
+    changed = changed.groupBy(F.col("key").alias(f"{name}key")).agg(F.max_by("text", "round").alias(f"{name}text"))
+    joined = docs.withColumn(f"{name}key", F.md5(text)).join(changed, f"{name}key", "left")
+    cut = F.coalesce(F.col(f"{name}text"), text).alias(text_column)
+    return joined.select(*[cut if c == text_column else F.col(f"`{c}`") for c in docs.columns])
+
+
+def _without(text: bytes, starts: list[int], ends: list[int]) -> str:
+    """The text with one space in the place of every range."""
+    pieces, at = [], 0
+    for x, y in zip(starts, ends, strict=True):
+        pieces.append(text[at:x])
+        at = y
+    return b" ".join([*pieces, text[at:]]).decode()
+
+
+def _cut_rows(batches):
+    for batch in batches:
+        texts = [
+            _without(text.encode(), low, high)
+            for text, (_, _, low, high) in zip(batch.column(1).to_pylist(), _merged_rows(batch), strict=True)
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, type=pa.string())], names=["key", "text"])
 
 
 def _cutting(block, window: int, column: int):
@@ -348,11 +405,7 @@ def _cutting(block, window: int, column: int):
                     left = []
                     for i, (low, high) in enumerate(zip(found.column(3).to_pylist(), found.column(4).to_pylist(), strict=True)):
                         if low:
-                            own, at, pieces = part[borders[i] : borders[i + 1]].tobytes(), 0, []
-                            for x, y in zip(low, high, strict=True):
-                                pieces.append(own[at:x])
-                                at = y
-                            changed[int(rows[i])] = b" ".join([*pieces, own[at:]]).decode()
+                            changed[int(rows[i])] = _without(part[borders[i] : borders[i + 1]].tobytes(), low, high)
                             left.append(int(rows[i]))
                     rows = np.array(left, dtype=np.int64)
                     part, borders, _ = tb.batch_texts(pa.array([changed[r] for r in left], type=pa.large_string()))

@@ -165,6 +165,29 @@ def test_cut_texts_hold_no_phrase(spark):
     assert texts[3].split() == []  # what closed up around the first cut is cut as well
 
 
+def test_cuts_do_not_depend_on_the_blocks(spark, monkeypatch):
+    run = lambda a, b: " ".join(f"t{i}" for i in range(a, b))
+    first, second, third = run(5, 15), run(10, 20), run(20, 30)
+    closing = f"{run(40, 45)} {first} {run(45, 50)}"  # the cut closes a phrase up that another block holds
+    docs = [(1, f"lead {run(0, 25)} tail", "x"), (1, f"lead {run(0, 25)} tail", "x"), (2, None, "y"), (3, f"{closing}, end", None), (4, "clean text", "z"),
+            (5, f"{second}, {third}.", "z"), (6, f"é {first} {run(5, 9)}", "z"), (None, "", "z")]
+    items = [(1, first), (2, second), (3, run(40, 50)), (4, third), (5, None)]
+
+    def cut(order):
+        got = fmindex.decontaminate(rows(spark, docs, "doc_id long, text string, _b_key string"), rows(spark, order, ITEMS).coalesce(1))
+        assert got.columns == ["doc_id", "text", "_b_key"]
+        return sorted(map(tuple, got.collect()), key=str)
+
+    whole = cut(items)
+    expected = [(1, f"lead {run(0, 5)}   {run(20, 25)} tail", "x")] * 2 + [(2, None, "y"), (3, " , end", None), (4, "clean text", "z"), (5, " .", "z"), (6, f"é   {run(5, 9)}", "z"), (None, "", "z")]
+    assert [(i, t, x) for i, t, x in whole] == sorted(expected, key=str)
+    spans = lambda: sorted((str(tuple(r)) for r in fmindex.contamination(rows(spark, docs, "doc_id long, text string, x string"), rows(spark, items, ITEMS)).collect()))
+    ranges = spans()
+    monkeypatch.setattr(fmindex, "BLOCK_BYTES", 10)  # every item is a block
+    assert cut(items) == whole and cut(items[::-1]) == whole
+    assert spans() == ranges
+
+
 # --- repeated strings
 
 def plain_repeats(docs, length):
