@@ -3,11 +3,13 @@
 A value that passes the checks of its kind (check digit, digit ranges, calendar) is read as a number of the
 kind's domain, permuted there by a keyed Feistel network, and written back in its own format: same length,
 separators and letter case, with a valid check digit. The permutation depends on the key and the kind only, so
-equal values stay equal in all documents, and who has the key can turn them back.
+equal values stay equal in all documents, and who has the key can turn them back. Only where numbers stand side
+by side so that a card or IBAN could be read across their border may a value get another pseudonym than elsewhere.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import functools
 import hashlib
@@ -103,25 +105,65 @@ def luhn_digit(payload: str) -> str:
     return str(-total % 10)
 
 
-def _card(text: str, key: bytes, back: bool) -> str | None:
+def _is_card(text: str) -> bool:
+    digits = re.sub(r"\D", "", text)
+    return 13 <= len(digits) <= 19 and luhn_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1
+
+
+def _card(text: str, key: bytes, back: bool) -> str:
     digits = re.sub(r"\D", "", text)
-    if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
-        return None
     # The first digit names the network and stays.
     body = _permute(key, "card", [int(c) for c in digits[1:-1]], [10] * (len(digits) - 2), back)
     payload = digits[0] + "".join(map(str, body))
     return _filled(text, payload + luhn_digit(payload))
 
 
+CARD = re.compile(r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])")
+# Sizes of the groups cards are written in, besides one group and groups of four.
+CARD_GROUPS = {(4, 6, 5), (4, 6, 4), (6, 13)}
+
+
+GROUP = re.compile("[0-9]+")
+
+
+def _card_at(run: str, low: int, state: tuple[int, int]) -> tuple[tuple[int, int], int | None]:
+    """The end of a card that begins with the digit group at ``low``: the shortest valid stretch in a card's grouping,
+    else the longest stretch of any grouping if it is valid. Shorter ones first, so what follows does not matter.
+
+    ``state``: end of the value before, and of the last longest stretch.
+    """
+    after, tried = state
+    if low < after:
+        return state, None
+    ends, sizes = [], []
+    for group in GROUP.finditer(run, low):
+        sizes.append(group.end() - group.start())
+        if sum(sizes) > 19:
+            break
+        fours = set(sizes[:-1]) == {4} and sizes[-1] <= 4
+        if sum(sizes) >= 13 and (len(sizes) == 1 or fours or tuple(sizes) in CARD_GROUPS):
+            ends.append(group.end())
+    whole = CARD.match(run, low) if low >= tried else None
+    if whole:
+        tried = whole.end()
+        ends.append(tried)
+    end = next((e for e in ends if _is_card(run[low:e])), None)
+    return (after if end is None else end, tried), end
+
+
 def _iban_check(country: str, account: str) -> int:
     return 98 - int("".join(str(int(c, 36)) for c in account + country + "00")) % 97
 
 
-def _iban(text: str, key: bytes, back: bool) -> str | None:
+def _is_iban(text: str) -> bool:
     plain = re.sub(r"\s", "", text)
     country, check, account = plain[:2], plain[2:4], plain[4:]
-    if not 11 <= len(account) <= 30 or f"{_iban_check(country, account):02d}" != check:
-        return None
+    return 11 <= len(account) <= 30 and f"{_iban_check(country, account):02d}" == check
+
+
+def _iban(text: str, key: bytes, back: bool) -> str:
+    plain = re.sub(r"\s", "", text)
+    country, account = plain[:2], plain[4:]
     sizes = [10 if c.isdigit() else 26 for c in account]
     values = [int(c) if c.isdigit() else ord(c) - 65 for c in account]
     new = _permute(key, "iban", values, sizes, back)
@@ -129,6 +171,36 @@ def _iban(text: str, key: bytes, back: bool) -> str | None:
     return _filled(text, f"{country}{_iban_check(country, account):02d}{account}")
 
 
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+# Length of an IBAN by country.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
+
+def _iban_at(run: str, low: int, state: tuple[int, int]) -> tuple[tuple[int, int], int | None]:
+    """The end of an IBAN that begins at ``low``: by the country's length, else as far as the run looks like one.
+
+    Where the country is not known, every end of a word is tried, the next ones first.
+    """
+    match = IBAN.match(run, low) if low >= state[0] else None
+    if not match:
+        return state, None
+    ends = [e for e in range(low + 15, match.end() + 1) if e == match.end() or run[e] == " "]
+    length = IBAN_LENGTHS.get(run[low : low + 2])
+    if length:
+        ends = [e for e in ends if e - low - run.count(" ", low, e) == length] + [match.end()]
+    end = next((e for e in ends if _is_iban(run[low:e])), None)
+    return (state if end is None else (end, 0)), end
+
+
 def _phone(text: str, key: bytes, back: bool) -> str | None:
     """Area and exchange start with 2 to 9 in a real number; others count only where the writing leaves no doubt.
 
@@ -215,13 +287,13 @@ def _symbols(kind: str, fixed: int = 0) -> Callable[[str, bytes, bool], str | No
     return change
 
 
-# Kind, sign that a text may hold one, pattern of the value (its last group), and the change; the first kinds win.
+# Kind, sign that a text may hold one, pattern of the value or run (its first group), and the change; the first kinds win.
 KINDS: list[tuple[str, str | None, re.Pattern, Callable]] = [
     ("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9][A-Za-z0-9._%+-]*)(?=@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", re.ASCII), _symbols("email")),
     ("access", "AKIA", re.compile(r"(?<![A-Za-z0-9])(AKIA[A-Z0-9]{16})(?![A-Za-z0-9])"), _symbols("access", 4)),
     ("hex", None, re.compile(r"(?i:token|password|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?([0-9a-f]{12,128}|[0-9A-F]{12,128})(?![0-9A-Za-z])"), _symbols("hex")),
-    ("iban", None, re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"), _iban),
-    ("card", None, re.compile(r"(?<![0-9A-Za-z.-])([0-9](?:[ -]?[0-9]){12,18})(?![0-9A-Za-z]|[.-][0-9])"), _card),
+    ("iban", None, re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}[A-Z0-9]*(?: [A-Z0-9]+)*)(?![A-Za-z0-9])"), _iban),
+    ("card", None, re.compile(r"(?<![0-9A-Za-z.-])([0-9](?:[ -]?[0-9]){12,})(?![0-9A-Za-z]|[.-][0-9])"), _card),
     ("phone", None, re.compile(r"(?<![0-9A-Za-z+(])((?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z]|[.-][0-9])"), _phone),
     ("abroad", "+", re.compile(r"(?<![0-9A-Za-z+])(\+[2-9][0-9](?:[ ()./-]{0,2}[0-9]){6,13})(?![0-9A-Za-z])"), _abroad),
     ("social", "-", re.compile(r"(?<![0-9A-Za-z-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9A-Za-z]|-[0-9])"), _social),
@@ -229,28 +301,92 @@ KINDS: list[tuple[str, str | None, re.Pattern, Callable]] = [
     ("date", None, re.compile(r"(?<![0-9A-Za-z./-])([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])"), _date),
 ]
 
+# Kinds whose pattern gives a run of groups, in which values are found by their check digits: where one may begin.
+INSIDE = {"iban": (re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}"), _iban_at), "card": (GROUP, _card_at)}
+REACH = 48  # characters that a value in a run has at most
+
 SIGN = re.compile(r"[0-9@]|AKIA")
 
 
-def pseudonymised(text: str, key: bytes, back: bool = False) -> tuple[str, list[str]]:
-    """The text with every checked value replaced, and the kinds found, in text order."""
-    if not SIGN.search(text):
-        return text, []
-    spans: list[tuple[int, int, str, str]] = []
+class _Run:
+    """A run of groups in which values are found by check digits; what changes in it must leave it read alike."""
+
+    def __init__(self, start: int, text: str, kind: str):
+        self.start, self.text = start, text
+        begin, self.step = INSIDE[kind]
+        self.begins = [m.start() for m in begin.finditer(text)]
+        self.states, self.ends, state = [], [], (0, 0)
+        for low in self.begins:
+            self.states.append(state)
+            state, end = self.step(text, low, state)
+            self.ends.append(end)
+
+    def spans(self) -> list[tuple[int, int]]:
+        return [(self.start + low, self.start + end) for low, end in zip(self.begins, self.ends, strict=True) if end is not None]
+
+    def changed(self, low: int, new: str) -> str | None:
+        """The run with a new value at ``low``, or None if it would be read in another way. Only what is near can be."""
+        low -= self.start
+        high = low + len(new)
+        text = self.text[:low] + new + self.text[high:]
+        first = bisect.bisect_left(self.begins, low - REACH)
+        state = self.states[first] if first < len(self.begins) else None
+        for i in range(first, len(self.begins)):
+            if self.begins[i] >= high and state == self.states[i]:
+                break
+            state, end = self.step(text, self.begins[i], state)
+            if end != self.ends[i]:
+                return None
+        return text
+
+
+def _found(text: str, key: bytes, back: bool) -> tuple[list[tuple[int, int, Callable, str]], list[list[_Run]]]:
+    """All values of a text in order, and the runs by kind; a value is masked for the kinds after its own."""
+    spans, runs = [], []
     for kind, sign, pattern, change in KINDS:
         if sign is not None and sign not in text:
             continue
-        for match in pattern.finditer(text):
-            low, high = match.span(1)
-            if any(low < b and a < high for a, b, _, _ in spans):
-                continue
-            new = change(match[1], key, back)
-            if new is not None:
-                spans.append((low, high, new, kind))
-    spans.sort()
+        if kind in INSIDE:
+            runs.append([_Run(m.start(1), m[1], kind) for m in pattern.finditer(text)])
+            own = [span for run in runs[-1] for span in run.spans()]
+        else:
+            own = [m.span(1) for m in pattern.finditer(text) if change(m[1], key, back) is not None]
+        pieces, at = [], 0
+        for low, high in own:
+            pieces += [text[at:low], "x" * (high - low)]
+            at = high
+        text = "".join([*pieces, text[at:]])
+        spans += [(low, high, change, kind) for low, high in own]
+    return sorted(spans, key=lambda s: s[:2]), runs
+
+
+def pseudonymised(text: str, key: bytes, back: bool = False) -> tuple[str, list[str]]:
+    """The text with every checked value replaced, and the kinds found, in text order.
+
+    A value in a run of groups is permuted again while the run with it would be read in another way (a stretch
+    over its border gets a valid check digit), so that turning back finds the same values. Values go back in the
+    opposite order.
+    """
+    if not SIGN.search(text):
+        return text, []
+    spans, runs = _found(text, key, back)
+    begins = [[r.start for r in own] for own in runs]
+    news = {}
+    for low, high, change, _ in reversed(spans) if back else spans:
+        near = [own[i - 1] for own, b in zip(runs, begins, strict=True) if (i := bisect.bisect_right(b, low))]
+        around = [r for r in near if high <= r.start + len(r.text)]
+        new = text[low:high]
+        while True:
+            new = change(new, key, back)
+            changed = [r.changed(low, new) for r in around]
+            if None not in changed:
+                break
+        for r, run in zip(around, changed, strict=True):
+            r.text = run
+        news[low] = new
     pieces, at = [], 0
-    for low, high, new, _ in spans:
-        pieces += [text[at:low], new]
+    for low, high, *_ in spans:
+        pieces += [text[at:low], news[low]]
         at = high
     return "".join([*pieces, text[at:]]), [kind for *_, kind in spans]
 
