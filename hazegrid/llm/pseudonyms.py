@@ -4,7 +4,8 @@ A value that passes the checks of its kind (check digit, digit ranges, calendar)
 kind's domain, permuted there by a keyed Feistel network, and written back in its own format: same length,
 separators and letter case, with a valid check digit. The permutation depends on the key and the kind only, so
 equal values stay equal in all documents, and who has the key can turn them back. Only where numbers stand side
-by side so that a card or IBAN could be read across their border may a value get another pseudonym than elsewhere.
+by side so that a card or IBAN could be read across their border, and for dates with one-digit fields or the day
+before the slash, may a value get another pseudonym than in other places or formats.
 """
 
 from __future__ import annotations
@@ -255,19 +256,38 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 DAYS = (LAST_DAY - FIRST_DAY).days + 1
 
 
-def _date(text: str, key: bytes, back: bool) -> str | None:
+def _read_date(text: str) -> tuple[tuple[int, int, int], datetime.date] | None:
+    """Places of year, month and day, and the day; with slashes month/day, or day/month if that is no date."""
     mark = re.search(r"\D", text)[0]
     parts = text.split(mark)
-    order = (0, 1, 2) if len(parts[0]) == 4 else (2, 0, 1) if mark == "/" else (2, 1, 0)
-    try:
-        day = datetime.date(*(int(parts[i]) for i in order))
-    except ValueError:
-        return None
-    if not FIRST_DAY <= day <= LAST_DAY:
+    for order in [(0, 1, 2)] if len(parts[0]) == 4 else [(2, 0, 1), (2, 1, 0)] if mark == "/" else [(2, 1, 0)]:
+        try:
+            day = datetime.date(*(int(parts[i]) for i in order))
+        except ValueError:
+            continue
+        return (order, day) if FIRST_DAY <= day <= LAST_DAY else None
+    return None
+
+
+def _date_style(text: str) -> list[tuple[int, bool]]:
+    """Width of every field; where one has a single digit, a leading zero elsewhere counts too."""
+    parts = re.split(r"\D", text)
+    return [(len(p), p[0] == "0" and min(map(len, parts)) == 1) for p in parts]
+
+
+def _date(text: str, key: bytes, back: bool) -> str | None:
+    """Days are permuted until one can be written in the same fields and is read in the same order."""
+    read = _read_date(text)
+    if read is None:
         return None
-    moved = FIRST_DAY + datetime.timedelta(permutation(key, "date", DAYS).apply((day - FIRST_DAY).days, back))
-    fields = (moved.year, moved.month, moved.day)
-    return mark.join(str(fields[order.index(i)]).zfill(4 if i == order[0] else 2) for i in range(3))
+    (order, day), parts, mark = read, re.split(r"\D", text), re.search(r"\D", text)[0]
+    chosen = permutation(key, "date", DAYS)
+    while True:
+        day = FIRST_DAY + datetime.timedelta(chosen.apply((day - FIRST_DAY).days, back))
+        fields = (day.year, day.month, day.day)
+        new = mark.join(str(fields[order.index(i)]).zfill(len(parts[i])) for i in range(3))
+        if _read_date(new) == (order, day) and _date_style(new) == _date_style(text):
+            return new
 
 
 def _symbols(kind: str, fixed: int = 0) -> Callable[[str, bytes, bool], str | None]:
@@ -287,6 +307,9 @@ def _symbols(kind: str, fixed: int = 0) -> Callable[[str, bytes, bool], str | No
     return change
 
 
+# The form of a date behind a telephone number, which does not belong to it.
+DATE = r"(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9])"
+
 # Kind, sign that a text may hold one, pattern of the value or run (its first group), and the change; the first kinds win.
 KINDS: list[tuple[str, str | None, re.Pattern, Callable]] = [
     ("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9][A-Za-z0-9._%+-]*)(?=@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", re.ASCII), _symbols("email")),
@@ -294,11 +317,11 @@ KINDS: list[tuple[str, str | None, re.Pattern, Callable]] = [
     ("hex", None, re.compile(r"(?i:token|password|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?([0-9a-f]{12,128}|[0-9A-F]{12,128})(?![0-9A-Za-z])"), _symbols("hex")),
     ("iban", None, re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}[A-Z0-9]*(?: [A-Z0-9]+)*)(?![A-Za-z0-9])"), _iban),
     ("card", None, re.compile(r"(?<![0-9A-Za-z.-])([0-9](?:[ -]?[0-9]){12,})(?![0-9A-Za-z]|[.-][0-9])"), _card),
-    ("phone", None, re.compile(r"(?<![0-9A-Za-z+(])((?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z]|[.-][0-9])"), _phone),
-    ("abroad", "+", re.compile(r"(?<![0-9A-Za-z+])(\+[2-9][0-9](?:[ ()./-]{0,2}[0-9]){6,13})(?![0-9A-Za-z])"), _abroad),
+    ("phone", None, re.compile(r"(?<![0-9A-Za-z+(])(\+1[ .-]?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-]?)[0-9]{3}[ .-]?[0-9]{4}|(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z]|[.-][0-9])"), _phone),
+    ("abroad", "+", re.compile(rf"(?<![0-9A-Za-z+])(\+[2-9](?:[ ()./-]{{0,2}}[0-9]){{7}}(?:(?! {{1,2}}{DATE})[ ()./-]{{0,2}}[0-9]){{0,7}})(?![0-9A-Za-z])"), _abroad),
     ("social", "-", re.compile(r"(?<![0-9A-Za-z-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9A-Za-z]|-[0-9])"), _social),
     ("address", ".", re.compile(r"(?<![0-9A-Za-z.])([0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9A-Za-z]|\.[0-9])"), _address),
-    ("date", None, re.compile(r"(?<![0-9A-Za-z./-])([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])"), _date),
+    ("date", None, re.compile(r"(?<![0-9A-Za-z./-])([0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?=T[0-9]{2}|(?![A-Za-z]))|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![A-Za-z])|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![A-Za-z]))(?![0-9]|[./-][0-9])"), _date),
 ]
 
 # Kinds whose pattern gives a run of groups, in which values are found by their check digits: where one may begin.
@@ -325,9 +348,13 @@ class _Run:
         return [(self.start + low, self.start + end) for low, end in zip(self.begins, self.ends, strict=True) if end is not None]
 
     def changed(self, low: int, new: str) -> str | None:
-        """The run with a new value at ``low``, or None if it would be read in another way. Only what is near can be."""
+        """The run with what it holds of a new value at ``low``, or None if it would be read in another way.
+
+        Only what is near can be.
+        """
         low -= self.start
-        high = low + len(new)
+        high = min(low + len(new), len(self.text))
+        new, low = new[max(0, -low) : high - low], max(0, low)
         text = self.text[:low] + new + self.text[high:]
         first = bisect.bisect_left(self.begins, low - REACH)
         state = self.states[first] if first < len(self.begins) else None
@@ -373,8 +400,12 @@ def pseudonymised(text: str, key: bytes, back: bool = False) -> tuple[str, list[
     begins = [[r.start for r in own] for own in runs]
     news = {}
     for low, high, change, _ in reversed(spans) if back else spans:
-        near = [own[i - 1] for own, b in zip(runs, begins, strict=True) if (i := bisect.bisect_right(b, low))]
-        around = [r for r in near if high <= r.start + len(r.text)]
+        around = []
+        for own, begin in zip(runs, begins, strict=True):
+            i = bisect.bisect_left(begin, high) - 1
+            while i >= 0 and begin[i] + len(own[i].text) > low:
+                around.append(own[i])
+                i -= 1
         new = text[low:high]
         while True:
             new = change(new, key, back)

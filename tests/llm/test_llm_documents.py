@@ -81,6 +81,38 @@ def test_values_beside_others_are_found(value, text):
         assert pseudonyms.pseudonymised(value, KEY)[0] in pseudonyms.pseudonymised(given, KEY)[0]
 
 
+FORMS = [
+    ("phone", "+15595553893"), ("phone", "+1 5595553893"), ("phone", "+1 (559)5553893"), ("abroad", "+7 916 1234567"), ("abroad", "+79161234567"), ("abroad", "+351 21 123 4567"), ("date", "3/14/2024"),
+    ("date", "12/5/2024"), ("date", "1.2.1999"), ("date", "2024-2-9"), ("date", "31/12/1999"), ("date", "31/1/1999"), ("date", "30/4/1999"),
+]
+
+
+@pytest.mark.parametrize("kind, value", FORMS)
+def test_more_written_forms(kind, value):
+    for key in (KEY, *(b"key %d" % i for i in range(40))):
+        new, kinds = pseudonyms.pseudonymised(f"at {value}, or {value}.", key)
+        changed = new[3 : 3 + len(value)]
+        assert kinds == [kind, kind] and new == f"at {changed}, or {changed}." and changed != value
+        assert re.sub("[0-9]", "0", changed) == re.sub("[0-9]", "0", value)
+        assert pseudonyms.pseudonymised(new, key, back=True)[0] == f"at {value}, or {value}."
+
+
+@pytest.mark.parametrize("text, kinds, kept", [
+    ("2024-02-29T10:00:00Z", ["date"], "T10:00:00Z"), ("+49 30 1234567 2024-01-02", ["abroad", "date"], ""), ("+49 30 1234567 2.1.2024", ["abroad", "date"], ""),
+    ("+49 30 12.34.5678", ["abroad"], ""), ("31/12/1999 and 12/31/1999", ["date", "date"], ""),
+])
+def test_forms_beside_others(text, kinds, kept):
+    new, found = pseudonyms.pseudonymised(text, KEY)
+    assert found == kinds and new.endswith(kept) and pseudonyms.pseudonymised(new, KEY, back=True)[0] == text
+    if "T" not in text and "date" in kinds:
+        assert text.split()[-1] not in new
+
+
+@pytest.mark.parametrize("text", ["32/13/1999", "13/32/1999", "0/1/2024", "2024-02-29x", "+1 559 555", "1/2/24"])
+def test_other_forms_stay(text):
+    assert pseudonyms.pseudonymised(text, KEY) == (text, [])
+
+
 def test_runs_of_numbers_come_back():
     r = random.Random(5)
     for _ in range(300):
