@@ -6,20 +6,24 @@ behind one another, each ended by a border, and indexed: suffix array by prefix
 transform, a wavelet tree for ranks, and a sample of suffix positions. All test phrases are then searched
 backwards at once; every occurrence is located by walking to the next sampled position.
 
-The benchmark is cut into blocks of bounded size. Each block is sent to the tasks and searched in a pass of
-its own, so no broadcast grows with the benchmark.
+The benchmark is cut into blocks of bounded size, in Spark. One block after the other is read by the driver, sent
+to the tasks and searched in a job of its own that writes its hits to the shared folder, so neither the driver's
+memory nor a plan nor a broadcast grows with the benchmark.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazegrid.llm import textbytes as tb
 from hazegrid.llm.columns import free_prefix
-from hazegrid.session import materialize
+from hazegrid.session import materialize, shared_path
 
 WINDOW_WORDS = 10
 BLOCK_BYTES = 8 << 20  # of benchmark text per pass
@@ -184,20 +188,54 @@ def merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first[begin], reach[np.append(begin[1:], len(first)) - 1]
 
 
-def _blocks(benchmark: DataFrame, item_column: str, text_column: str) -> list[list[tuple[str, str]]]:
-    """The benchmark in blocks of at most ``BLOCK_BYTES`` of text (one item at least), read one after the other."""
-    blocks: list[list] = [[]]
-    size = 0
-    items = benchmark.where(F.col(text_column).isNotNull()).select(
-        F.coalesce(F.col(item_column).cast("string"), F.lit("")), text_column
-    )
-    for item, text in items.toLocalIterator():
-        if size + len(text) > BLOCK_BYTES and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, text))
-        size += len(text)
-    return [block for block in blocks if block]
+class _Blocks:
+    """The benchmark in blocks of at most ``BLOCK_BYTES`` of UTF-8 text (one item at least).
+
+    More than one block are numbered task by task and written to the shared folder, parted by block.
+    """
+
+    def __init__(self, benchmark: DataFrame, item_column: str, text_column: str):
+        item = F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("item")
+        self.items = benchmark.where(F.col(text_column).isNotNull()).select(item, F.col(text_column).alias("text"))
+        size = self.items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.single = size <= BLOCK_BYTES
+        self.numbers = []
+        if not self.single:
+            numbered = self.items.coalesce(-(-size // BLOCK_BYTES)).mapInArrow(_numbering(BLOCK_BYTES), "item string, text string, block long")
+            path = shared_path(benchmark.sparkSession, "blocks")
+            numbered.write.partitionBy("block").parquet(path)
+            self.items = benchmark.sparkSession.read.schema(numbered.schema).parquet(path)
+            self.numbers = sorted(r.block for r in self.items.select("block").distinct().collect())
+
+    def __iter__(self) -> Iterator[list[tuple[str, str]]]:
+        """One block after the other; only one is with the driver."""
+        for part in [self.items] if self.single else (self.items.where(F.col("block") == n) for n in self.numbers):
+            yield [(r.item, r.text) for r in part.select("item", "text").collect()]
+
+
+def _numbering(limit: int):
+    def number(batches):
+        block, size, empty = TaskContext.get().partitionId() << 32, 0, True
+        for batch in batches:
+            _, offsets, _ = tb.batch_texts(batch.column(1))
+            numbers = []
+            for own in np.diff(offsets).tolist():
+                if size + own > limit and not empty:
+                    block, size = block + 1, 0
+                size, empty = size + own, False
+                numbers.append(block)
+            yield batch.append_column("block", pa.array(numbers, type=pa.int64()))
+
+    return number
+
+
+def _hits(table: DataFrame, blocks: _Blocks, window: int, keys: int, name: str, schema: str) -> DataFrame:
+    """The rows with hits of every block's pass, each pass written before the next block is read."""
+    path = shared_path(table.sparkSession, "hits")
+    for block in blocks:
+        found = table.mapInArrow(_searching(block, window, keys, name), schema).where("hit_words > 0")
+        found.write.mode("append").parquet(path)
+    return table.sparkSession.read.schema(schema).parquet(path)
 
 
 def contamination(
@@ -218,16 +256,16 @@ def contamination(
 
     Null and empty texts have no words; null item texts hold no phrase; a null item id reads as an empty string.
     Rows repeated in either table count each for itself. Without benchmark rows nothing is hit. Other columns
-    are not read.
+    are not read. With several blocks the passes run at once.
     """
     kind = docs.schema[id_column].dataType.simpleString()
     schema = f"id {kind}, n_words long, hit_words long, starts array<long>, ends array<long>, items array<string>"
-    blocks = _blocks(benchmark, item_column, item_text) or [[]]
+    blocks = _Blocks(benchmark, item_column, item_text)
     table = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    if len(blocks) == 1:
-        return table.mapInArrow(_searching(blocks[0], window, 0), schema)
+    if blocks.single:
+        return table.mapInArrow(_searching(next(iter(blocks)), window, 0), schema)
     table = table.withColumn("key", F.xxhash64("text"))
-    return _united(table, [table.mapInArrow(_searching(block, window, 1), f"{schema}, key long") for block in blocks], schema)
+    return _united(table, _hits(table, blocks, window, 1, "id", f"{schema}, key long"), schema)
 
 
 def _searching(block: list[tuple[str, str]], window: int, keys: int, name: str = "id"):
@@ -281,11 +319,8 @@ def _shard_rows(phrases: Phrases, breaks, ids: pa.Array, data: np.ndarray, offse
     )
 
 
-def _joined_spans(passes: list[DataFrame], keys: list[str]) -> DataFrame:
+def _joined_spans(found: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, starts, ends, items`` of all passes together; ranges of different passes may overlap."""
-    found = passes[0].where("hit_words > 0")
-    for one in passes[1:]:
-        found = found.unionByName(one.where("hit_words > 0"))
     spans = found.groupBy(*keys).agg(
         F.collect_set(F.struct("starts", "ends")).alias("ranges"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
@@ -306,12 +341,12 @@ def _merged_rows(batch: pa.RecordBatch):
         yield len(begins), int((high - low).sum()), begins[low].tolist(), stops[high - 1].tolist()
 
 
-def _united(table: DataFrame, passes: list[DataFrame], schema: str) -> DataFrame:
+def _united(table: DataFrame, found: DataFrame, schema: str) -> DataFrame:
     """Several passes as one row per document: ranges and items joined, then merged beside the text again.
 
     Rows of one id and text are one group here; each row of the input gets its result.
     """
-    spans = _joined_spans(passes, ["id", "key"])
+    spans = _joined_spans(found, ["id", "key"])
     on = table["id"].eqNullSafe(spans["id"]) & table["key"].eqNullSafe(spans["key"])
     joined = table.join(spans, on, "left").select(table["id"], "text", "starts", "ends", "items")
 
@@ -338,13 +373,13 @@ def decontaminate(
     benchmark, so its number of blocks and their order change nothing. With several blocks the rounds run at once
     and are written to the shared folder.
     """
-    blocks = _blocks(benchmark, "item_id", item_text) or [[]]
-    if len(blocks) == 1:
-        return docs.mapInArrow(_cutting(blocks[0], window, docs.columns.index(text_column)), docs.schema)
+    blocks = _Blocks(benchmark, "item_id", item_text)
+    if blocks.single:
+        return docs.mapInArrow(_cutting(next(iter(blocks)), window, docs.columns.index(text_column)), docs.schema)
     return _cut_in_rounds(docs, blocks, text_column, window)
 
 
-def _cut_in_rounds(docs: DataFrame, blocks: list[list[tuple[str, str]]], text_column: str, window: int) -> DataFrame:
+def _cut_in_rounds(docs: DataFrame, blocks: _Blocks, text_column: str, window: int) -> DataFrame:
     """Cuts for several blocks: what a text becomes depends on the text only, so equal texts are cut once.
 
     The first round searches all texts, each later one only those that the round before has changed.
@@ -353,8 +388,7 @@ def _cut_in_rounds(docs: DataFrame, blocks: list[list[tuple[str, str]]], text_co
     text = F.col(f"`{text_column}`")
     now, rounds = docs.where(text.isNotNull()).select(F.md5(text).alias("key"), text.alias("text")), []
     while True:
-        passes = [now.mapInArrow(_searching(block, window, 0, "key"), schema) for block in blocks]
-        spans = materialize(_joined_spans(passes, ["key"]), "spans")
+        spans = materialize(_joined_spans(_hits(now, blocks, window, 0, "key", schema), ["key"]), "spans")
         if spans.isEmpty():
             break
         hit = now.join(spans, "key").dropDuplicates(["key"]).select("key", "text", "starts", "ends")

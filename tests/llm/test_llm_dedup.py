@@ -188,6 +188,19 @@ def test_cuts_do_not_depend_on_the_blocks(spark, monkeypatch):
     assert spans() == ranges
 
 
+def test_blocks_are_bounded_and_hold_every_item(spark, monkeypatch):
+    texts = ["é" * 30, "x" * 59, "", "y" * 200] * 20
+    items = rows(spark, [*enumerate(texts), (None, "z"), (7, None)], ITEMS).repartition(3)
+    monkeypatch.setattr(fmindex, "BLOCK_BYTES", 100)
+    blocks = list(fmindex._Blocks(items, "item_id", "text"))
+    assert sorted(x for block in blocks for x in block) == sorted([*((str(i), t) for i, t in enumerate(texts)), ("", "z")])
+    assert all(sum(len(t.encode()) for _, t in block) <= 100 or len([t for _, t in block if t]) == 1 for block in blocks)
+    found = fmindex.contamination(rows(spark, [(1, "z"), (2, "q")]), items)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(blocks) > 20 and plan.count("MapInArrow") == 1  # one pass after the other, none left in the plan
+    assert sorted((r.id, r.hit_words) for r in found.collect()) == [(1, 1), (2, 0)]
+
+
 # --- repeated strings
 
 def plain_repeats(docs, length):
