@@ -183,7 +183,10 @@ def _bayes(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str, shingle_words: int) -> DataFrame:
-    """Sorted shingle fingerprints per node, read again from the texts of ``wanted`` (column ``id``)."""
+    """Sorted shingle fingerprints per node, read again from the texts of ``wanted`` (columns ``node, id``).
+
+    Rows without id cannot be picked by it: where a wanted node has no id, all of them are read and picked by node.
+    """
 
     def collect(batches):
         for batch in batches:
@@ -199,8 +202,12 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: s
                 [pa.array(nodes, type=pa.int64()), pa.array(sets, type=pa.binary())], names=["node", "shingles"]
             )
 
-    texts = docs.select(F.col(id_column).alias("id"), text_column).join(wanted, "id", "left_semi").select(text_column)
-    return texts.mapInArrow(collect, "node long, shingles binary").dropDuplicates(["node"])
+    schema = "node long, shingles binary"
+    all_texts = docs.select(F.col(id_column).alias("id"), text_column)
+    texts = all_texts.join(wanted.select("id"), "id", "left_semi").select(text_column)
+    nameless = all_texts.where("id is null").select(text_column).mapInArrow(collect, schema)
+    nameless = nameless.join(wanted.where("id is null").select("node"), "node", "left_semi")
+    return texts.mapInArrow(collect, schema).union(nameless).dropDuplicates(["node"])
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -287,9 +294,9 @@ def near_duplicates(
     ``component_id`` is the smallest id reachable over links, ``kept`` says that it is the row's own.
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows of one id count as one
-    document: their components are joined. A row without id is linked with others but names no component;
-    alone it has a null component, and it is kept only then. An empty table gives no rows; other columns are
-    not read.
+    document: their components are joined. A row without id is linked with others but names no component. A
+    component of such rows only is null and all of them are kept, as nothing tells them apart; in any other they
+    are not. An empty table gives no rows; other columns are not read.
     """
     signed = materialize(signatures(docs, id_column, text_column, shingle_words), "signatures")
     with_set = signed.where("node is not null")
@@ -301,7 +308,7 @@ def near_duplicates(
 
     def load_sets(wanted: DataFrame) -> DataFrame:
         ids = with_set.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-        return full_sets(docs, ids.select("id"), id_column, text_column, shingle_words)
+        return full_sets(docs, ids, id_column, text_column, shingle_words)
 
     def links_of(pairs: DataFrame) -> DataFrame:
         likely = materialize(_bayes(pairs, signs, percent), "likely")

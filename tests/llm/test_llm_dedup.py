@@ -108,6 +108,19 @@ def test_near_duplicates_of_odd_rows(spark):
     assert minhash.near_duplicates(rows(spark, [])).collect() == []
 
 
+def test_near_copies_without_id_are_linked(spark):
+    base = [f"u{i}" for i in range(120)]
+    changed = lambda *at: " ".join("x" + w if i in at else w for i, w in enumerate(base))
+    other, third = words_text(71, 80, 10**6), words_text(72, 80, 10**6)
+    docs = [(10, changed(0, 1, 2, 3, 4, 5, 6, 7, 8)), (None, changed()), (20, changed(119, 118, 117, 116, 115, 114, 113, 112, 111)),
+            (30, " ".join(other)), (None, " ".join([*other, "end"])), (None, " ".join(third)), (None, " ".join([*third, "end"])), (40, "clean words of another text")]
+    got = minhash.near_duplicates(rows(spark, docs)).collect()
+    # 10 and 20 meet over a row without id only.
+    assert len(shingles(docs[0][1], 5) & shingles(docs[2][1], 5)) < 0.8 * len(shingles(docs[0][1], 5) | shingles(docs[2][1], 5))
+    found = sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=str)
+    assert found == sorted([(10, 10, True), (None, 10, False), (20, 10, False), (30, 30, True), (None, 30, False), (None, None, True), (None, None, True), (40, 40, True)], key=str)
+
+
 def test_needed_matches_follow_the_posterior():
     for n, m in zip(range(minhash.BATCH, minhash.COMPARED + 1, minhash.BATCH), minhash.needed_matches(80, 1e-6), strict=True):
         grid = np.linspace(0, 1, 20001)
