@@ -80,6 +80,10 @@ SELECT conv AS conv_id, call_id, CAST(place AS BIGINT) AS place, CAST(0 AS BIGIN
 FROM st""",
 )
 def op6_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Users' turns as calls, the next assistant turns as results; turns of other roles give no row.
+
+    Calls depend on earlier turns only, so ``level`` is always 0 here.
+    """
     turns = table(spark, folder, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     identifier = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
     asked = turns.where("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), identifier.alias("call_id"))
