@@ -14,7 +14,7 @@ QueryFunction = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, QueryFunction] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ["web_queries", "document_queries", "dedup_queries"]
+_MODULES = ["web_queries", "document_queries", "dedup_queries", "corpus_queries"]
 
 
 def query(name: str, oracle: str | None = None):
