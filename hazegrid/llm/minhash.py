@@ -9,12 +9,15 @@
    on the full sets.
 4. Links found give components. Pairs that the stars left open, between different components of a bucket, are
    found with a prefix filter: two sets with the needed similarity share one of their rarest shingles. So
-   common passages and copies of one text do not meet again.
+   common passages and copies of one text do not meet again. A pair leaves that join only if parity bits of both
+   sets do not show more differences than the similarity allows, which rules out sets just below it exactly.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +33,7 @@ BANDS, BAND_ROWS = 40, 6
 COMPARED, BATCH = 128, 32
 MISS = 1e-6
 VARIED = 8
+PARITY_LONGS = 16
 
 
 def needed_matches(percent: int, miss: float = MISS) -> list[int]:
@@ -230,6 +234,16 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(check, "u long, v long")
 
 
+def _parity(values: np.ndarray) -> np.ndarray:
+    """Bits that are set where an odd number of a set's shingles hash to them, as longs.
+
+    The exclusive or of two sets' bits is that of their difference, so it has at most as many bits as shingles
+    that are in one of them only.
+    """
+    place = (tb.mixed(values) % np.uint64(64 * PARITY_LONGS)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=64 * PARITY_LONGS) & 1).astype(bool)).view(np.int64)
+
+
 def _prefix_rows(open_sets: DataFrame, percent: int) -> DataFrame:
     """``token, node, component, size, at`` for the rarest shingles of each set, of which similar sets share one.
 
@@ -255,29 +269,43 @@ def _open_pairs(rows: DataFrame, buckets: DataFrame, parts: DataFrame, load_sets
     mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     open_nodes = materialize(members.join(mixed.select("key"), "key", "left_semi").select("node", "component").distinct(), "open")
 
+    names = [f"p{i}" for i in range(PARITY_LONGS)]
+
     def unpack(batches):
         for batch in batches:
             values = [np.frombuffer(v.as_py(), dtype=np.int64) for v in batch.column(2)]
             borders = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
             flat = np.concatenate(values) if values else np.zeros(0, np.int64)
             tokens = pa.ListArray.from_arrays(pa.array(borders), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tokens], names=["node", "component", "tokens"])
+            parity = np.stack([_parity(v.view(np.uint64)) for v in values]) if values else np.zeros((0, PARITY_LONGS), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), tokens, *[pa.array(parity[:, i]) for i in range(PARITY_LONGS)]],
+                names=["node", "component", "tokens", *names],
+            )
 
     sets = load_sets(open_nodes).join(open_nodes, "node").select("node", "component", "shingles")
-    prefix = materialize(_prefix_rows(sets.mapInArrow(unpack, "node long, component long, tokens array<long>"), percent), "prefix")
+    unpacked = sets.mapInArrow(unpack, "node long, component long, tokens array<long>, " + ", ".join(f"{n} long" for n in names))
+    unpacked = materialize(unpacked, "open-sets")
+    prefix = materialize(_prefix_rows(unpacked.select("node", "component", "tokens"), percent), "prefix")
     # Within a token, members of the token's largest component need not meet each other.
     shares = prefix.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = shares.groupBy("token").agg(
         F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")
     ).where("parts > 1").select("token", "main")
-    crossing = prefix.join(largest, "token")
+    crossing = prefix.join(largest, "token").join(unpacked.select("node", *names), "node")
     rest = crossing.where("component <> main").select(
-        "token", F.col("node").alias("other"), F.col("component").alias("part"), F.col("size").alias("size2"), F.col("at").alias("at2")
-    )
+        "token", F.col("node").alias("other"), F.col("component").alias("part"), F.col("size").alias("size2"), F.col("at").alias("at2"),
+        *[F.col(n).alias(f"{n}_2") for n in names],
+    )
+    both = F.col("size") + F.col("size2")
     # If this is the first shingle that both share, they have at most this many in common.
     common = F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2"))
-    enough = common * (100 + percent) >= (F.col("size") + F.col("size2")) * percent
-    return _ordered(crossing.join(rest, "token").where((F.col("component") != F.col("part")) & enough).select("node", "other")).distinct()
+    enough = common * (100 + percent) >= both * percent
+    # Each shingle that only one of them has flips one bit, so at least this many are not shared.
+    apart = functools.reduce(operator.add, [F.bit_count(F.col(n).bitwiseXOR(F.col(f"{n}_2"))) for n in names])
+    near = apart * (100 + percent) <= both * (100 - percent)
+    met = crossing.join(rest, "token").where((F.col("component") != F.col("part")) & enough & near)
+    return _ordered(met.select("node", "other")).distinct()
 
 
 def near_duplicates(

@@ -121,6 +121,30 @@ def test_near_copies_without_id_are_linked(spark):
     assert found == sorted([(10, 10, True), (None, 10, False), (20, 10, False), (30, 30, True), (None, 30, False), (None, None, True), (None, None, True), (40, 40, True)], key=str)
 
 
+def test_pairs_of_sets_just_below_the_similarity_stay_few(spark, monkeypatch):
+    """Copies with three or four changed words each are alike by about 0.65 to 0.78; few are linked."""
+    base = words_text(31, 150, 10**6)
+    counted, bayes = [], minhash._bayes
+    monkeypatch.setattr(minhash, "_bayes", lambda pairs, *rest: counted.append(pairs.count()) or bayes(pairs, *rest))
+    open_pairs = {}
+    for n in (150, 400):
+        docs = [(i, " ".join(edited(base, 500 + i, 3 + i % 2))) for i in range(n)]
+        got = minhash.near_duplicates(rows(spark, docs)).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_near_duplicates(docs, 5)
+        open_pairs[n] = counted[-1]
+    # There are 80,000 pairs of 400 texts; those that leave the join stay below one per text.
+    assert all(pairs <= n for n, pairs in open_pairs.items()), open_pairs
+
+
+def test_parity_bits_never_exceed_the_difference():
+    r = np.random.default_rng(3)
+    for size in (1, 10, 146, 1000, 20_000):
+        x = np.unique(r.integers(0, 1 << 63, size, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: size // 2], r.integers(0, 1 << 63, size // 3, dtype=np.uint64)]))
+        z = minhash._parity(x) ^ minhash._parity(y)
+        assert sum(int(v).bit_count() for v in z.view(np.uint64)) <= len(np.setxor1d(x, y))
+
+
 def test_needed_matches_follow_the_posterior():
     for n, m in zip(range(minhash.BATCH, minhash.COMPARED + 1, minhash.BATCH), minhash.needed_matches(80, 1e-6), strict=True):
         grid = np.linspace(0, 1, 20001)
