@@ -5,9 +5,9 @@
 2. Nodes of the graph are runs of four words, edges are runs of five. Every position of a text gives one edge: the
    five words from there on, or fewer where the piece ends or a word comes that is too rare for any phrase. The
    shorter ones are the corrections at the ends. Equal edges of a chunk of text are added up before the shuffle.
-3. Edges are dealt out by their first words, two of them unless those are so frequent that one task could not
-   hold them (then more). A task sorts its edges; the flow through a shorter phrase is the sum over the edges that
-   begin with it, ends included. Where all flow of a phrase goes on to one longer phrase, the path is unary: it is
+3. Edges are dealt out by their first two words, or by more as long as all words so far are so frequent that one
+   task might not hold the edges that begin with them. A task sorts its edges part by part; the flow through a
+   shorter phrase is the sum over the edges that begin with it, ends included. Where all flow of a phrase goes on to one longer phrase, the path is unary: it is
    compacted into one row, the longest phrase with the length of its shortest beginning of equal count.
 4. Paths that reach the least count are unrolled where counts of parts are looked up.
 
@@ -30,7 +30,9 @@ from hazegrid.session import materialize
 LONGEST = 5
 UNKNOWN_LANGUAGE = "und"
 CHUNK_BYTES = 4 << 20
-PART_POSITIONS = 1 << 20  # positions of text per part of the edge table
+BLOCK_WORDS = 1 << 20
+PART_POSITIONS = 1 << 20  # positions of text per part of the edge table, which is sorted at once
+PARTS_SENT = 8  # parts that are sent together, so that a chunk's words are sent less often
 TABLE_BITS = 24
 # Bytes that end a piece, and those that only part words.
 ENDS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -112,82 +114,98 @@ def in_table(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _depth(grams: np.ndarray, length: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Number of first words that an edge is dealt out by: two, or up to the first word that is not hot."""
+    """Number of first words that an edge is dealt out by: up to the first that is not hot, two at least."""
     depth = np.minimum(length, LONGEST)
-    for at in range(LONGEST - 1, 0, -1):
+    for at in range(LONGEST - 1, -1, -1):
         cool = (length > at) & ~in_table(hot, grams[:, at])
-        depth[cool] = at + 1
+        depth[cool] = max(at + 1, 2)
     return depth
 
 
-def _edge_rows(texts: DataFrame, seed: int, frequent: np.ndarray, hot: np.ndarray, parts: int) -> DataFrame:
-    """``part, edges``: the edges of a chunk that belong to a part, with their counts, packed as bytes."""
+def edges_of(chunk: Words, seed: int, frequent: np.ndarray, hot: np.ndarray, parts: int):
+    """The edges of a chunk as ``bundle, edges``: those of some neighbouring parts, with their counts, packed."""
+    keys = chunk.keys(seed)
+    keep = in_table(frequent, keys)
+    goes_on = chunk.follows.copy()
+    goes_on[:-1] &= keep[:-1] & keep[1:]
+    length = keep.astype(np.int64)
+    for step in range(1, LONGEST):
+        reach = np.zeros(len(keys), dtype=bool)
+        reach[: len(keys) - step] = (length[: len(keys) - step] == step) & goes_on[step - 1 : len(keys) - 1]
+        length[reach] += 1
+    for low in range(0, len(keys), BLOCK_WORDS):
+        yield from _block_edges(keys[low : low + BLOCK_WORDS + LONGEST], length[low : low + BLOCK_WORDS], hot, parts)
+
+
+def _block_edges(keys: np.ndarray, length: np.ndarray, hot: np.ndarray, parts: int):
+    at = np.flatnonzero(length > 1)
+    if not len(at):
+        return
+    length = length[at]
+    distinct, code = np.unique(keys, return_inverse=True)
+    code = np.concatenate([code + 1, np.zeros(LONGEST, code.dtype)]).astype(np.uint64)
+    columns = [np.where(length > k, code[at + k], np.uint64(0)) for k in range(LONGEST)]
+    # Three numbers of a block fit into 64 bits.
+    bits = np.uint64(21)
+    high = (columns[0] << (bits + bits)) | (columns[1] << bits) | columns[2]
+    low = (columns[3] << bits) | columns[4]
+    order = np.lexsort([low, high])
+    high, low = high[order], low[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(order)))
+    edge = order[first]
+    grams = np.stack([c[edge].astype(np.int64) for c in columns], axis=1)
+    known = np.concatenate([np.zeros(1, np.uint64), distinct])
+    depth = _depth(known[grams], length[edge], hot)
+    total = np.zeros(len(edge), dtype=np.uint64)
+    for k in range(LONGEST):
+        total = np.where(depth > k, tb.mixed(total * np.uint64(tb.BASES[0]) + known[grams[:, k]]), total)
+    part = (total % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    borders = np.flatnonzero(np.diff(part // PARTS_SENT, prepend=-1))
+    bundles, blobs = [], []
+    for a, b in zip(borders, [*borders[1:], len(order)], strict=True):
+        chosen = order[a:b]
+        used, local = np.unique(grams[chosen], return_inverse=True)
+        bundles.append(int(part[a]) // PARTS_SENT)
+        blobs.append(_pack(known[used], local.reshape(-1, LONGEST), count[chosen], part[a:b] % PARTS_SENT))
+    yield pa.RecordBatch.from_arrays([pa.array(bundles, pa.int64()), pa.array(blobs, pa.binary())], names=["bundle", "edges"])
+
 
+def _edge_rows(texts: DataFrame, seed: int, frequent: np.ndarray, hot: np.ndarray, parts: int) -> DataFrame:
     def cut(batches):
         for batch in batches:
             for chunk in _chunks(batch):
-                yield from packed(chunk)
-
-    def packed(chunk: Words):
-        keys = chunk.keys(seed)
-        keep = in_table(frequent, keys)
-        goes_on = chunk.follows.copy()
-        goes_on[:-1] &= keep[:-1] & keep[1:]
-        length = keep.astype(np.int64)
-        for step in range(1, LONGEST):
-            reach = np.zeros(len(keys), dtype=bool)
-            reach[: len(keys) - step] = (length[: len(keys) - step] == step) & goes_on[step - 1 : len(keys) - 1]
-            length[reach] += 1
-        at = np.flatnonzero(length > 1)
-        if not len(at):
-            return
-        length = length[at]
-        distinct, code = np.unique(keys, return_inverse=True)
-        code = np.concatenate([code + 1, np.zeros(LONGEST, code.dtype)]).astype(np.uint64)
-        columns = [np.where(length > k, code[at + k], np.uint64(0)) for k in range(LONGEST)]
-        bits = np.uint64(max(int(len(distinct)).bit_length(), 1))
-        assert bits <= 21, "a chunk holds fewer words than bytes"
-        high = (columns[0] << (bits + bits)) | (columns[1] << bits) | columns[2]
-        low = (columns[3] << bits) | columns[4]
-        order = np.lexsort([low, high])
-        high, low = high[order], low[order]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
-        first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(order)))
-        edge = order[first]
-        grams = np.stack([c[edge].astype(np.int64) for c in columns], axis=1)
-        known = np.concatenate([np.zeros(1, np.uint64), distinct])
-        depth = _depth(known[grams], length[edge], hot)
-        total = np.zeros(len(edge), dtype=np.uint64)
-        for k in range(LONGEST):
-            total = np.where(depth > k, tb.mixed(total * np.uint64(tb.BASES[0]) + known[grams[:, k]]), total)
-        part = (total % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        borders = np.flatnonzero(np.diff(part[order], prepend=-1))
-        numbers, blobs = [], []
-        for a, b in zip(borders, [*borders[1:], len(order)], strict=True):
-            chosen = order[a:b]
-            used, local = np.unique(grams[chosen], return_inverse=True)
-            numbers.append(int(part[chosen[0]]))
-            blobs.append(_pack(known[used], local.reshape(-1, LONGEST), count[chosen]))
-        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "edges"])
-
-    return texts.mapInArrow(cut, "part long, edges binary")
-
-
-def _pack(words: np.ndarray, grams: np.ndarray, count: np.ndarray) -> bytes:
+                yield from edges_of(chunk, seed, frequent, hot, parts)
+
+    return texts.mapInArrow(cut, "bundle long, edges binary")
+
+
+def _pack(words: np.ndarray, grams: np.ndarray, count: np.ndarray, part: np.ndarray) -> bytes:
+    """Edges (numbers of words), sorted by their part within the bundle, as bytes."""
     kinds = [np.dtype(np.uint16 if top < 1 << 16 else np.uint32) for top in (len(words), int(count.max()))]
-    sizes = np.array([len(words), len(count), kinds[0].itemsize, kinds[1].itemsize], dtype=np.int64)
+    borders = np.searchsorted(part, np.arange(PARTS_SENT + 1))
+    sizes = np.array([len(words), len(count), kinds[0].itemsize, kinds[1].itemsize, *borders], dtype=np.int64)
     return b"".join([sizes.tobytes(), words.tobytes(), grams.T.astype(kinds[0]).tobytes(), count.astype(kinds[1]).tobytes()])
 
 
-def _unpack(blob: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n_words, n_edges, wide, counted = np.frombuffer(blob, dtype=np.int64, count=4).tolist()
-    words = np.frombuffer(blob, dtype=np.uint64, count=n_words, offset=32)
-    grams = np.frombuffer(blob, dtype=f"u{wide}", count=LONGEST * n_edges, offset=32 + 8 * n_words)
-    count = np.frombuffer(blob, dtype=f"u{counted}", count=n_edges, offset=32 + 8 * n_words + wide * LONGEST * n_edges)
-    return words, grams.reshape(LONGEST, n_edges), count.astype(np.int64)
+class _Edges:
+    """The packed edges of a chunk; numbers are looked at in place."""
+
+    def __init__(self, blob):
+        head = np.frombuffer(blob, dtype=np.int64, count=4 + PARTS_SENT + 1)
+        n_words, n_edges, wide, counted = head[:4].tolist()
+        self.borders, at = head[4:], head.nbytes
+        self.words = np.frombuffer(blob, dtype=np.uint64, count=n_words, offset=at)
+        at += self.words.nbytes
+        self.grams = np.frombuffer(blob, dtype=f"u{wide}", count=LONGEST * n_edges, offset=at).reshape(LONGEST, n_edges)
+        self.count = np.frombuffer(blob, dtype=f"u{counted}", count=n_edges, offset=at + self.grams.nbytes)
+
+    def part(self, number: int) -> slice:
+        return slice(int(self.borders[number]), int(self.borders[number + 1]))
 
 
 PATHS = "phrase array<long>, shortest int, n long, whole boolean"
@@ -197,20 +215,27 @@ def _path_rows(edges: DataFrame, hot: np.ndarray, least: int) -> DataFrame:
     """Per part: compacted paths whose count is known and reaches ``least``, and parts of counts of hot phrases."""
 
     def flow(rows: pa.Table) -> pa.Table:
-        blobs = [_unpack(b.as_buffer()) for b in rows.column("edges").combine_chunks()]
-        known, rank = np.unique(np.concatenate([b[0] for b in blobs] + [np.zeros(1, np.uint64)]), return_inverse=True)
-        shift = np.cumsum([0] + [len(b[0]) for b in blobs])
-        grams = np.concatenate([rank[b[1].astype(np.int64) + s] for b, s in zip(blobs, shift)], axis=1).T.astype(np.int32)
-        count = np.concatenate([b[2] for b in blobs])
+        bundle = [_Edges(blob.as_buffer()) for chunk in rows.column("edges").chunks for blob in chunk]
+        known, rank = np.unique(np.concatenate([e.words for e in bundle] + [np.zeros(1, np.uint64)]), return_inverse=True)
+        rank = np.split(rank.astype(np.int32), np.cumsum([len(e.words) for e in bundle]))
+        found = [paths(bundle, known, rank, number) for number in range(PARTS_SENT)]
+        return pa.concat_tables([table for table in found if table is not None])
+
+    def paths(bundle: list[_Edges], known: np.ndarray, rank: list[np.ndarray], number: int) -> pa.Table | None:
+        inside = [(e, r, e.part(number)) for e, r in zip(bundle, rank)]
+        grams = np.concatenate([r[e.grams[:, part]] for e, r, part in inside], axis=1).T
+        count = np.concatenate([e.count[part] for e, _, part in inside]).astype(np.int64)
+        if not len(count):
+            return None
         empty = int(np.searchsorted(known, np.uint64(0)))
-        grams = np.where(grams == empty, -1, grams)
+        grams = np.where(grams == empty, np.int32(-1), grams)
         order = np.lexsort(grams.T[::-1])
         grams, count = grams[order], count[order]
         length = (grams >= 0).sum(axis=1)
-        cool = np.zeros(len(grams), dtype=bool)  # the phrase so far holds a word that its edges were dealt out by
+        hot_word = in_table(hot, known)
+        cool = ~hot_word[grams[:, 0]]  # the phrase so far has a word that is not hot, so all its edges are here
         changed = np.ones(len(grams), dtype=bool)
         changed[1:] = grams[1:, 0] != grams[:-1, 0]
-        hot_word = in_table(hot, known)
         levels = []
         for size in range(2, LONGEST + 1):
             changed[1:] |= grams[1:, size - 1] != grams[:-1, size - 1]
@@ -254,7 +279,7 @@ def _path_rows(edges: DataFrame, hot: np.ndarray, least: int) -> DataFrame:
         )
         return pa.table({"phrase": phrases, "shortest": pa.array(low.astype(np.int32)), "n": pa.array(total), "whole": pa.array(whole)})
 
-    return edges.groupBy("part").applyInArrow(flow, PATHS)
+    return edges.groupBy("bundle").applyInArrow(flow, PATHS)
 
 
 def phrase_counts(docs: DataFrame, text_column: str, language_column: str, least: int) -> tuple[DataFrame, DataFrame]:
@@ -296,8 +321,8 @@ def collocations(
     ascending by bytes. All sums and products are exact.
 
     A null text is empty, a null language is ``und``. Repeated rows count again. Empty tables, and tables without
-    a phrase that occurs ``least`` times, give no rows; other columns are not read. A text larger than
-    ``CHUNK_BYTES`` is a chunk of its own, of at most two million words.
+    a phrase that occurs ``least`` times, give no rows; other columns are not read. A text of any length is read
+    by one task, which works off its edges in blocks of words.
     """
     words, phrases = phrase_counts(docs, text_column, language_column, least)
     singles = words.where(F.col("n") >= least).select(F.array("key").alias("phrase"), F.col("n").alias("a"))

@@ -84,7 +84,26 @@ def test_phrases_against_a_plain_count(spark, monkeypatch, capacity):
     assert phrase_rows(got) == sorted(expected)
 
 
-def test_phrases_of_small_chunks_and_a_short_list(spark, monkeypatch):
+def test_long_texts_are_cut_into_blocks_of_words():
+    """What a task makes of a text does not depend on the blocks that it works in."""
+    text = " ".join(f"k{i * i % 97}" for i in range(400))
+    table = np.full(1 << (phrases.TABLE_BITS - 5), 0xFFFFFFFF, dtype=np.uint32)
+    found = []
+    for block in (1 << 20, 37):
+        counted = Counter()
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(phrases, "BLOCK_WORDS", block)
+            chunk = phrases.Words(pa.array([text, "k0 k1"]), pa.array(["en", "en"]))
+            for batch in phrases.edges_of(chunk, 0, table, np.zeros_like(table), 3):
+                for blob in batch.column(1):
+                    edges = phrases._Edges(blob.as_buffer())
+                    for row, n in zip(edges.words[edges.grams.T], edges.count):
+                        counted[tuple(row.tolist())] += int(n)
+        found.append(counted)
+    assert found[0] == found[1] and sum(found[0].values()) == 400 - 1 + 1
+
+
+def test_phrases_of_a_short_list(spark):
     docs = some_texts(6, 100)
     got = phrases.collocations(rows(spark, [(l, t, "k", 1) for l, t in docs], "lang string, text string, key string, n int"), least=5, top=7)
     assert phrase_rows(got) == sorted(plain_collocations(docs, 5, 7))
@@ -106,10 +125,12 @@ def test_shared_hashes_of_a_frequent_word_lead_to_another_seed(spark, monkeypatc
 
 
 def test_edges_are_packed_and_unpacked():
-    words = np.arange(1, 6, dtype=np.uint64)
-    blob = phrases._pack(np.concatenate([[np.uint64(0)], words]), np.array([[1, 2, 3, 4, 5], [2, 3, 4, 5, 0], [3, 4, 0, 0, 0], [3, 4, 5, 0, 0]]), np.array([150, 150, 70, 80]))
-    back = phrases._unpack(memoryview(blob))
-    assert back[0].tolist() == [0, 1, 2, 3, 4, 5] and back[2].tolist() == [150, 150, 70, 80]
+    words = np.arange(6, dtype=np.uint64)
+    grams = np.array([[1, 2, 3, 4, 5], [2, 3, 4, 5, 0], [3, 4, 0, 0, 0], [3, 4, 5, 0, 0]])
+    edges = phrases._Edges(phrases._pack(words, grams, np.array([150, 70_000, 70, 80]), np.array([0, 2, 2, 7])))
+    assert edges.words.tolist() == [0, 1, 2, 3, 4, 5]
+    assert [edges.count[edges.part(i)].tolist() for i in (0, 1, 2, 7)] == [[150], [], [70_000, 70], [80]]
+    assert edges.grams[:, edges.part(2)].T.tolist() == [[2, 3, 4, 5, 0], [3, 4, 0, 0, 0]]
 
 
 # --- fingerprints
