@@ -315,6 +315,7 @@ def near_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: s
     parts = materialize(connected_components(near_prints(nodes, tile).union(same_id)), "components")
     placed = signed.join(parts, F.col("fingerprint") == F.col("node"), "left")
     placed = placed.select("id", "fingerprint", F.coalesce("component", "fingerprint").alias("component"))
-    heads = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    # Written, so that the join with a large component can be split.
+    heads = materialize(placed.groupBy("component").agg(F.min("id").alias("component_id")), "heads")
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
     return placed.join(heads, "component").select(F.col("id").alias(id_column), digits.alias("fingerprint"), "component_id")
