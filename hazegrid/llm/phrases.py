@@ -3,16 +3,18 @@
 1. Words are counted per language. Each (language, word) is known by a 64-bit hash; hashes that a frequent word
    would share with another word lead to another seed, so counts are exact.
 2. Nodes of the graph are runs of four words, edges are runs of five. Every position of a text gives one edge: the
-   five words from there on, or fewer where the piece ends or a word comes that is too rare for any phrase. The
-   shorter ones are the corrections at the ends. Equal edges of a chunk of text are added up before the shuffle.
+   five words from there on, or fewer where the piece ends or where two words follow each other too rarely for any
+   phrase. The shorter ones are the corrections at the ends. Equal edges of a chunk of text are added up before the
+   shuffle. Which neighbours are too rare is known from counters that pairs are hashed to: a counter below the
+   least count proves it, and a shared counter only lets more edges through.
 3. Edges are dealt out by their first two words, or by more as long as all words so far are so frequent that one
    task might not hold the edges that begin with them. A task sorts its edges part by part; the flow through a
    shorter phrase is the sum over the edges that begin with it, ends included. Where all flow of a phrase goes on to one longer phrase, the path is unary: it is
    compacted into one row, the longest phrase with the length of its shortest beginning of equal count.
 4. Paths that reach the least count are unrolled where counts of parts are looked up.
 
-What is sent to all tasks are two bit tables of fixed size (frequent words, hot words). A wrong hit in one of
-them costs work, never a count.
+What is sent to all tasks are three bit tables of fixed size (frequent words, frequent neighbours, hot words). A
+wrong hit in one of them costs work, never a count.
 """
 
 from __future__ import annotations
@@ -32,8 +34,9 @@ UNKNOWN_LANGUAGE = "und"
 CHUNK_BYTES = 4 << 20
 BLOCK_WORDS = 1 << 20
 PART_POSITIONS = 1 << 20  # positions of text per part of the edge table, which is sorted at once
-PARTS_SENT = 8  # parts that are sent together, so that a chunk's words are sent less often
+PARTS_SENT = 4  # parts that are sent together, so that a chunk's words are sent less often
 TABLE_BITS = 24
+PAIR_BITS, RANGE_BITS = 32, 22  # counters of pairs, and those that a task holds at a time
 # Bytes that end a piece, and those that only part words.
 ENDS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 
@@ -44,6 +47,10 @@ def _hashes(dictionary: pa.Array, seed: int) -> np.ndarray:
     return tb.mixed(tb.word_hashes(data, offsets[:-1], offsets[1:], 0) + np.uint64(seed) * np.uint64(tb.BASES[1]))
 
 
+def _keys(word: np.ndarray, language: np.ndarray) -> np.ndarray:
+    return tb.mixed(word ^ (language << np.uint64(1)))
+
+
 class Words:
     """Words of a chunk: code, language code, whether the next word follows in the same piece."""
 
@@ -65,8 +72,7 @@ class Words:
         """64-bit key of (language, word) at every position."""
         if not len(self.codes):
             return np.zeros(0, np.uint64)
-        both = _hashes(self.words, seed)[self.codes] ^ (_hashes(self.languages, seed + 1) << np.uint64(1))[self.language]
-        return tb.mixed(both)
+        return _keys(_hashes(self.words, seed)[self.codes], _hashes(self.languages, seed + 1)[self.language])
 
 
 def _chunks(batch: pa.RecordBatch):
@@ -75,26 +81,36 @@ def _chunks(batch: pa.RecordBatch):
         yield Words(batch.column(1).slice(a, b - a), batch.column(0).slice(a, b - a))
 
 
-def count_words(texts: DataFrame, seed: int) -> DataFrame:
-    """``lang, word, key, n`` over all texts (``lang, content``)."""
+def count_words(texts: DataFrame) -> DataFrame:
+    """``lang, word, n`` over all texts (``lang, content``)."""
 
     def count(batches):
         for batch in batches:
             for chunk in _chunks(batch):
                 n_words = max(len(chunk.words), 1)
-                both, first, n = np.unique(chunk.language * np.int64(n_words) + chunk.codes, return_index=True, return_counts=True)
+                both, n = np.unique(chunk.language * np.int64(n_words) + chunk.codes, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [
                         chunk.languages.take(pa.array(both // n_words)),
                         chunk.words.take(pa.array(both % n_words)).cast(pa.large_string()).cast(pa.string()),
-                        pa.array(tb.signed(chunk.keys(seed)[first])),
                         pa.array(n),
                     ],
-                    names=["lang", "word", "key", "n"],
+                    names=["lang", "word", "n"],
                 )
 
-    counted = texts.mapInArrow(count, "lang string, word string, key long, n long")
-    return counted.groupBy("lang", "word", "key").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def with_keys(counted: DataFrame, seed: int) -> DataFrame:
+    """``lang, word, n, key``."""
+
+    def add(batches):
+        for batch in batches:
+            language = batch.column(0).dictionary_encode()
+            keys = _keys(_hashes(batch.column(1), seed), _hashes(language.dictionary, seed + 1)[language.indices.to_numpy()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tb.signed(keys))], names=["lang", "word", "n", "key"])
+
+    return counted.select("lang", "word", "n").mapInArrow(add, "lang string, word string, n long, key long")
 
 
 def bit_table(keys: DataFrame) -> np.ndarray:
@@ -122,16 +138,75 @@ def _depth(grams: np.ndarray, length: np.ndarray, hot: np.ndarray) -> np.ndarray
     return depth
 
 
-def edges_of(chunk: Words, seed: int, frequent: np.ndarray, hot: np.ndarray, parts: int):
-    """The edges of a chunk as ``bundle, edges``: those of some neighbouring parts, with their counts, packed."""
-    keys = chunk.keys(seed)
+def _neighbours(chunk: Words, keys: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions whose word and next word in the same piece are frequent, and the counter that each pair has."""
     keep = in_table(frequent, keys)
     goes_on = chunk.follows.copy()
     goes_on[:-1] &= keep[:-1] & keep[1:]
-    length = keep.astype(np.int64)
+    at = np.flatnonzero(goes_on)
+    return at, tb.mixed(keys[at] * np.uint64(tb.BASES[1]) + keys[at + 1]) >> np.uint64(64 - PAIR_BITS)
+
+
+def count_pairs(texts: DataFrame, seed: int, frequent: np.ndarray, least: int) -> DataFrame:
+    """``key, n``: the counters of pairs of neighbours that reach ``least``."""
+    ranges = np.arange(1 << (PAIR_BITS - RANGE_BITS), dtype=np.uint64) << np.uint64(RANGE_BITS)
+
+    def count(batches):
+        for batch in batches:
+            for chunk in _chunks(batch):
+                counters, n = np.unique(_neighbours(chunk, chunk.keys(seed), frequent)[1], return_counts=True)
+                borders = np.append(np.searchsorted(counters, ranges), len(counters))
+                filled = np.flatnonzero(np.diff(borders))
+                packed = []
+                for i in filled:
+                    own = slice(borders[i], borders[i + 1])
+                    steps = np.diff(counters[own], prepend=ranges[i]).astype(np.uint32)
+                    packed.append(_squeezed(steps.tobytes() + n[own].astype(np.uint32).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(filled), pa.array(packed, pa.binary())], names=["range", "pairs"])
+
+    def add(batches):
+        """Ranges come sorted, one after the other; the counters of one are held at a time."""
+        number, total = -1, np.zeros(1 << RANGE_BITS, dtype=np.int64)
+
+        def reached():
+            place = np.flatnonzero(total >= least)
+            keys = place + (number << RANGE_BITS)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total[place])], names=["key", "n"])
+
+        for batch in batches:
+            for which, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if which != number:
+                    if number >= 0:
+                        yield reached()
+                    number = which
+                    total[:] = 0
+                steps, n = np.frombuffer(_loosened(blob.as_buffer()), dtype=np.uint32).reshape(2, -1)
+                total[np.cumsum(steps, dtype=np.int64)] += n
+        if number >= 0:
+            yield reached()
+
+    cut = texts.mapInArrow(count, "range long, pairs binary")
+    return cut.repartition("range").sortWithinPartitions("range").mapInArrow(add, "key long, n long")
+
+
+def _squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _loosened(blob) -> pa.Buffer:
+    view = memoryview(blob)
+    return pa.decompress(view[8:], decompressed_size=int.from_bytes(view[:8], "little"), codec="zstd")
+
+
+def edges_of(chunk: Words, seed: int, frequent: np.ndarray, pairs: np.ndarray, hot: np.ndarray, parts: int):
+    """The edges of a chunk as ``bundle, edges``: those of some neighbouring parts, with their counts, packed."""
+    keys = chunk.keys(seed)
+    at, counter = _neighbours(chunk, keys, frequent)
+    goes_on = np.zeros(len(keys) + 1, dtype=bool)
+    goes_on[at[in_table(pairs, counter)]] = True
+    length = np.ones(len(keys), dtype=np.int64)
     for step in range(1, LONGEST):
-        reach = np.zeros(len(keys), dtype=bool)
-        reach[: len(keys) - step] = (length[: len(keys) - step] == step) & goes_on[step - 1 : len(keys) - 1]
+        reach = np.flatnonzero((length == step) & np.append(goes_on[step - 1 :], np.zeros(step - 1, bool))[: len(keys)])
         length[reach] += 1
     for low in range(0, len(keys), BLOCK_WORDS):
         yield from _block_edges(keys[low : low + BLOCK_WORDS + LONGEST], length[low : low + BLOCK_WORDS], hot, parts)
@@ -169,17 +244,21 @@ def _block_edges(keys: np.ndarray, length: np.ndarray, hot: np.ndarray, parts: i
     bundles, blobs = [], []
     for a, b in zip(borders, [*borders[1:], len(order)], strict=True):
         chosen = order[a:b]
-        used, local = np.unique(grams[chosen], return_inverse=True)
+        used, local, often = np.unique(grams[chosen], return_inverse=True, return_counts=True)
+        # Frequent words get small numbers, which pack better.
+        order_used = np.argsort(-often, kind="stable")
+        number = np.empty(len(used), dtype=np.int64)
+        number[order_used] = np.arange(len(used))
         bundles.append(int(part[a]) // PARTS_SENT)
-        blobs.append(_pack(known[used], local.reshape(-1, LONGEST), count[chosen], part[a:b] % PARTS_SENT))
+        blobs.append(_pack(known[used[order_used]], number[local].reshape(-1, LONGEST), count[chosen], part[a:b] % PARTS_SENT))
     yield pa.RecordBatch.from_arrays([pa.array(bundles, pa.int64()), pa.array(blobs, pa.binary())], names=["bundle", "edges"])
 
 
-def _edge_rows(texts: DataFrame, seed: int, frequent: np.ndarray, hot: np.ndarray, parts: int) -> DataFrame:
+def _edge_rows(texts: DataFrame, seed: int, tables: tuple[np.ndarray, ...], parts: int) -> DataFrame:
     def cut(batches):
         for batch in batches:
             for chunk in _chunks(batch):
-                yield from edges_of(chunk, seed, frequent, hot, parts)
+                yield from edges_of(chunk, seed, *tables, parts)
 
     return texts.mapInArrow(cut, "bundle long, edges binary")
 
@@ -189,20 +268,25 @@ def _pack(words: np.ndarray, grams: np.ndarray, count: np.ndarray, part: np.ndar
     kinds = [np.dtype(np.uint16 if top < 1 << 16 else np.uint32) for top in (len(words), int(count.max()))]
     borders = np.searchsorted(part, np.arange(PARTS_SENT + 1))
     sizes = np.array([len(words), len(count), kinds[0].itemsize, kinds[1].itemsize, *borders], dtype=np.int64)
-    return b"".join([sizes.tobytes(), words.tobytes(), grams.T.astype(kinds[0]).tobytes(), count.astype(kinds[1]).tobytes()])
+    # High and low bytes lie apart, so that what is alike lies together.
+    planes = [np.ascontiguousarray(x.astype(kind)).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes() for x, kind in zip((grams.T, count), kinds)]
+    return _squeezed(b"".join([sizes.tobytes(), words.tobytes(), *planes]))
 
 
 class _Edges:
-    """The packed edges of a chunk; numbers are looked at in place."""
+    """The packed edges of a chunk."""
 
-    def __init__(self, blob):
+    def __init__(self, packed):
+        blob = _loosened(packed)
         head = np.frombuffer(blob, dtype=np.int64, count=4 + PARTS_SENT + 1)
         n_words, n_edges, wide, counted = head[:4].tolist()
         self.borders, at = head[4:], head.nbytes
         self.words = np.frombuffer(blob, dtype=np.uint64, count=n_words, offset=at)
         at += self.words.nbytes
-        self.grams = np.frombuffer(blob, dtype=f"u{wide}", count=LONGEST * n_edges, offset=at).reshape(LONGEST, n_edges)
-        self.count = np.frombuffer(blob, dtype=f"u{counted}", count=n_edges, offset=at + self.grams.nbytes)
+        bytes_ = np.frombuffer(blob, dtype=np.uint8, offset=at)
+        split = wide * LONGEST * n_edges
+        self.grams = np.ascontiguousarray(bytes_[:split].reshape(wide, -1).T).view(f"u{wide}").reshape(LONGEST, n_edges)
+        self.count = np.ascontiguousarray(bytes_[split:].reshape(counted, -1).T).view(f"u{counted}").reshape(-1)
 
     def part(self, number: int) -> slice:
         return slice(int(self.borders[number]), int(self.borders[number + 1]))
@@ -290,17 +374,19 @@ def phrase_counts(docs: DataFrame, text_column: str, language_column: str, least
     texts = docs.select(
         F.coalesce(F.col(language_column).cast("string"), F.lit(UNKNOWN_LANGUAGE)).alias("lang"), F.coalesce(F.col(text_column), F.lit("")).alias("content")
     )
+    counted = materialize(count_words(texts), "counted")
     seed = 0
     while True:
-        words = materialize(count_words(texts, seed), "words")
+        words = materialize(with_keys(counted, seed), "words")
         shared = words.groupBy("key").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("words")).where(F.col("words") > 1)
         if shared.where(F.col("n") >= least).isEmpty():
             break
         seed += 2
-    total = words.agg(F.sum("n")).first()[0] or 0
     frequent = bit_table(words.where(F.col("n") >= least))
     hot = bit_table(words.where(F.col("n") >= PART_POSITIONS))
-    edges = _edge_rows(texts, seed, frequent, hot, max(1, -(-total // PART_POSITIONS)))
+    pairs = materialize(count_pairs(texts, seed, frequent, least), "pairs")
+    positions = pairs.agg(F.sum("n")).first()[0] or 0
+    edges = _edge_rows(texts, seed, (frequent, bit_table(pairs), hot), max(1, -(-positions // PART_POSITIONS)))
     paths = materialize(_path_rows(edges, hot, least), "paths")
     split = paths.where("not whole").groupBy("phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     lengths = F.explode(F.sequence("shortest", F.size("phrase"))).alias("size")

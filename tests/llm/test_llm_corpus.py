@@ -94,7 +94,7 @@ def test_long_texts_are_cut_into_blocks_of_words():
         with pytest.MonkeyPatch.context() as patch:
             patch.setattr(phrases, "BLOCK_WORDS", block)
             chunk = phrases.Words(pa.array([text, "k0 k1"]), pa.array(["en", "en"]))
-            for batch in phrases.edges_of(chunk, 0, table, np.zeros_like(table), 3):
+            for batch in phrases.edges_of(chunk, 0, table, table, np.zeros_like(table), 3):
                 for blob in batch.column(1):
                     edges = phrases._Edges(blob.as_buffer())
                     for row, n in zip(edges.words[edges.grams.T], edges.count):
@@ -112,24 +112,36 @@ def test_phrases_of_a_short_list(spark):
 
 def test_shared_hashes_of_a_frequent_word_lead_to_another_seed(spark, monkeypatch):
     docs = some_texts(7, 60)
-    count, seeds = phrases.count_words, []
+    keyed, seeds = phrases.with_keys, []
 
-    def counted(texts, seed):
+    def with_keys(counted, seed):
         seeds.append(seed)
-        words = count(texts, seed)
+        words = keyed(counted, seed)
         return words if seed else words.withColumn("key", F.lit(7).cast("long"))
 
-    monkeypatch.setattr(phrases, "count_words", counted)
+    monkeypatch.setattr(phrases, "with_keys", with_keys)
     got = phrases.collocations(rows(spark, docs, "lang string, text string"), least=5)
     assert phrase_rows(got) == sorted(plain_collocations(docs, 5)) and seeds == [0, 2]
 
 
+def test_counters_of_pairs_are_never_too_low(spark):
+    docs = [("en", t) for _, t in some_texts(8, 80)]
+    table = np.full(1 << (phrases.TABLE_BITS - 5), 0xFFFFFFFF, dtype=np.uint32)
+    texts = rows(spark, docs, "lang string, content string").repartition(3)
+    got = {r.key: r.n for r in phrases.count_pairs(texts, 0, table, 1).collect()}
+    expected = Counter()
+    chunk = phrases.Words(pa.array([t for _, t in docs]), pa.array(["en"] * len(docs)))
+    at, counter = phrases._neighbours(chunk, chunk.keys(0), table)
+    expected.update(counter.tolist())
+    assert got == dict(expected) and len(at) == sum(expected.values())
+
+
 def test_edges_are_packed_and_unpacked():
     words = np.arange(6, dtype=np.uint64)
     grams = np.array([[1, 2, 3, 4, 5], [2, 3, 4, 5, 0], [3, 4, 0, 0, 0], [3, 4, 5, 0, 0]])
-    edges = phrases._Edges(phrases._pack(words, grams, np.array([150, 70_000, 70, 80]), np.array([0, 2, 2, 7])))
+    edges = phrases._Edges(phrases._pack(words, grams, np.array([150, 70_000, 70, 80]), np.array([0, 2, 2, 3])))
     assert edges.words.tolist() == [0, 1, 2, 3, 4, 5]
-    assert [edges.count[edges.part(i)].tolist() for i in (0, 1, 2, 7)] == [[150], [], [70_000, 70], [80]]
+    assert [edges.count[edges.part(i)].tolist() for i in (0, 1, 2, 3)] == [[150], [], [70_000, 70], [80]]
     assert edges.grams[:, edges.part(2)].T.tolist() == [[2, 3, 4, 5, 0], [3, 4, 0, 0, 0]]
 
 
