@@ -121,7 +121,7 @@ def a7_external_history(spark, folder):
         "site_id", "timestamp", F.col("o3").alias("external_ozone"), F.lit("later").alias("data_source")
     )
     external.upsert_external(later, path)
-    return spark.read.parquet(path)
+    return external.read_external(spark, path)
 
 
 @query(
@@ -160,7 +160,8 @@ def a10_publish_profile(spark, folder):
         book.write(profile, "features", means)
     book.publish("zip_only", ["features"])
     book.publish("external_augmented", ["features"])
-    return book.active("features")
+    # Another session reads what was published.
+    return tables.ProfileBook(spark.newSession(), book.root).active("features")
 
 
 @query(

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazegrid import schema as S
 from hazegrid.operators.resample import interpolate_hourly
 from hazegrid.sources.tables import read_partitioned
+from hazegrid.sources.versions import VersionedDocument
 
 DATA_SOURCE = "openmeteo"
 # Fixed value: first day with history per domain.
@@ -48,30 +51,68 @@ def payload_current(payloads: DataFrame) -> DataFrame:
     )
 
 
+BATCH = "_batch"
+
+
+def _manifest(spark: SparkSession, path: str) -> VersionedDocument:
+    return VersionedDocument(spark, f"{path}/_versions")
+
+
+def _owners(spark: SparkSession, path: str, batches: list[dict], site_type) -> DataFrame:
+    """``site, _batch``: the batch that a site's rows are read from.
+
+    The last batch that replaced the site, or else the first that brought it. Reads the lists of sites only.
+    """
+    place = F.create_map(*[part for i, b in enumerate(batches) for part in (F.lit(b["id"]), F.lit((i + 1) if b["refresh"] else -(i + 1)))])
+    listed = spark.read.schema(T.StructType().add(S.SITE, site_type).add(BATCH, "string")).parquet(f"{path}/sites")
+    listed = listed.withColumn("_place", place[F.col(BATCH)]).where(F.col("_place").isNotNull())
+    return listed.groupBy(S.SITE).agg(F.max_by(BATCH, "_place").alias(BATCH))
+
+
 def upsert_external(fresh: DataFrame, path: str, refresh: bool = False) -> None:
-    """Add external history to the stored table, partitioned by site.
+    """Add external history to the stored table.
 
-    Sites already stored are kept, or replaced as a whole with ``refresh``; partitions of other sites are
-    never touched.
+    Sites already stored are kept, or replaced as a whole with ``refresh``; other sites are never touched. Rows go
+    to a folder of their own, the list of their sites beside it, and a new version of the manifest names both when
+    they are complete, so a failed write leaves the table as it was, and which sites are stored is read from the
+    lists, not from the data. Of two writers that bring the same new site the one that commits first has it.
     """
     spark = fresh.sparkSession
+    kind = fresh.schema[S.SITE].dataType
+    manifest = _manifest(spark, path)
+    batches = manifest.read()[1].get("batches", [])
     rows = fresh
-    if not refresh and _exists(spark, path):
-        # Sites are folder names and get the type they have in ``fresh``, so site ``007`` stays what it is.
-        stored = read_partitioned(spark, path, {S.SITE: fresh.schema[S.SITE].dataType}).select(S.SITE).distinct()
+    if not refresh and batches:
+        stored = _owners(spark, path, batches, kind).select(S.SITE)
         rows = fresh.join(stored, S.SITE, "left_anti")
+    name = uuid.uuid4().hex
+    folder = f"{path}/data/{BATCH}={name}"
     laid = rows.repartitionByRange(S.SITE, S.TIMESTAMP).sortWithinPartitions(S.SITE, S.TIMESTAMP)
-    (
-        laid.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(S.SITE)
-        .parquet(path)
-    )
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
+    laid.write.partitionBy(S.SITE).parquet(folder)
+    if not _written(spark, folder):
+        return
+    own = read_partitioned(spark, folder, {S.SITE: kind}).select(S.SITE).distinct()
+    own.write.parquet(f"{path}/sites/{BATCH}={name}")
+    entry = {"id": name, "refresh": refresh}
+    manifest.update(lambda document: {"batches": [*document.get("batches", []), entry]})
+
+
+def read_external(spark: SparkSession, path: str, site_type: T.DataType | str = "string") -> DataFrame:
+    """The stored external history. Site is a folder name, so its type is given here."""
+    site_type = T.DataType.fromDDL(site_type) if isinstance(site_type, str) else site_type
+    batches = _manifest(spark, path).read()[1].get("batches", [])
+    if not batches:
+        raise ValueError(f"nothing is stored under {path}")
+    known = [b["id"] for b in batches]
+    rows = read_partitioned(spark, f"{path}/data", {BATCH: "string", S.SITE: site_type}).where(F.col(BATCH).isin(known))
+    return rows.join(_owners(spark, path, batches, site_type), [S.SITE, BATCH], "left_semi").drop(BATCH)
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    """Whether a write has left any folder of a site."""
     location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(location)
+    listed = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(location)
+    return any(status.isDirectory() and status.getPath().getName().startswith(f"{S.SITE}=") for status in listed)
 
 
 def external_fetch_plan(df: DataFrame, domain: str = "cams_global") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
 from hazegrid import schema as S
+from hazegrid.sources.versions import VersionedDocument
 
 
 def with_required(columns: Sequence[str]) -> list[str]:
@@ -95,23 +97,44 @@ def read_json_document(spark: SparkSession, path: str) -> dict:
 
 
 class ProfileBook:
-    """Named profiles, each a folder of tables; one is active and seen through stable view names."""
+    """Named profiles, each a folder of tables; one is active, for every session that opens the same folder."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._pointer = VersionedDocument(spark, f"{self.root}/_published")
 
     def path(self, profile: str, table: str) -> str:
         return f"{self.root}/{profile}/{table}"
 
     def write(self, profile: str, table: str, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(self.path(profile, table))
+        """Store a table of a profile under a new folder; what is published stays as it is until ``publish``."""
+        folder = f"{self.path(profile, table)}/{uuid.uuid4().hex}"
+        df.write.parquet(folder)
+        VersionedDocument(self.spark, f"{self.path(profile, table)}/_latest").update(lambda _: {"folder": folder})
+
+    def _latest(self, profile: str, table: str) -> str:
+        folder = VersionedDocument(self.spark, f"{self.path(profile, table)}/_latest").read()[1].get("folder")
+        if folder is None:
+            raise KeyError(f"profile {profile} has no table {table}")
+        return folder
 
     def publish(self, profile: str, tables: Sequence[str]) -> None:
-        """Point ``active_<table>`` at the profile's tables. All are opened first, so a missing one changes nothing."""
-        opened = {table: self.spark.read.parquet(self.path(profile, table)) for table in tables}
-        for table, df in opened.items():
-            df.createOrReplaceTempView(f"active_{table}")
+        """Make a profile's tables the active ones, all at once: one new version of a small document.
+
+        Every table is opened first, so a missing one changes nothing. Tables of earlier publications that are not
+        named are no longer active.
+        """
+        folders = {table: self._latest(profile, table) for table in tables}
+        for folder in folders.values():
+            self.spark.read.parquet(folder)
+        self._pointer.update(lambda _: {"profile": profile, "tables": folders})
+
+    def active_profile(self) -> str | None:
+        return self._pointer.read()[1].get("profile")
 
     def active(self, table: str) -> DataFrame:
-        return self.spark.table(f"active_{table}")
+        folders = self._pointer.read()[1].get("tables", {})
+        if table not in folders:
+            raise KeyError(f"no table {table} is published")
+        return self.spark.read.parquet(folders[table])

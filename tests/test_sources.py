@@ -7,10 +7,11 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conftest import plan_of
 from hazegrid import schema as S
-from hazegrid.sources import documents, external, sites, tables
+from hazegrid.sources import documents, external, sites, tables, versions
 
 
 def write_site(folder, name, with_targets, days=(3, 1, 2)):
@@ -68,7 +69,7 @@ def test_external_history(spark, tmp_path):
         return spark.createDataFrame([(s, dt.datetime(2024, 1, 1), float(v)) for s, v in pairs], "site_id int, timestamp timestamp_ntz, v double")
 
     def stored():
-        return {r["site_id"]: r["v"] for r in spark.read.parquet(path).collect()}
+        return {r["site_id"]: r["v"] for r in external.read_external(spark, path, "int").collect()}
 
     external.upsert_external(rows((1, 1), (2, 2)), path)
     external.upsert_external(rows((2, 20), (3, 30)), path)
@@ -77,6 +78,50 @@ def test_external_history(spark, tmp_path):
     assert stored() == {1: 1.0, 2: 20.0, 3: 30.0}
 
 
+def history_rows(spark, *pairs):
+    return spark.createDataFrame([(s, dt.datetime(2024, 1, 1), float(v)) for s, v in pairs], "site_id int, timestamp timestamp_ntz, v double")
+
+
+def test_a_failed_write_leaves_the_history_as_it_was(spark, tmp_path):
+    path = str(tmp_path / "history")
+    external.upsert_external(history_rows(spark, (1, 1)), path)
+    broken = history_rows(spark, (2, 2)).withColumn("v", F.when(F.col("site_id") == 2, F.raise_error(F.lit("broken"))).otherwise(F.col("v")).cast("double"))
+    with pytest.raises(Exception, match="broken"):
+        external.upsert_external(broken, path)
+    assert [(r["site_id"], r["v"]) for r in external.read_external(spark, path, "int").collect()] == [(1, 1.0)]
+    # Nothing new: no version is written.
+    before = external._manifest(spark, path).read()
+    external.upsert_external(history_rows(spark, (1, 5)), path)
+    assert external._manifest(spark, path).read() == before
+
+
+def test_two_writers_keep_each_others_sites(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "history")
+    external.upsert_external(history_rows(spark, (1, 1)), path)
+    written, busy = external._written, []
+
+    def meanwhile(session, folder):
+        found = written(session, folder)
+        if not busy:
+            busy.append(True)
+            external.upsert_external(history_rows(spark, (9, 90), (8, 80)), path)
+        return found
+
+    monkeypatch.setattr(external, "_written", meanwhile)
+    external.upsert_external(history_rows(spark, (9, 9), (10, 10)), path)
+    stored = {r["site_id"]: r["v"] for r in external.read_external(spark, path, "int").collect()}
+    assert stored == {1: 1.0, 8: 80.0, 9: 90.0, 10: 10.0}
+
+
+def test_stored_sites_come_from_the_lists_alone(spark, tmp_path):
+    path = str(tmp_path / "history")
+    external.upsert_external(history_rows(spark, (1, 1), (2, 2)), path)
+    owners = external._owners(spark, path, external._manifest(spark, path).read()[1]["batches"], T.IntegerType())
+    assert owners.inputFiles() and all("/sites/" in name for name in owners.inputFiles())
+    with pytest.raises(ValueError):
+        external.read_external(spark, str(tmp_path / "none"))
+
+
 ODD_SITES = ["007", "7", "1e3", "2024-01-01", "ok"]
 
 
@@ -85,7 +130,7 @@ def test_external_history_keeps_odd_ids(spark, tmp_path):
     first = spark.createDataFrame([(s, dt.datetime(2024, 1, 1), 1.0) for s in ODD_SITES], "site_id string, timestamp timestamp_ntz, v double")
     external.upsert_external(first, path)
     external.upsert_external(first.withColumn("v", F.lit(2.0)).unionByName(first.withColumns({"site_id": F.lit("new"), "v": F.lit(3.0)}).limit(1)), path)
-    stored = tables.read_partitioned(spark, path, {"site_id": "string"})
+    stored = external.read_external(spark, path)
     assert {r["site_id"]: r["v"] for r in stored.collect()} == {**{s: 1.0 for s in ODD_SITES}, "new": 3.0}
 
 
@@ -143,12 +188,42 @@ def test_profiles(spark, tmp_path):
     book.write("one", "t", spark.range(1))
     book.write("two", "t", spark.range(2))
     book.publish("one", ["t"])
-    assert book.active("t").count() == 1
+    assert book.active("t").count() == 1 and book.active_profile() == "one"
+    # Another session sees it, and sees the next publication.
+    other = tables.ProfileBook(spark.newSession(), str(tmp_path))
+    assert other.active("t").count() == 1
     book.publish("two", ["t"])
-    assert book.active("t").count() == 2
-    with pytest.raises(Exception):
-        book.publish("three", ["t"])
-    assert book.active("t").count() == 2
+    assert other.active("t").count() == 2
+    # A table written again is not public before the next publication.
+    book.write("two", "t", spark.range(5))
+    assert other.active("t").count() == 2
+    for profile, names in (("three", ["t"]), ("one", ["t", "missing"])):
+        with pytest.raises(KeyError):
+            book.publish(profile, names)
+    assert other.active("t").count() == 2 and other.active_profile() == "two"
+    with pytest.raises(KeyError):
+        other.active("missing")
+
+
+def test_versions_are_never_overwritten(spark, tmp_path):
+    first, second = (versions.VersionedDocument(spark, str(tmp_path / "d")) for _ in range(2))
+    assert first.read() == (0, {})
+    assert first.write({"a": 1}, 0) == 1
+    with pytest.raises(versions.VersionConflict):
+        second.write({"a": 2}, 0)
+    assert second.read() == (1, {"a": 1})
+
+    def late(document):
+        # Somebody else commits between reading and writing, once.
+        if first.read()[0] == 1:
+            first.write({**document, "b": 2}, 1)
+        return {**document, "c": 3}
+
+    assert second.update(late) == {"a": 1, "b": 2, "c": 3} and first.read() == (3, {"a": 1, "b": 2, "c": 3})
+    # A version whose writer died is passed over.
+    (tmp_path / "d" / "0000000004.json").write_text('{"a": ')
+    assert first.read() == (4, {"a": 1, "b": 2, "c": 3})
+    assert first.update(lambda document: {**document, "d": 4})["d"] == 4 and first.read()[0] == 5
 
 
 def test_json_documents(spark, tmp_path):
