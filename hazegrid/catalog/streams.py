@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hazegrid.catalog.models import band_flags, fitted_forest, forecast_table
+from hazegrid.catalog.models import PLAIN, band_flags, fitted_forest, forecast_table, train_parts
 from hazegrid.catalog.registry import query
 from hazegrid.catalog.scalars import THRESHOLD_ALERTS
 from hazegrid.catalog.sources import payloads
 from hazegrid.catalog.tables import EV, HOURLY, observations, table
 from hazegrid.operators import series
-from hazegrid.session import shared_path
-from hazegrid.streaming import live
+from hazegrid.plans.forecasters import SequenceForecaster
+from hazegrid.session import materialize, shared_path
+from hazegrid.streaming import live, state
 
 
 def reading_stream(spark, folder):
@@ -129,3 +130,46 @@ def i6_streaming_scoring(spark, folder):
     joined = rows.join(once, "event_id", "left").withColumn("as_in_batch", F.coalesce(same, F.lit(False)))
     flags = band_flags(joined, sigmas, ["site_id", "event_id", "as_in_batch"])
     return flags.select("site_id", "event_id", "model_name", "band_fits", "as_in_batch")
+
+
+@query(
+    "i5_streaming_stale",
+    f"""WITH {EV}, now AS (SELECT date_trunc('millisecond', max("timestamp")) - INTERVAL 10 SECOND AS moment FROM ev)
+      SELECT site_id, event_id, o3, no2, date_trunc('millisecond', "timestamp") + INTERVAL 45 SECOND < moment AS stale FROM ev, now
+      QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY "timestamp" DESC, event_id DESC) = 1""",
+)
+def i5_streaming_stale(spark, folder):
+    """The last word of a stream on each site: its newest reading, and whether it has fallen silent since."""
+    said = state.freshness(reading_stream(spark, folder), "event_id")
+    with state.state_store(spark):
+        rows = finish(spark, lambda path, checkpoint: live.append_to(said, path, checkpoint), "freshness")
+    newest = series.latest_per_key(rows, ["site_id"], ["timestamp", "event_id", "stale"])
+    return newest.select("site_id", "event_id", "o3", "no2", "stale")
+
+
+@query(
+    "i6_streaming_sequences",
+    f"""WITH {EV} SELECT site_id, event_id, true AS as_in_batch FROM ev
+      QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY "timestamp", event_id) > 6""",
+)
+def i6_streaming_sequences(spark, folder):
+    """Rows scored as a stream by a model over the six rows before each, and whether a batch gives the same values.
+
+    The rows are landed in three parts, in time order; rows at the head of a part need state from the part before.
+    """
+    fitting, checking, _ = train_parts(forecast_table(spark, folder))
+    model = SequenceForecaster(PLAIN, 6, tie_break=("event_id",))
+    model.fit(fitting, checking)
+    rows = materialize(forecast_table(spark, folder), "sequence-rows")
+    first, last = rows.agg(F.percentile_approx("timestamp", [0.33, 0.67]).alias("t")).first()["t"]
+    parts = [F.col("timestamp") <= first, (F.col("timestamp") > first) & (F.col("timestamp") <= last), F.col("timestamp") > last]
+    path = shared_path(spark, "sequences")
+    for part in parts:
+        rows.where(part).write.mode("append").parquet(f"{path}/landed")
+        stream = live.reading_stream(spark, f"{path}/landed", rows.schema)
+        state.score_sequences(stream, model, f"{path}/scores", f"{path}/checkpoint", ("site_id", "event_id"), ("timestamp", "event_id")).awaitTermination()
+    names = ("prediction_O3_target", "prediction_NO2_target")
+    once = model.predict(rows).select("event_id", *[F.col(name).alias(f"_{name}") for name in names])
+    joined = spark.read.parquet(f"{path}/scores").join(once, "event_id", "left")
+    same = [F.abs(F.col(name) - F.col(f"_{name}")) < 1e-9 for name in names]
+    return joined.select("site_id", "event_id", F.coalesce(same[0] & same[1], F.lit(False)).alias("as_in_batch"))

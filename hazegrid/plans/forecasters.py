@@ -143,14 +143,24 @@ class SequenceForecaster:
         self.residual_std = {name: value or 0.0 for name, value in spread.first().asDict().items()}
 
     def predict(self, df: DataFrame) -> DataFrame:
-        rows = self._windows(df)
+        return self._fitted(self._windows(df), _without_positions(df))
+
+    def step_columns(self) -> list[str]:
+        """Scaled columns that make up one step of a sequence."""
+        return scaled_names(self.feature_columns)
+
+    def predict_steps(self, df: DataFrame, keep: Sequence[str], steps: str = "_steps") -> DataFrame:
+        """Predictions for rows that carry the scaled vectors of the rows before them."""
+        return self._fitted(df.select(*keep, array_to_vector(F.flatten(steps)).alias("_vector")), keep)
+
+    def _fitted(self, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
         for fitted in self.model.stages[1:]:
             rows = fitted.transform(rows)
         unscaled = [
             (F.col(f"_fit_{name}") * deviation + mean).alias(f"{PREDICTION}{name}")
             for name, (mean, deviation) in self.target_scale.items()
         ]
-        return rows.select(*_without_positions(df), *unscaled)
+        return rows.select(*keep, *unscaled)
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/pipeline")

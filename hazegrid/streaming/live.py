@@ -89,9 +89,12 @@ def with_freshness(latest: DataFrame, as_of, limit_seconds: int = FRESH_SECONDS)
 
 
 def score_batches(stream: DataFrame, forecaster, sigmas: DataFrame, path: str, checkpoint: str, keep: tuple[str, ...]):
-    """Predictions with bands for the rows of each micro-batch. For models that need no preceding rows."""
+    """Predictions with bands for the rows of each micro-batch. For models that need no preceding rows.
+
+    Models over row sequences keep state: ``streaming.state.score_sequences``.
+    """
     if forecaster.history_rows():
-        raise ValueError("a model over row sequences cannot score single batches")
+        raise ValueError("a model over row sequences is scored by streaming.state.score_sequences")
 
     def score(batch: DataFrame) -> DataFrame:
         predicted = forecaster.predict(align_to_model(batch, forecaster.feature_columns))
