@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -76,53 +78,57 @@ def active_model(metrics: DataFrame, listing: str = "listing") -> DataFrame:
     return best.where(F.col("model").isNotNull())
 
 
-def _long(df: DataFrame, columns: Sequence[str], group: Sequence[str]) -> DataFrame:
-    cells = [F.struct(F.lit(name).alias("column"), F.col(name).cast("double").alias("value")) for name in columns]
-    cell = F.explode(F.array(*cells)).alias("_cell")
-    return df.select(*group, cell).select(*group, "_cell.column", "_cell.value").where("value IS NOT NULL")
+def _with_brackets(df: DataFrame, columns: Sequence[str], group: Sequence[str]) -> DataFrame:
+    """``df`` with ``_near``: per column its count and a bracket that must hold the middle of its group."""
+    half = 3.0 / MEDIAN_ACCURACY
+    sketched = []
+    for i, name in enumerate(columns):
+        value = F.col(name).cast("double")
+        near = F.percentile_approx(value, [0.5 - half, 0.5 + half], MEDIAN_ACCURACY)
+        sketched.append(F.struct(F.count(value).alias("n"), F.get(near, F.lit(0)).alias("low"), F.get(near, F.lit(1)).alias("high")).alias(f"_{i}"))
+    brackets = materialize(df.groupBy(*group).agg(F.struct(*sketched).alias("_near")), "brackets")
+    if not group:
+        return df.withColumn("_near", brackets.select("_near").scalar())
+    known = brackets.select(*[F.col(name).alias(f"_g_{name}") for name in group], "_near")
+    same = functools.reduce(operator.and_, [F.col(name).eqNullSafe(F.col(f"_g_{name}")) for name in group])
+    return df.join(known, same).drop(*[f"_g_{name}" for name in group])
+
+
+def _inside(wide: DataFrame, columns: Sequence[str], group: Sequence[str]) -> DataFrame:
+    """A row per cell inside its bracket."""
+    cells = []
+    for i, name in enumerate(columns):
+        value, near = F.col(name).cast("double"), F.col("_near")[f"_{i}"]
+        cell = F.struct(F.lit(name).alias("column"), near["n"].alias("n"), near["low"].alias("low"), near["high"].alias("high"), value.alias("value"))
+        cells.append(F.when(value.between(near["low"], near["high"]), cell))
+    return wide.select(*group, F.explode(F.array_compact(F.array(*cells))).alias("c")).select(*group, "c.*")
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """Exact median (mean of the two middle values) per column and group, as ``(group, column, median)``.
 
     The built-in exact median keeps every distinct value of a group in one buffer. Here a mergeable sketch
-    first gives a narrow bracket that must hold the middle (three times its own error to either side); only
-    values inside it are counted one by one, and among those only the buckets around the middle are sorted.
+    first gives a narrow bracket that must hold the middle (three times its own error to either side). Rows stay
+    wide: what lies below each column's bracket is counted by one aggregate over the wide row, and only cells
+    inside a bracket become rows of their own, to be counted by value. Among those only the buckets around the
+    middle are sorted.
     """
-    group = list(group)
-    half = 3.0 / MEDIAN_ACCURACY
-    wide = []
-    for name in columns:
-        value = F.col(name).cast("double")
-        near = F.percentile_approx(value, [0.5 - half, 0.5 + half], MEDIAN_ACCURACY)
-        wide.append(
-            F.struct(
-                F.lit(name).alias("column"),
-                F.count(value).alias("n"),
-                near.alias("near"),
-            )
-        )
-    brackets = df.groupBy(*group).agg(F.array(*wide).alias("_cells"))
-    brackets = brackets.select(*group, F.explode("_cells").alias("c")).where(F.col("c.n") > 0)
-    brackets = materialize(
-        brackets.select(
-            *group,
-            "c.column",
-            "c.n",
-            F.get("c.near", F.lit(0)).alias("_low"),
-            F.get("c.near", F.lit(1)).alias("_high"),
-        ),
-        "brackets",
-    )
+    group, columns = list(group), list(columns)
     keys = [*group, "column"]
-    inside = _long(df, columns, group).join(brackets, keys).where(F.col("value") <= F.col("_high"))
-    # Everything below the bracket falls into one line per key; its place is before bucket 0.
-    kept = F.when(F.col("value") >= F.col("_low"), F.col("value"))
-    share = (kept - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
-    bucket = F.when(kept.isNull(), -1).otherwise(F.coalesce(F.floor(share * MEDIAN_BUCKETS), F.lit(0)))
-    counts = inside.groupBy(*keys, "n", bucket.cast("bigint").alias("_bucket"), kept.alias("_value")).agg(
-        F.count(F.lit(1)).alias("_count")
-    )
+    wide = _with_brackets(df, columns, group)
+    inside = _inside(wide, columns, group)
+    share = (F.col("value") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
+    bucket = F.coalesce(F.floor(share * MEDIAN_BUCKETS), F.lit(0)).cast("bigint")
+    counts = inside.groupBy(*keys, "n", bucket.alias("_bucket"), F.col("value").alias("_value")).agg(F.count(F.lit(1)).alias("_count"))
+    # Everything below a bracket is one line per key; its place is before bucket 0.
+    below = []
+    for i, name in enumerate(columns):
+        near = F.col("_near")[f"_{i}"]
+        under = F.count_if(F.col(name).cast("double") < near["low"]).alias("count")
+        below.append(F.struct(F.lit(name).alias("column"), F.max(near["n"]).alias("n"), under))
+    under = wide.groupBy(*group).agg(F.array(*below).alias("_cells")).select(*group, F.inline("_cells")).where("count > 0")
+    under = under.select(*keys, "n", F.lit(-1).cast("bigint").alias("_bucket"), F.lit(None).cast("double").alias("_value"), F.col("count").alias("_count"))
+    counts = materialize(counts.union(under), "median-counts")
     by_key = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     lower, upper = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
     buckets = (

@@ -72,3 +72,14 @@ def test_unknown_values_are_left_out(spark):
     got = metrics.regression_metrics(pairs).collect()
     assert len(got) == 1 and (got[0]["rmse"], got[0]["mae"], got[0]["r2"]) == (1.0, 1.0, -3.0)
     assert {r["model"]: r["incomplete"] for r in metrics.incomplete_pairs(pairs).collect()} == {"m": 2, "none": 1}
+
+
+def test_only_cells_near_the_middle_become_rows(spark):
+    df = spark.range(200_000).select(F.rand(1).alias("a"), F.randn(2).alias("b"), (F.col("id") % 4).alias("g"))
+    df = df.withColumn("a", F.when(F.col("a") > 0.1, F.col("a")))
+    for group in ([], ["g"]):
+        wide = metrics._with_brackets(df, ["a", "b"], group)
+        assert 0 < metrics._inside(wide, ["a", "b"], group).count() < 0.05 * 400_000
+    exact = df.agg(F.median("a").alias("a"), F.median("b").alias("b")).first()
+    got = {r["column"]: r["median"] for r in metrics.exact_medians(df, ["a", "b"]).collect()}
+    assert got == {"a": exact["a"], "b": exact["b"]}

@@ -17,6 +17,26 @@ def at(hour, day=1):
 POINTS = "site_id string, timestamp timestamp_ntz, o3 double, no2 double"
 
 
+def test_a_wrong_year_costs_rows_but_no_array(spark):
+    """A time stamp in the year 9999: all hours up to it are made, in blocks; with a longest gap none are."""
+    hours = [("a", dt.datetime(2024, 1, 1, 0), 1.0), ("a", dt.datetime(2024, 1, 1, 2), 3.0), ("a", dt.datetime(9999, 12, 31, 23), 5.0), ("b", dt.datetime(1900, 1, 1), 2.0)]
+    df = spark.createDataFrame(hours, "site_id string, timestamp timestamp_ntz, v double")
+    expected = (dt.datetime(9999, 12, 31, 23) - dt.datetime(2024, 1, 1)) // dt.timedelta(hours=1) + 1
+    assert resample.hourly_grid(df).where("site_id = 'a'").count() == expected
+    near = resample.interpolate_hourly(df, ["v"]).where("timestamp < TIMESTAMP_NTZ'2024-01-01 05:00:00' AND site_id = 'a'").orderBy("timestamp")
+    assert [round(r["v"], 3) for r in near.collect()] == [1.0, 2.0, 3.0, 3.0, 3.0]
+    short = resample.interpolate_hourly(df, ["v"], longest_gap=24 * 366).orderBy("site_id", "timestamp").collect()
+    assert [(r["site_id"], r["v"]) for r in short] == [("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", 5.0), ("b", 2.0)]
+
+
+def test_interpolation_over_blocks_equals_one_line(spark, monkeypatch):
+    monkeypatch.setattr(resample, "GAP_BLOCK_HOURS", 7)
+    df = spark.createDataFrame([("a", dt.datetime(2024, 1, 1), 0.0), ("a", dt.datetime(2024, 1, 3), None), ("a", dt.datetime(2024, 1, 5), 96.0)], "site_id string, timestamp timestamp_ntz, v double")
+    got = resample.interpolate_hourly(df, ["v"]).orderBy("timestamp").collect()
+    assert [round(r["v"], 9) for r in got] == [float(i) for i in range(97)]
+    assert [r["timestamp"] for r in got] == [dt.datetime(2024, 1, 1) + dt.timedelta(hours=i) for i in range(97)]
+
+
 def test_interpolation_holds_the_ends(spark):
     rows = [("a", at(0), None), ("a", at(1), 2.0), ("a", at(1), 4.0), ("a", at(4), 9.0), ("a", at(5), None), ("b", at(0), None), ("b", at(2), None)]
     df = spark.createDataFrame(rows, "site_id string, timestamp timestamp_ntz, v double")
