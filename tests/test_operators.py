@@ -218,6 +218,23 @@ def test_ranking_with_a_word_in_every_source(spark, monkeypatch, probed):
     assert {(x["query_id"], x["source_id"]) for x in ranked.collect()} == expected
 
 
+def test_pairs_scored_do_not_grow_with_the_corpus(spark, monkeypatch):
+    """Words as uneven as in prose: four times the sources, about as many pairs that need all their words."""
+    import random
+
+    r = random.Random(2)
+    words, weights = [f"w{i}" for i in range(3000)], [1 / (i + 1) for i in range(3000)]
+    texts = lambda n, sizes: [(i, " ".join(r.choices(words, weights, k=r.choice(sizes)))) for i in range(n)]
+    asked = spark.createDataFrame([(i, t, "deep") for i, t in texts(12, [30, 60])], "query_id int, text string, depth string")
+    sources, likely, counts = texts(3200, [5, 40, 120, 300]), retrieval._likely_pairs, []
+    monkeypatch.setattr(retrieval, "_likely_pairs", lambda *args: counts.append(likely(*args)) or counts[-1])
+    for n in (800, 3200):
+        corpus = spark.createDataFrame([(i, t, 0.7 + 0.2 * (i % 2)) for i, t in sources[:n]], "source_id int, text string, credibility double")
+        assert retrieval.rank_evidence(asked, corpus).count() == 12 * 14
+    small, large = (df.count() / 12 for df in counts)
+    assert large <= 2 * max(small, 14) and large < 0.05 * 3200, (small, large)
+
+
 def test_pinned_source(spark):
     asked = spark.createDataFrame([("q", "quick"), ("p", "quick")], "query_id string, depth string")
     ranked = spark.createDataFrame([(q, i, i) for q in "pq" for i in range(1, 7)], "query_id string, source_id int, rank int")
