@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -178,6 +179,67 @@ class SequenceForecaster:
         write_json_document(SparkSession.active(), document, f"{path}/document")
 
 
+@dataclass
+class LeastSquaresForecaster:
+    """A line per target, fitted in closed form: means and covariances in one aggregate, solved on the driver.
+
+    What reaches the driver are (columns + 1)^2 numbers per target, whatever the rows. Rows with an unknown feature
+    or target take no part in the fit and get no prediction. Of columns that determine each other the solution of
+    least norm is taken.
+    """
+
+    feature_columns: list[str]
+    targets: Sequence[str] = tuple(S.TARGET_COLUMNS)
+    name: str = "least_squares"
+    weights: dict[str, list[float]] = field(default_factory=dict)  # intercept first
+    residual_std: dict[str, float] = field(default_factory=dict)
+
+    def history_rows(self) -> int:
+        return 0
+
+    def fit(self, train: DataFrame, validation: DataFrame | None = None) -> None:
+        cells = []
+        for target in self.targets:
+            complete = F.col(target).isNotNull()
+            for name in self.feature_columns:
+                complete &= F.col(name).isNotNull()
+            known = [F.when(complete, F.col(name).cast("double")) for name in (*self.feature_columns, target)]
+            moments = [F.coalesce(F.covar_pop(x, y), F.lit(0.0)) for i, x in enumerate(known) for y in known[i:]]
+            cells.append(F.array(*[F.coalesce(F.avg(x), F.lit(0.0)) for x in known], *moments).alias(target))
+        found = train.agg(*cells).first()
+        k = len(self.feature_columns)
+        for target in self.targets:
+            means, moments = np.array(found[target][: k + 1]), found[target][k + 1 :]
+            spread = np.zeros((k + 1, k + 1))
+            spread[np.triu_indices(k + 1)] = moments
+            spread = spread + np.triu(spread, 1).T
+            scale = np.sqrt(np.where(np.diag(spread)[:k] > 0, np.diag(spread)[:k], 1.0))
+            slopes = np.linalg.lstsq(spread[:k, :k] / np.outer(scale, scale), spread[:k, k] / scale, rcond=None)[0] / scale
+            self.weights[target] = [float(means[k] - slopes @ means[:k]), *slopes.tolist()]
+        if validation is not None:
+            errors = [F.stddev_pop(F.col(name) - F.col(f"{PREDICTION}{name}")).alias(name) for name in self.targets]
+            spread = self.predict(validation).agg(*errors).first().asDict()
+            self.residual_std = {name: value or 0.0 for name, value in spread.items()}
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        lines = {}
+        for target, (intercept, *slopes) in self.weights.items():
+            line = F.lit(intercept)
+            for name, slope in zip(self.feature_columns, slopes, strict=True):
+                line = line + F.col(name).cast("double") * F.lit(slope)
+            lines[f"{PREDICTION}{target}"] = line
+        return df.select(*_without_positions(df), *[line.alias(name) for name, line in lines.items()])
+
+    def save(self, path: str) -> None:
+        document = {key: getattr(self, key) for key in ("name", "feature_columns", "weights", "residual_std")}
+        document = {"kind": "least_squares", "targets": list(self.targets), **document}
+        write_json_document(SparkSession.active(), document, f"{path}/document")
+
+
+def _load_least_squares(spark: SparkSession, path: str, document: dict) -> LeastSquaresForecaster:
+    return LeastSquaresForecaster(**{key: value for key, value in document.items() if key != "kind"})
+
+
 def _load_forest(spark: SparkSession, path: str, document: dict) -> ForestForecaster:
     model = PipelineModel.load(f"{path}/pipeline")
     return ForestForecaster(document["feature_columns"], document["targets"], name=document["name"], model=model)
@@ -199,7 +261,8 @@ class ModelRegistry:
     def __init__(self, spark: SparkSession, root: str, loaders: dict[str, Callable] | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.loaders = {"forest": _load_forest, "sequence": _load_sequence, **(loaders or {})}
+        known = {"forest": _load_forest, "sequence": _load_sequence, "least_squares": _load_least_squares}
+        self.loaders = {**known, **(loaders or {})}
 
     def path(self, name: str) -> str:
         return f"{self.root}/models/{name}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -178,11 +178,21 @@ def batch_forecast(
     return forecast.with_bands(named, sigmas)
 
 
-def compare_profiles(profiles: dict[str, DataFrame], root: str, spec: FeatureSpec, config: TrainingConfig) -> DataFrame:
-    """The same job per profile, metrics side by side: one column per profile."""
+def compare_profiles(
+    profiles: dict[str, DataFrame],
+    root: str,
+    spec: FeatureSpec,
+    config: TrainingConfig,
+    extra_forecasters: Callable[[str], Sequence[Forecaster]] = lambda profile: (),
+    validate: bool = True,
+) -> DataFrame:
+    """The same checked job per profile, metrics side by side: one column per profile.
+
+    ``extra_forecasters`` gives the further models of a profile. A profile that fails the checks ends the comparison.
+    """
     rows = None
     for name, dataset in profiles.items():
-        metadata = train(dataset, f"{root}/{name}", spec, config, validate=False)
+        metadata = train(dataset, f"{root}/{name}", spec, config, extra_forecasters(name), validate=validate)
         measured = metrics_table(dataset.sparkSession, metadata).withColumn("profile", F.lit(name))
         rows = measured if rows is None else rows.unionByName(measured)
     return rows.groupBy("model", "target", "metric").pivot("profile", list(profiles)).agg(F.first("value"))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import dataclasses
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from hazegrid.catalog import models
 from hazegrid.catalog.models import SiteMean
 from hazegrid.operators import features
 from hazegrid.plans import preprocess, training
-from hazegrid.plans.forecasters import ForestForecaster, ModelRegistry, SequenceForecaster
+from hazegrid.plans.forecasters import ForestForecaster, LeastSquaresForecaster, ModelRegistry, SequenceForecaster
 from hazegrid.session import shared_path
 
 
@@ -98,3 +99,41 @@ def test_profiles_side_by_side(spark, folder):
     table = training.compare_profiles(profiles, shared_path(spark, "p"), small, config)
     assert table.count() == 16 and {"plain", "more"} <= set(table.columns)
     assert table.where(F.col("plain").isNull()).count() == 0
+
+
+def test_least_squares_equals_a_direct_solution(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(3, 2, (400, 2))
+    y = 1.5 + x @ [2.0, -0.7] + r.normal(0, 0.3, 400)
+    rows = [(*map(float, pair), 4.0, float(value), float(2 * value)) for pair, value in zip(x, y)]
+    rows += [(None, 1.0, 4.0, 99.0, 99.0), (1.0, 1.0, 4.0, None, None)]
+    df = spark.createDataFrame(rows, "a double, b double, constant double, O3_target double, NO2_target double")
+    model = LeastSquaresForecaster(["a", "b", "constant"], ["O3_target", "NO2_target"])
+    model.fit(df, df)
+    direct = np.linalg.lstsq(np.column_stack([np.ones(400), x]), y, rcond=None)[0]
+    assert model.weights["O3_target"][:3] == pytest.approx(direct, abs=1e-9) and model.weights["O3_target"][3] == 0.0
+    assert model.weights["NO2_target"][:3] == pytest.approx(2 * direct, abs=1e-9)
+    predicted = model.predict(df).orderBy("a", "b").collect()
+    assert len(predicted) == 402 and predicted[0]["prediction_O3_target"] is None
+    registry = ModelRegistry(spark, shared_path(spark, "registry"))
+    registry.save(model)
+    registry.save_metadata({"available_models": [model.name]})
+    assert registry.load(model.name) == model
+
+
+def test_least_squares_without_rows_or_with_twin_columns(spark):
+    schema = "a double, b double, O3_target double"
+    empty = LeastSquaresForecaster(["a", "b"], ("O3_target",))
+    empty.fit(spark.createDataFrame([], schema))
+    assert empty.weights == {"O3_target": [0.0, 0.0, 0.0]}
+    twins = LeastSquaresForecaster(["a", "b"], ("O3_target",))
+    twins.fit(spark.createDataFrame([(float(i), 2.0 * i, 10.0 * i) for i in range(9)], schema))
+    line = spark.createDataFrame([(3.0, 6.0, 0.0)], schema)
+    assert twins.predict(line).first()["prediction_O3_target"] == pytest.approx(30.0)
+
+
+def test_profiles_are_checked_before_they_are_compared(spark, folder):
+    good = models.dataset(spark, folder)
+    bad = good.withColumn("O3_target", F.lit(None).cast("double"))
+    with pytest.raises(ValueError):
+        training.compare_profiles({"bad": bad}, shared_path(spark, "profiles"), models.SPEC, models.CONFIG)
