@@ -8,20 +8,24 @@ from typing import Protocol
 
 import numpy as np
 from pyspark.ml import PipelineModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazegrid import schema as S
 from hazegrid.operators.features import FeatureSpec, sequences
-from hazegrid.operators.series import ROW, ROWS, latest_rows
+from hazegrid.operators.series import ROW, ROWS, index_rows, latest_rows
+from hazegrid.plans.normal_equations import window_moments
 from hazegrid.plans.preprocess import column_statistics, mean_and_deviation, scale_stage, scaled_names
 from hazegrid.session import materialize
 from hazegrid.sources.tables import read_json_document, write_json_document
 
 SEED = 42
+PENALTY = 0.01
 PREDICTION = "prediction_"
 
 
@@ -94,9 +98,21 @@ class ForestForecaster:
         write_json_document(SparkSession.active(), {**document, "name": self.name}, f"{path}/document")
 
 
+def _linear_model(regressor: LinearRegression, slopes: np.ndarray, intercept: float) -> LinearRegressionModel:
+    """A fitted stage from known weights, so that it scores and is saved like any other."""
+    context = SparkSession.active().sparkContext
+    weights = _py2java(context, Vectors.dense(slopes.tolist()))
+    made = context._jvm.org.apache.spark.ml.regression.LinearRegressionModel(regressor.uid, weights, intercept)
+    return regressor._copyValues(LinearRegressionModel(made))
+
+
 @dataclass
 class SequenceForecaster:
-    """A regressor per target on the flattened scaled rows before each row, fitted on the scaled target."""
+    """A regressor per target on the flattened scaled rows before each row, fitted on the scaled target.
+
+    The linear family is fitted from sums over the rows as they are (``normal_equations``); a boosted one reads
+    windows that are built from the stored rows while it is fitted. No window is written.
+    """
 
     feature_columns: list[str]
     lookback: int = S.MAX_LOOKBACK
@@ -122,7 +138,7 @@ class SequenceForecaster:
         options = {"featuresCol": "_vector", "labelCol": f"_scaled_{target}", "predictionCol": f"_fit_{target}"}
         if self.family == "boosted":
             return GBTRegressor(seed=SEED, **options)
-        return LinearRegression(regParam=0.01, **options)
+        return LinearRegression(regParam=PENALTY, **options)
 
     def fit(self, train: DataFrame, validation: DataFrame) -> None:
         stages = [scale_stage(column_statistics(train, self.feature_columns))]
@@ -130,13 +146,20 @@ class SequenceForecaster:
         self.target_scale = {
             name: (mean, deviation or 1.0) for name, (mean, deviation) in mean_and_deviation(train, self.targets).items()
         }
-        windows = self._windows(train)
         labels = [
             ((F.col(name) - mean) / deviation).alias(f"_scaled_{name}") for name, (mean, deviation) in self.target_scale.items()
         ]
-        rows = materialize(windows.select("_vector", *labels), "sequence-input")
-        for target in self.targets:
-            stages.append(self._regressor(target).fit(rows))
+        spec = FeatureSpec(tie_break=self.tie_break)
+        positions = [name for name in (ROW, ROWS) if name in train.columns]
+        scaled = stages[0].transform(train).select(spec.site, *spec.order, *positions, *self.step_columns(), *labels)
+        rows = scaled if positions else index_rows(scaled, [spec.site], spec.order)
+        if self.family == "boosted":
+            windows = self._windows(rows, rows).select("_vector", *[f"_scaled_{name}" for name in self.targets])
+            stages += [self._regressor(target).fit(windows) for target in self.targets]
+        else:
+            names = [f"_scaled_{name}" for name in self.targets]
+            moments = window_moments(rows, spec.site, self.step_columns(), names, self.lookback, spec.block_rows)
+            stages += [_linear_model(self._regressor(target), *moments.ridge(i, PENALTY)) for i, target in enumerate(self.targets)]
         self.model = PipelineModel(stages)
         spread = self.predict(validation).agg(
             *[F.stddev_pop(F.col(name) - F.col(f"{PREDICTION}{name}")).alias(name) for name in self.targets]

@@ -11,7 +11,7 @@ from hazegrid.catalog.models import SiteMean
 from hazegrid.operators import features
 from hazegrid.plans import preprocess, training
 from hazegrid.plans.forecasters import ForestForecaster, LeastSquaresForecaster, ModelRegistry, SequenceForecaster
-from hazegrid.session import shared_path
+from hazegrid.session import materialize, shared_path
 
 
 @pytest.fixture(scope="module")
@@ -137,3 +137,40 @@ def test_profiles_are_checked_before_they_are_compared(spark, folder):
     bad = good.unionByName(good)
     with pytest.raises(ValueError, match="Duplicate"):
         training.compare_profiles({"bad": bad}, shared_path(spark, "profiles"), models.SPEC, models.CONFIG)
+
+
+def windowed_fit(model, train):
+    """The regression on written windows, as the library itself fits it."""
+    labels = [((F.col(name) - mean) / deviation).alias(f"_scaled_{name}") for name, (mean, deviation) in model.target_scale.items()]
+    windows = model._windows(train).select("_vector", *labels).cache()
+    return [model._regressor(target).fit(windows) for target in model.targets]
+
+
+@pytest.mark.parametrize("lookback, block_rows", [(1, 50_000), (4, 50_000), (7, 60)])
+def test_sequence_weights_equal_those_of_written_windows(known, monkeypatch, lookback, block_rows):
+    monkeypatch.setattr(features.FeatureSpec, "block_rows", block_rows)
+    monkeypatch.setattr(features.FeatureSpec.__init__, "__defaults__", tuple(block_rows if d == 50_000 else d for d in features.FeatureSpec.__init__.__defaults__))
+    model = SequenceForecaster(models.PLAIN, lookback, tie_break=("event_id",))
+    model.fit(known, known)
+    for mine, direct in zip(model.model.stages[1:], windowed_fit(model, known), strict=True):
+        assert mine.coefficients.toArray() == pytest.approx(direct.coefficients.toArray(), abs=1e-6)
+        assert mine.intercept == pytest.approx(direct.intercept, abs=1e-6)
+
+
+def test_sequence_fit_writes_no_windows(spark, known, monkeypatch):
+    """Whatever the lookback, a fit writes about what its input holds: row numbers and the columns it reads."""
+    written = []
+    monkeypatch.setattr("hazegrid.operators.series.materialize", lambda df, label="table": written.append(df) or materialize(df, label))
+    model = SequenceForecaster(models.PLAIN, 24, tie_break=("event_id",))
+    model.fit(known, known)
+    cells = [len(df.columns) for df in written]
+    assert max(cells) <= len(known.columns) + len(models.PLAIN) + 2
+    assert all("vector" not in kind for df in written for _, kind in df.dtypes)
+
+
+def test_sequence_fit_needs_windows_and_targets(known):
+    with pytest.raises(ValueError, match="rows before"):
+        SequenceForecaster(models.PLAIN, 40_000, tie_break=("event_id",)).fit(known, known)
+    with pytest.raises(ValueError, match="known targets"):
+        unknown = known.withColumn("O3_target", F.when(F.col("event_id") % 50 > 0, F.col("O3_target")))
+        SequenceForecaster(models.PLAIN, 2, tie_break=("event_id",)).fit(unknown, known)
