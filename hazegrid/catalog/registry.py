@@ -21,6 +21,7 @@ _MODULES = [
     "rankings",
     "unions",
     "scalars",
+    "reports",
     "streams",
     "models",
 ]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hazegrid import schema as S
 from hazegrid.functions import risk
 from hazegrid.functions.calendar import iso_text
-from hazegrid.functions.text import fixed_text, number_text
+from hazegrid.functions.text import fixed_text
 from hazegrid.operators.network import hotspot_struct
 
 ALERTS_IN_TEXT = 10
@@ -124,7 +124,7 @@ def site_brief(
     )
 
 
-def _sentence(template: str, **values: Column) -> Column:
+def sentence(template: str, **values: Column) -> Column:
     """``template`` with ``{name}`` places filled by columns."""
     pieces: list[Column] = []
     rest = template
@@ -140,7 +140,7 @@ def _sentence(template: str, **values: Column) -> Column:
 
 
 def history_text(stats: DataFrame, site: str = S.SITE) -> DataFrame:
-    text = _sentence(
+    text = sentence(
         HISTORY,
         site=F.col(site),
         count=F.col("count"),
@@ -161,7 +161,7 @@ def forecast_text(
     site: str = S.SITE,
 ) -> DataFrame:
     """The peak sentences; ``anchored`` and ``generated`` name timestamp columns to be told as well."""
-    text = _sentence(
+    text = sentence(
         FORECAST,
         model=F.lit(model),
         horizon=F.lit(horizon),
@@ -172,9 +172,9 @@ def forecast_text(
     )
     if anchored:
         at = iso_text(F.col(anchored))
-        text = F.concat(text, _sentence(ANCHORED, at=at))
+        text = F.concat(text, sentence(ANCHORED, at=at))
     if generated:
-        text = F.concat(text, _sentence(GENERATED, at=iso_text(F.col(generated))))
+        text = F.concat(text, sentence(GENERATED, at=iso_text(F.col(generated))))
     return peaks.select(site, F.coalesce(text, F.lit(NO_FORECAST)).alias("forecast_text"))
 
 
@@ -184,7 +184,7 @@ def visible_text(visible: DataFrame, site: str = S.SITE) -> DataFrame:
     def shown(name: str, missing: str) -> Column:
         return F.coalesce(F.col(name).cast("string"), F.lit(missing)) if name in visible.columns else F.lit(missing)
 
-    text = _sentence(
+    text = sentence(
         VISIBLE,
         station=shown("station_label", "unknown"),
         selected=shown("selected_timestamp", "sync pending"),
@@ -204,7 +204,7 @@ def visible_text(visible: DataFrame, site: str = S.SITE) -> DataFrame:
 
 def alerts_text(first_alerts: DataFrame, sites: DataFrame, site: str = S.SITE) -> DataFrame:
     """Up to ten alerts per site (``first_alerts`` output, with ``place``) in one text."""
-    text = _sentence(
+    text = sentence(
         ALERT,
         pollutant=F.col("pollutant"),
         severity=F.col("severity"),
@@ -222,7 +222,7 @@ def alerts_text(first_alerts: DataFrame, sites: DataFrame, site: str = S.SITE) -
 
 def network_text(hotspots: DataFrame, scope: str, rank: str = "catalog_rank") -> DataFrame:
     """One row: the hot spots of the network in one text."""
-    text = _sentence(
+    text = sentence(
         PLACE,
         name=F.col("name"),
         country=F.col("country"),
@@ -241,7 +241,7 @@ def dataset_text(summary: DataFrame, totals: DataFrame, site: str = S.SITE) -> D
     """Where a site is and what the data set holds."""
     one = totals.select(F.struct(*totals.columns).alias("t")).scalar()
     held = summary.withColumn("_t", one)
-    text = _sentence(
+    text = sentence(
         DATASET,
         site=F.col(site),
         lat=F.col("latitude"),
@@ -256,7 +256,7 @@ def dataset_text(summary: DataFrame, totals: DataFrame, site: str = S.SITE) -> D
 
 
 def live_text(snapshot: DataFrame, site: str = S.SITE) -> DataFrame:
-    text = _sentence(
+    text = sentence(
         LIVE,
         provider=F.col("provider"),
         o3=fixed_text(F.col("o3")),
@@ -270,21 +270,10 @@ def live_text(snapshot: DataFrame, site: str = S.SITE) -> DataFrame:
 
 def evidence_digest(shortlisted: DataFrame) -> DataFrame:
     """Shortlisted sources (at most nine per query, with ``title`` and ``snippet``) as one text per query."""
-    line = _sentence(
+    line = sentence(
         "[{id}] {title}: {snippet}", id=F.col("source_id"), title=F.col("title"), snippet=F.col("snippet")
     )
     lines = F.sort_array(F.collect_list(F.struct("place", line.alias("line"))))
     return shortlisted.groupBy("query_id").agg(lines.alias("_lines")).select(
         "query_id", F.array_join("_lines.line", "\n").alias("digest")
     )
-
-
-def now_text(brief: DataFrame, site: str = S.SITE) -> DataFrame:
-    """Current values against the baseline, for quick reading."""
-    return brief.select(
-        site,
-        number_text(F.col("o3_now")).alias("o3_now"),
-        number_text(F.col("no2_now")).alias("no2_now"),
-        number_text(F.col("o3_avg")).alias("o3_avg"),
-        number_text(F.col("no2_avg")).alias("no2_avg"),
-    )
