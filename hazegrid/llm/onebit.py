@@ -112,6 +112,7 @@ def _meet(codes: Codes, k: int):
         for at in range(0, len(queries), STEP):
             part = queries.iloc[at : at + STEP]
             q, own, floor = np.stack(part["vector"].to_numpy()), part["id"].to_numpy(), part["floor"].to_numpy()
+            reached = floor
             estimate, error = codes.bounds(q, int(rows["centre"].iloc[0]), code, *numbers)
             self_row = ids[:, None] == own[None, :]
             low = np.where(self_row, -np.inf, estimate - error)
@@ -127,6 +128,8 @@ def _meet(codes: Codes, k: int):
                     continue
                 score = inner_products(np.broadcast_to(q[j], (len(near), len(q[j]))), x[near])
                 order = np.lexsort([ids[near], -score])[:k]
+                # What is below the k rows that the query already has is not among its best.
+                order = order[score[order] >= reached[j]]
                 found.append((np.full(len(order), own[j]), ids[near][order], score[order]))
         if not found:
             return empty
