@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from dataclasses import dataclass, field
 
 # Tag groups of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style template noscript iframe object svg math canvas textarea select title".split())
+# What stands in these is no text of the page. The first ones swallow the rest of a page if they are not closed;
+# of the others an unclosed one ends at the next block.
+UNPARSED = set("script style textarea title".split())
+SKIPPED = set("template noscript iframe object svg canvas select".split())
 BLOCK = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption "
     "figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup "
@@ -18,9 +22,13 @@ BLOCK = set(
 ENDS_ITSELF = [{"li"}, {"dt", "dd"}, {"td", "th"}, {"tr"}, {"option"}]
 HOLDS_PARAGRAPHS = BLOCK - {"p"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
-NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+# A quote opens only behind an equals sign, so an apostrophe in a bare value does no harm.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|([^<]+|<)", re.S
+)
+ATTRIBUTE = re.compile(r"""([^\s=>/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+BLOCK_EDGE = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK - {'option', 'optgroup'}))})(?=[\s/>])", re.I)
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 WORD = re.compile(r"[a-z]+")
 
 
@@ -78,10 +86,16 @@ class _Reader:
         if tag == "hr":
             return
         words: set[str] = set()
-        if attributes:
-            for match in NAMES.finditer(attributes):
-                words.update(WORD.findall((match[1] or match[2] or match[3] or "").lower()))
-        self.stack.append(_Open(tag, frozenset(words), bool(attributes and HIDDEN.search(attributes))))
+        hidden = False
+        for match in ATTRIBUTE.finditer(attributes):
+            name, value = match[1].lower(), match[2] or match[3] or match[4] or ""
+            if name in ("class", "id", "role"):
+                words.update(WORD.findall(value.lower()))
+            elif name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true"):
+                hidden = True
+            elif name == "style" and NO_DISPLAY.search(value):
+                hidden = True
+        self.stack.append(_Open(tag, frozenset(words), hidden))
 
     def close(self, tag: str) -> None:
         self.flush()
@@ -92,10 +106,16 @@ class _Reader:
                 return
 
 
+@functools.cache
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>", re.I)
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """All text blocks in page order. Scripts, styles, forms' fields and hidden parts hold none.
 
-    Any string is accepted: unclosed tags end with the page, stray end tags and a lone ``<`` do no harm.
+    Any string is accepted: unclosed tags end with the page, stray end tags and a lone ``<`` do no harm. Formulas
+    (``math``) are text.
     """
     reader, at = _Reader(), 0
     while at < len(page):
@@ -111,10 +131,16 @@ def leaf_blocks(page: str) -> list[Block]:
         if match[2] is None:
             continue
         tag, ending = match[2].lower(), bool(match[1])
-        if tag in RAW:
+        if tag in UNPARSED or tag in SKIPPED:
             if not ending and not match[3].endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else len(page)
+                stop = _end_of(tag).search(page, at)
+                if stop:
+                    at = stop.end()
+                elif tag in UNPARSED:
+                    at = len(page)
+                else:
+                    edge = BLOCK_EDGE.search(page, at)
+                    at = edge.start() if edge else len(page)
             reader.text(" ")
         elif tag in BLOCK:
             reader.close(tag) if ending else reader.open(tag, match[3])

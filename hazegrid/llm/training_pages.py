@@ -134,8 +134,11 @@ class _Maker:
             body = f"<article>{body}{inner_comments if r.random() < 0.3 else ''}</article>"
         elif kind < 0.65:
             body = f"<main>{body}</main>"
-        elif kind < 0.95:
+        elif kind < 0.83:
             body = self.around(["div", "section", "td"], MAIN_NAMES, body)
+        elif kind < 0.95:
+            for _ in range(r.choice([1, 1, 2, 3])):
+                body = f"<div>{body}</div>"
         r.shuffle(before)
         if r.random() < 0.85:
             foot = f"&copy; {self.word()} &middot; {self.prose(2)}" if r.random() < 0.6 else f"<p>{self.prose(2)}</p>{self.links()}"

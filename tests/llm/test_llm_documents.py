@@ -235,6 +235,43 @@ def test_blocks_of_careless_markup():
     assert dom.leaf_blocks("<div hidden>x</div><!-- y") == [] and dom.leaf_blocks("<" * 50)[0].text == "<" * 50
 
 
+PROSE = ["The river rose for three days before anyone in the valley noticed.", "By Friday the lower road was closed, and the mill stood in water up to its windows.", "Nobody was hurt. The council met at noon and asked for help."]
+BODY = "".join(f"<p>{p}</p>" for p in PROSE)
+WHOLE = "\n".join(PROSE)
+MENU = '<div class="menu"><a href="/">Home</a> <a href="/a">About</a></div>'
+SIDE = '<div class="sidebar"><h3>Related</h3><a href="/x">More</a></div>'
+# Layouts that the generator of training pages does not make.
+LAYOUTS = {
+    "hidden as a class word": f'{MENU}<article><div class="content hidden md:block">{BODY}</div></article>{SIDE}',
+    "hidden as a value": f'{MENU}<article data-title="a hidden gem">{BODY}</article>{SIDE}',
+    "unclosed svg": f'{MENU}<svg viewBox="0 0 1 1"><path d="M0"><article>{BODY}</article>{SIDE}',
+    "unclosed select": f"{MENU}<form><select><option>one<option>two</form><article>{BODY}</article>{SIDE}",
+    "bare container": f"{MENU}<div>{BODY}</div>{SIDE}",
+    "bare container in a bare container": f"<div>{MENU}<div><div>{BODY}</div></div>{SIDE}</div>",
+    "nothing around it": f"{MENU}{BODY}{SIDE}",
+    "table cell": f'<table><tr><td class="menu"><a href="/">Home</a></td><td>{BODY}</td></tr></table><div class="footer">&copy; us</div>',
+    "unknown names": f'{MENU}<div class="x1a9"><div id="q-77">{BODY}</div></div>{SIDE}',
+    "breaks instead of paragraphs": MENU + "<article>" + "<br><br>".join(PROSE) + "</article>" + SIDE,
+}
+
+
+def test_articles_in_layouts_that_were_not_trained():
+    field, got = crf.default_field(), {}
+    for name, page in LAYOUTS.items():
+        blocks = dom.leaf_blocks(f"<html><body>{page}</body></html>")
+        got[name] = "\n".join(b.text for b, label in zip(blocks, field.labels(blocks), strict=True) if label)
+    lost = {name: text for name, text in got.items() if text.replace("\n", " ") != WHOLE.replace("\n", " ")}
+    assert not lost
+
+
+def test_attributes_are_read_by_name():
+    page = "<p title=it's>One. It's two</p><p hidden>x</p><p aria-hidden='true'>x</p><p style='color:red;display: none'>x</p><p data-x='hidden'>y</p>"
+    assert [b.text for b in dom.leaf_blocks(page)] == ["One. It's two", "y"]
+    assert dom.leaf_blocks("<p>so <math><mi>a</mi><mo>=</mo><mn>2</mn></math> holds</p>")[0].text == "so a=2 holds"
+    assert dom.leaf_blocks('<div class="a b" id=c role=main>t</div>')[0].names == {"a", "b", "c", "main"}
+    assert [b.text for b in dom.leaf_blocks("<p>a<canvas>b<p>c</p><script>x<p>d</p>")] == ["a", "c"]
+
+
 def test_extraction_of_odd_rows(spark):
     page = "<html><body><nav><a href=x>Home</a></nav><article><h1>T &amp; U</h1><p>One  two\n three.</p></article><footer>&copy; x</footer></body></html>"
     pages = [(1, page, "t"), (1, page, "t"), (None, None, None), (2, "", "x"), (3, "<article>" + "<p>Some words here.</p>" * 20_000 + "</article>", "y")]
