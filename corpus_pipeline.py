@@ -3,8 +3,8 @@
 Every stage takes ``(spark, docs, sf_dir)`` and returns a table; all but the last return the columns of
 ``docs``. Each result is written to the shared folder and read again as the next stage's input.
 
-``ORACLE_SQL`` is None: the first stage is a fitted model and SQL cannot state it. ``tests/llm`` holds the
-stages against brute-force versions.
+``ORACLE_SQL`` is None: the first stage is a fitted model and SQL cannot state it. ``tests/llm/test_llm_pipeline.py``
+holds the whole output of every stage against plain versions.
 """
 
 from __future__ import annotations
@@ -70,15 +70,16 @@ def pseudonym_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix with ``copies``, how often each is taken, and their source's target.
 
-    Rows of one id (or without an id) count as one document here; the stages before leave one row per id.
+    Rows are told apart by a digest of all their columns, so rows of one id or without an id have copies of their
+    own. Rows that are equal in every column become one, with the copies of all of them.
     """
-    plan = mix(docs).where("taken > 0")
     name = free_prefix(docs.columns, "_m_")
-    plan = plan.groupBy(F.col("id").alias(f"{name}id")).agg(
-        (F.first("taken") / F.first("size")).cast("long").alias("copies"), F.first("target").alias("target")
-    )
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan[f"{name}id"]))
-    kept = [docs[f"`{c}`"] for c in docs.columns if c not in ("copies", "target")]
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn(f"{name}row", F.sha2(F.to_json(F.struct(*columns)), 256))
+    plan = mix(keyed, row_column=f"{name}row").where("taken > 0")
+    plan = plan.groupBy("row").agg(F.sum((F.col("taken") / F.col("size")).cast("long")).alias("copies"), F.first("target").alias("target"))
+    joined = keyed.dropDuplicates([f"{name}row"]).join(plan, F.col(f"{name}row") == F.col("row"))
+    kept = [keyed[f"`{c}`"] for c in docs.columns if c not in ("copies", "target")]
     return joined.select(*kept, plan["copies"], plan["target"])
 
 

@@ -83,9 +83,13 @@ def mix(
     text_column: str = "text",
     source_column: str = "source",
     seed: str = SEED,
+    row_column: str | None = None,
 ) -> DataFrame:
     """``id, source, size, source_size, target, taken`` for every row.
 
+    With ``row_column``, a column that tells rows apart, the result has it as ``row``, and it decides between rows
+    that are equal otherwise.
+
     ``taken`` is the number of words that the mix takes of the row, whole copies only: the whole epochs of its
     source's target, and one copy more if its key lies before the point where the rest of the target is met
     (to the nearest document). Keys depend on id and seed, so runs agree.
@@ -102,6 +106,7 @@ def mix(
         word_count(text).alias("size"),
         key.alias("key"),
         F.xxhash64(text).alias("tie"),
+        *([F.col(row_column).alias("row")] if row_column else []),
         # The key is about exponential, so this spreads the rows over the ranges and keeps their order.
         F.least(F.lit(RANGES - 1), F.floor(F.lit(float(RANGES)) * (F.lit(1.0) - F.exp(-key)))).cast("int").alias("range"),
     )
@@ -120,12 +125,12 @@ def mix(
 
     on = rows["source"].eqNullSafe(ranges["source"]) & (rows["range"] == ranges["range"])
     joined = rows.join(ranges, on).select(
-        rows["id"], rows["source"], "size", "key", "tie", rows["range"], "words", "before", "source_size", "target", "epochs", "rest"
+        rows["id"], rows["source"], "size", "key", "tie", *(["row"] if row_column else []), rows["range"], "words", "before", "source_size", "target", "epochs", "rest"
     )
-    columns = ["id", "source", "size", "source_size", "target"]
+    columns = ["id", "source", "size", "source_size", "target", *(["row"] if row_column else [])]
     crossing = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))
     clear = joined.where(~crossing).withColumn("extra", (F.col("before") + F.col("words") <= F.col("rest")) & (F.col("rest") > 0))
-    inside = Window.partitionBy("source", "range").orderBy("key", "id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("key", "id", "size", "tie", *(["row"] if row_column else [])).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     partly = joined.where(crossing).withColumn("extra", start + F.col("size") / 2 <= F.col("rest"))
     taken = (F.col("size") * (F.col("epochs") + F.col("extra").cast("long"))).alias("taken")
