@@ -1,8 +1,8 @@
 """Tool-call linking for chat data: calls meet their results by id, get a valid order, are checked and serialised.
 
 Calls and results are hash-joined on conversation and call id. Order: a call's place is its own position, or
-just behind the last of the calls it depends on where that comes later, so calls that already stand behind
-what they depend on keep their place and need no further rounds. Arguments are checked against a JSON schema
+just behind the last of the calls it depends on where that comes later. Chains of calls with one dependency are
+followed by doubling pointers. Arguments are checked against a JSON schema
 per tool, and each call becomes one line of canonical JSON (sorted keys, no white space).
 
 Nothing gathers a conversation into one task: a conversation may hold any share of the rows.
@@ -82,42 +82,77 @@ def checked(name: str | None, arguments: str | None, schemas: dict[str, dict]) -
     return value, schema_errors(value, schemas[name])
 
 
+def _at(p, l):
+    """Place and level, compared in this order."""
+    return F.struct(p.alias("p"), l.alias("l"))
+
+
+def _chains(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """Calls that depend on one other call: what they depend on in the end, over calls of their kind.
+
+    ``conv, call_id, end, hops, p, l``: the greatest place and level that the calls passed on the way ask for.
+    Pointers double in every round, so rounds are logarithmic. ``end`` is null for calls in or behind a cycle.
+    """
+    single = edges.groupBy("conv", "call_id").agg(F.count(F.lit(1)).alias("n"), F.min("needs").alias("end")).where("n = 1")
+    chain = calls.join(single, ["conv", "call_id"]).select("conv", "call_id", "end", F.lit(1).cast("long").alias("hops"), F.col("position").alias("p"), F.lit(0).cast("long").alias("l"))
+    chain = materialize(chain, "chains")
+    longest = chain.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    for last in [False] * longest.bit_length() + [True]:
+        further = chain.select("conv", F.col("call_id").alias("end"), F.col("end").alias("end2"), F.col("hops").alias("hops2"), F.col("p").alias("p2"), F.col("l").alias("l2"))
+        joined = chain.join(further, ["conv", "end"], "left")
+        open_ = F.col("end2").isNotNull()
+        if last:
+            # More hops than a conversation has calls: only a cycle has so many.
+            return materialize(joined.select("conv", "call_id", F.when(~open_, F.col("end")).alias("end"), "hops", "p", "l"), "chains")
+        best = F.greatest(_at(F.col("p"), F.col("l")), F.when(open_, _at(F.col("p2"), F.col("l2") + F.col("hops"))))
+        moved = joined.select(
+            "conv", "call_id", F.coalesce("end2", "end").alias("end"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"), best.alias("b"), open_.alias("open")
+        )
+        chain = materialize(moved.select("conv", "call_id", "end", "hops", "b.p", "b.l", "open"), "chains")
+        if not chain.where("open").limit(1).count():
+            return chain.drop("open")
+        chain = chain.drop("open")
+
+
 def _places(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """``conv, call_id, place, level, cyclic``: by (place, level) each call stands behind all it depends on.
 
-    Only calls with a dependency that stands later move, so the rounds are as many as such calls follow one
-    another. A level above the number of calls that moved proves a cycle; the calls in or behind it are marked.
+    A call keeps its position, or takes the place of the last call it depends on and the next level where that
+    comes later. Calls with one dependency are followed by doubling pointers; those with several are placed in
+    rounds, each when all it depends on is placed, as many rounds as such calls follow one another. What is never
+    placed is in a cycle or behind one.
     """
-    state = materialize(calls.select("conv", "call_id", F.col("position").alias("place"), F.lit(0).cast("long").alias("level")), "places")
     edges = materialize(edges, "edges")
-    moved = None
-    while True:
-        before = state.select("conv", F.col("call_id").alias("needs"), F.col("place").alias("p"), (F.col("level") + 1).alias("l"))
-        late = edges.join(before, ["conv", "needs"]).groupBy("conv", "call_id").agg(F.max(F.struct("p", "l")).alias("after"))
-        own = F.struct(F.col("place").alias("p"), F.col("level").alias("l"))
-        joined = state.join(late, ["conv", "call_id"], "left").withColumn("to", F.greatest(own, "after"))
-        state = materialize(joined.select("conv", "call_id", F.col("to.p").alias("place"), F.col("to.l").alias("level"), (F.col("to") != own).alias("moves")), "places")
-        round_ = state.agg(F.count_if("moves"), F.max("level"), F.count_if(F.col("level") > 0)).first()
-        if not round_[0]:
-            return state.select("conv", "call_id", "place", "level", F.lit(False).alias("cyclic"))
-        # Without a cycle no chain is longer than the calls that have moved at all.
-        if round_[1] > round_[2] + 1:
-            break
-        state = state.drop("moves")
-    moved = state.withColumn("cyclic", F.col("moves")).drop("moves")
-    # Everything behind a cycle keeps moving too; take those out and place the rest again.
-    whole = moved.where("cyclic").select("conv", "call_id")
+    chain = _chains(calls, edges)
+    alone = calls.join(edges, ["conv", "call_id"], "left_anti")
+    placed = materialize(alone.select("conv", "call_id", F.col("position").alias("p"), F.lit(0).cast("long").alias("l")), "placed")
+    several = edges.groupBy("conv", "call_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    way = chain.select("conv", F.col("call_id").alias("needs"), F.lit(True).alias("chained"), "end", "hops", "p", "l")
+    left = edges.join(several, ["conv", "call_id"]).join(way, ["conv", "needs"], "left").select(
+        "conv",
+        "call_id",
+        "n",
+        F.when(F.col("chained"), F.col("end")).otherwise(F.col("needs")).alias("end"),
+        (F.coalesce("hops", F.lit(0)) + 1).alias("hops"),
+        F.when(F.col("chained"), _at(F.col("p"), F.col("l") + 1)).alias("least"),
+    )
+    left = materialize(left.join(calls.select("conv", "call_id", "position"), ["conv", "call_id"]), "left")
     while True:
-        more = edges.join(whole.withColumnRenamed("call_id", "needs"), ["conv", "needs"], "left_semi").select("conv", "call_id")
-        grown = materialize(whole.union(more).distinct(), "cyclic")
-        if grown.count() == whole.count():
+        known = placed.select("conv", F.col("call_id").alias("end"), "p", "l")
+        asks = F.greatest("least", _at(F.col("p"), F.col("l") + F.col("hops")), _at(F.col("position"), F.lit(0).cast("long")))
+        met = left.join(known, ["conv", "end"]).groupBy("conv", "call_id").agg(F.count(F.lit(1)).alias("met"), F.first("n").alias("n"), F.max(asks).alias("to"))
+        fresh = materialize(met.where("met = n").select("conv", "call_id", "to.p", "to.l"), "fresh")
+        if fresh.isEmpty():
             break
-        whole = grown
-    rest = calls.join(whole, ["conv", "call_id"], "left_anti")
-    kept = edges.join(whole, ["conv", "call_id"], "left_anti")
-    stuck = calls.join(whole, ["conv", "call_id"], "left_semi")
-    stuck = stuck.select("conv", "call_id", F.col("position").alias("place"), F.lit(0).cast("long").alias("level"), F.lit(True).alias("cyclic"))
-    return _places(rest, kept).union(stuck)
+        placed = materialize(placed.union(fresh), "placed")
+        left = materialize(left.join(fresh, ["conv", "call_id"], "left_anti"), "left")
+    ends = placed.select("conv", F.col("call_id").alias("end"), F.col("p").alias("ep"), F.col("l").alias("el"))
+    to = F.greatest(_at(F.col("p"), F.col("l")), _at(F.col("ep"), F.col("el") + F.col("hops")))
+    placed = placed.union(chain.join(ends, ["conv", "end"]).select("conv", "call_id", to.alias("to")).select("conv", "call_id", "to.p", "to.l"))
+    found = calls.join(placed, ["conv", "call_id"], "left")
+    return found.select(
+        "conv", "call_id", F.coalesce("p", "position").alias("place"), F.coalesce("l", F.lit(0)).cast("long").alias("level"), F.col("p").isNull().alias("cyclic")
+    )
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:

@@ -56,25 +56,33 @@ _ID = "'c' || conv_id || '-' || "
 @query(
     "op6_tool_calls",
     rf"""
-WITH u AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user'
+WITH RECURSIVE u AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user'
 ), a AS (SELECT conv_id, turn, min(text) AS content, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1, 2
 ), c AS (
   SELECT conv_id, turn, text, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
-         (conv_id, turn - 2) IN (SELECT (conv_id, turn) FROM u) AS second FROM u
+         (conv_id, turn - 2) IN (SELECT (conv_id, turn) FROM u) AS second, (conv_id, turn + 2) IN (SELECT (conv_id, turn) FROM u) AS more FROM u
+), d AS (
+  SELECT *, CASE WHEN words % 3 = 0 AND more THEN turn + 2 WHEN words % 3 = 1 AND second THEN turn - 2 END AS needs FROM c
+), lv AS (
+  SELECT conv_id, turn, turn AS place, 0 AS level FROM d WHERE needs IS NULL
+  UNION ALL
+  SELECT d.conv_id, d.turn, greatest(lv.place, d.turn), CASE WHEN lv.place >= d.turn THEN lv.level + 1 ELSE 0 END
+  FROM d JOIN lv ON lv.conv_id = d.conv_id AND lv.turn = d.needs
 ), j AS (
   SELECT coalesce(c.conv_id, a.conv_id) AS conv, {_ID.replace("conv_id", "coalesce(c.conv_id, a.conv_id)")} coalesce(c.turn, a.turn - 1) AS call_id,
-         coalesce(c.turn, a.turn) AS place, c.turn IS NOT NULL AS asked, a.turn IS NOT NULL AS answered, c.conv_id, c.turn, text, words, second, content,
+         coalesce(lv.place, c.turn, a.turn) AS place, coalesce(lv.level, 0) AS level, c.turn IS NOT NULL AND lv.turn IS NULL AS cyclic,
+         c.turn IS NOT NULL AS asked, a.turn IS NOT NULL AS answered, c.conv_id, c.turn, text, words, second, needs, content,
          CASE WHEN c.turn IS NULL THEN CAST([] AS VARCHAR[]) WHEN second THEN
            (CASE WHEN length(text) > 400 THEN ['/query: too long'] ELSE [] END)
          ELSE list_concat(CASE WHEN length(text) > 300 THEN ['/query: too long'] WHEN text = '' THEN ['/query: too short'] ELSE [] END,
            CASE WHEN words > 40 THEN ['/words: too large'] WHEN words < 1 THEN ['/words: too small'] ELSE [] END) END AS errors
-  FROM c FULL JOIN a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1
-), st AS (SELECT *, CASE WHEN NOT asked THEN 'orphan' WHEN len(errors) > 0 THEN 'invalid' WHEN answered THEN 'ok' ELSE 'pending' END AS status FROM j)
-SELECT conv AS conv_id, call_id, CAST(place AS BIGINT) AS place, CAST(0 AS BIGINT) AS level, status, array_to_string(errors, ';') AS errors,
+  FROM d c FULL JOIN a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1 LEFT JOIN lv ON lv.conv_id = c.conv_id AND lv.turn = c.turn
+), st AS (SELECT *, CASE WHEN NOT asked THEN 'orphan' WHEN cyclic THEN 'cyclic' WHEN len(errors) > 0 THEN 'invalid' WHEN answered THEN 'ok' ELSE 'pending' END AS status FROM j)
+SELECT conv AS conv_id, call_id, CAST(place AS BIGINT) AS place, CAST(level AS BIGINT) AS level, status, array_to_string(errors, ';') AS errors,
   CASE WHEN NOT asked THEN '{{"id":"' || call_id || '","result":' || coalesce(to_json(content)::VARCHAR, 'null') || ',"status":"orphan"}}'
   ELSE '{{"arguments":{{' || CASE WHEN second THEN '"after":"' || {_ID} (turn - 2) || '","query":' || to_json(text)::VARCHAR
          ELSE '"query":' || to_json(text)::VARCHAR || ',"words":' || words END
-    || '}},"depends":[' || CASE WHEN second THEN '"' || {_ID} (turn - 2) || '"' ELSE '' END || '],"id":"' || call_id
+    || '}},"depends":[' || CASE WHEN needs IS NOT NULL THEN '"' || {_ID} needs || '"' ELSE '' END || '],"id":"' || call_id
     || '","name":"' || CASE WHEN second THEN 'refine' ELSE 'search' END || '","result":' || coalesce(to_json(content)::VARCHAR, 'null')
     || ',"status":"' || status || '"}}' END AS line
 FROM st""",
@@ -82,15 +90,19 @@ FROM st""",
 def op6_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
     """Users' turns as calls, the next assistant turns as results; turns of other roles give no row.
 
-    Calls depend on earlier turns only, so ``level`` is always 0 here.
+    The given chats name no dependencies, so they are taken from the texts: with a number of words divisible by
+    three a call needs the user's next turn, which stands behind it; with one word more it needs the turn before.
+    So some calls move behind later ones, over several turns, and some wait for each other.
     """
     turns = table(spark, folder, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     identifier = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
     asked = turns.where("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), identifier.alias("call_id"))
     former = asked.select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("call_id").alias("after")).distinct()
+    later = asked.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("call_id").alias("before")).distinct()
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
     second = F.col("after").isNotNull()
-    calls = asked.join(former, ["conv_id", "turn"], "left").select(
+    needs = F.when(words % 3 == 0, F.array("before")).when(words % 3 == 1, F.array("after")).otherwise(F.array().cast("array<string>"))
+    calls = asked.join(former, ["conv_id", "turn"], "left").join(later, ["conv_id", "turn"], "left").select(
         F.col("conv_id").alias("conv"),
         "call_id",
         F.col("turn").alias("position"),
@@ -98,7 +110,7 @@ def op6_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
         F.when(second, F.to_json(F.struct("after", F.col("text").alias("query"))))
         .otherwise(F.to_json(F.struct(F.col("text").alias("query"), words.alias("words"))))
         .alias("arguments"),
-        F.when(second, F.array("after")).otherwise(F.array().cast("array<string>")).alias("depends"),
+        F.array_compact(needs).alias("depends"),
     )
     answer_to = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - 1).cast("string"))
     results = turns.where("role = 'assistant'").select(

@@ -323,6 +323,48 @@ def test_tool_calls_are_ordered_and_checked(spark):
     assert toolcalls.link_tool_calls(rows(spark, [], CALLS), rows(spark, [], RESULTS), TOOLS).count() == 0
 
 
+def plain_places(position, needs):
+    """Place, level and cyclic by relaxing until nothing moves; what is in or behind a cycle never settles."""
+    stuck = set()
+    while True:
+        grown = {c for c in position if c in stuck or any(d in stuck for d in needs[c])}
+        free, seen = [c for c in position if c not in grown], set()
+        while True:
+            more = [c for c in free if c not in seen and all(d in seen for d in needs[c])]
+            if not more:
+                break
+            seen.update(more)
+        stuck = set(position) - seen
+        if stuck == grown:
+            break
+    value = {c: (position[c], 0) for c in position}
+    for _ in position:
+        for c in seen:
+            value[c] = max([value[c], *((value[d][0], value[d][1] + 1) for d in needs[c])])
+    return {c: (*((position[c], 0) if c in stuck else value[c]), c in stuck) for c in position}
+
+
+def test_places_against_plain_relaxation(spark):
+    r = random.Random(8)
+    expected, calls, edges = {}, [], []
+    for conv in range(40):
+        n = r.choice([1, 3, 12, 30])
+        position = {f"k{i}": r.randrange(n + 1) for i in range(n)}
+        most = r.choice([1, 1, 3])
+        needs = {c: sorted({r.choice(list(position)) for _ in range(r.randrange(most + 1))} - ({c} if r.random() < 0.9 else set())) for c in position}
+        if conv % 4:  # mostly without cycles: only smaller numbers are needed
+            needs = {c: [d for d in ds if int(d[1:]) < int(c[1:])] for c, ds in needs.items()}
+        expected |= {(conv, c): v for c, v in plain_places(position, needs).items()}
+        calls += [(conv, c, p) for c, p in position.items()]
+        edges += [(conv, c, d) for c, ds in needs.items() for d in ds]
+    calls += [(99, f"k{i}", 100 - i) for i in range(100)]  # one long chain, each needs the one before it
+    edges += [(99, f"k{i}", f"k{i - 1}") for i in range(1, 100)]
+    expected |= {(99, f"k{i}"): (100, i, False) for i in range(100)}
+    got = toolcalls._places(rows(spark, calls, "conv long, call_id string, position long"), rows(spark, edges, "conv long, call_id string, needs string")).collect()
+    assert {(x.conv, x.call_id): (x.place, x.level, x.cyclic) for x in got} == expected
+    assert any(v[2] for v in expected.values()) and any(v[1] > 5 for v in expected.values())
+
+
 # --- vectors
 
 def test_nearest_against_all_pairs(spark):
