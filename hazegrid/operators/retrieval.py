@@ -96,7 +96,6 @@ def _likely_pairs(asked: DataFrame, sources: DataFrame, unmatched: DataFrame, mo
     rare = counts.where(~F.col("_word").isin(common)) if common else counts
 
     query = asked.select("query_id", F.size("_asked").alias("_n"), _common_bits(F.col("_asked"), common).alias("_qbits"), "_asked")
-    query = materialize(query, "query-bits")
     # A window holds the words of one query.
     by_query = Window.partitionBy("query_id").orderBy("_sources", "_word")
     through = F.sum("_sources").over(by_query.rowsBetween(Window.unboundedPreceding, 0))
@@ -107,8 +106,8 @@ def _likely_pairs(asked: DataFrame, sources: DataFrame, unmatched: DataFrame, mo
     size = F.size("_words")
     stretch = F.floor(F.log2(F.greatest(size, F.lit(1)) + F.lit(0.5))).cast("int")
     entry = ["source_id", "credibility", size.alias("_m"), stretch.alias("_stretch"), _common_bits(F.col("_words"), common).alias("_bits")]
-    entries = materialize(sources.select(*entry, "_words"), "entries")
-    postings = entries.select("*", F.explode("_words").alias("_word")).drop("_words").join(rare.select("_word"), "_word", "left_semi")
+    entries = sources.select(*entry)
+    postings = sources.select(*entry, F.explode("_words").alias("_word")).join(rare.select("_word"), "_word", "left_semi")
     postings = materialize(postings, "postings")
     stretches = entries.where("_m > 0").groupBy("_stretch").agg(F.min("_m").alias("_least"), F.max("credibility").alias("_best"))
     stretches = materialize(stretches, "stretches")
@@ -119,7 +118,7 @@ def _likely_pairs(asked: DataFrame, sources: DataFrame, unmatched: DataFrame, mo
         single = scored.groupBy("query_id", "source_id").agg(F.max("score").alias("score"))
         last = top_rows(single, ["query_id"], [F.desc("score"), F.asc("source_id")], most, ["source_id"], rank="_place")
         last = last.where(F.col("_place") == most).select("query_id", F.col("score").alias("_floor"))
-        return materialize(asked.select("query_id").join(last, "query_id", "left").select("query_id", F.coalesce("_floor", F.lit(0.0)).alias("_floor")), "floors")
+        return asked.select("query_id").join(last, "query_id", "left").select("query_id", F.coalesce("_floor", F.lit(0.0)).alias("_floor"))
 
     probed = words.where(F.col("_through") <= PROBED_SOURCES).join(postings, "_word")
     found = probed.groupBy("query_id", "source_id").agg(
@@ -139,7 +138,7 @@ def _likely_pairs(asked: DataFrame, sources: DataFrame, unmatched: DataFrame, mo
     below = F.expr("shiftleft(1L, _bit) - 1")
     rank = F.bit_count(F.col("_qbits").bitwiseAND(below)) + 1
     reachable = reachable.where(rank <= F.bit_count("_qbits") - F.col("_k") + 1).drop("_k")
-    shapes = entries.drop("_words").select("*", F.explode(_bit_numbers("_bits")).alias("_bit"))
+    shapes = entries.select("*", F.explode(_bit_numbers("_bits")).alias("_bit"))
     # A source comes once per query: through the rarest common word that both hold.
     lowest = F.col("_bits").bitwiseAND(F.col("_qbits")).bitwiseAND(below) == 0
     enough = both >= _needed(F.col("_floor"), F.col("credibility"), F.col("_n"), F.col("_m"))
@@ -150,7 +149,7 @@ def _likely_pairs(asked: DataFrame, sources: DataFrame, unmatched: DataFrame, mo
     known = first.union(lifted).groupBy("query_id", "source_id").agg(F.max("score").alias("score"))
     early = top_rows(known, ["query_id"], [F.desc("score"), F.asc("source_id")], SCORED_EARLY, ["source_id"])
     early = _scored(early.select("query_id", "source_id"), asked, sources).select("query_id", "source_id", "score")
-    floor = floors(known.union(early))
+    floor = materialize(floors(known.union(early)), "floors")
     rare_left = F.greatest(F.col("_k") - F.bit_count("_qbits"), F.lit(1))
     useful = words.drop("_through", "_sources", "_n", "_qbits").join(by_stretch(floor), "query_id")
     useful = useful.where(F.col("_at") <= F.col("_rare") - rare_left + 1 + SPARE_WORDS).drop("_k")
