@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime
 import math
 import random
+import zlib
 import re
 
 import numpy as np
@@ -296,6 +297,18 @@ def test_urls_of_odd_rows(spark):
     assert urls.judge_urls(rows(spark, [], "page_id long, url string"), rules, urls.fit_urls(spark)).collect() == []
 
 
+def test_urls_of_names_that_were_not_trained(spark):
+    """A fourth of the names is left out of the fit, with all their fronts, ends and paths."""
+    name = lambda host: next(part for part in host.split(".") if part not in ("www", "m", "blog"))
+    table = urls.labelled_urls()
+    seen, unseen = ([row for row in table if (zlib.crc32(name(row[0]).encode()) % 4 == 0) is held] for held in (False, True))
+    assert not {name(row[0]) for row in seen} & {name(row[0]) for row in unseen}
+    score = urls.fit_urls(spark, seen).score(F.col("host"), F.col("path"))
+    judged = rows(spark, unseen, "host string, path string, blocked int").select("blocked", (score >= 0.5).cast("int").alias("found")).collect()
+    right = sum(r.blocked == r.found for r in judged)
+    assert len(judged) > 100 and right >= 0.88 * len(judged)
+
+
 # --- tool calls
 
 CALLS = "conv long, call_id string, position long, name string, arguments string, depends array<string>"
