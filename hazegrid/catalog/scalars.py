@@ -197,7 +197,7 @@ EVIDENCE_SENTENCE = (
       FROM t""",
 )
 def h14_extract_numbers(spark, folder):
-    sentence = brief._sentence(
+    sentence = brief.sentence(
         EVIDENCE_SENTENCE,
         o3=text.fixed_text(F.col("o3")),
         no2=text.fixed_text(F.col("no2")),
