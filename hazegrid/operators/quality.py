@@ -86,10 +86,14 @@ def validation_report(
     site: str = S.SITE,
     timestamp: str = S.TIMESTAMP,
     sequence: str | None = None,
+    tie_break: Sequence[str] = (),
 ) -> DataFrame:
-    """One row: ``passed`` and the list of ``issues``. Rows are counted per key before anything is judged."""
+    """One row: ``passed`` and the list of ``issues``. Rows are counted per key before anything is judged.
+
+    A key is a site and a time; of irregular tables, where one site may report twice in a moment, also ``tie_break``.
+    """
     missing = sorted(set(required) - set(df.columns))
-    keys = df.groupBy(site, timestamp).agg(F.count(F.lit(1)).alias("_n"))
+    keys = df.groupBy(site, timestamp, *tie_break).agg(F.count(F.lit(1)).alias("_n"))
     found = keys.agg(
         F.coalesce(F.bool_or(F.col(timestamp).isNull()), F.lit(False)).alias("null_timestamps"),
         F.coalesce(F.bool_or(F.col("_n") > 1), F.lit(False)).alias("duplicates"),
@@ -97,7 +101,7 @@ def validation_report(
     issues = [
         F.lit(f"Missing columns: {missing}") if missing else F.lit(None).cast("string"),
         F.when(F.col("null_timestamps"), "Timestamp contains null values."),
-        F.when(F.col("duplicates"), "Duplicate site_id/timestamp combinations found."),
+        F.when(F.col("duplicates"), f"Duplicate {'/'.join((S.SITE, S.TIMESTAMP, *tie_break))} combinations found."),
     ]
     if sequence is not None:
         unsorted = order_check(df, sequence, site, timestamp).agg(

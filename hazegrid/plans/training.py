@@ -79,16 +79,19 @@ def train(
     """The whole job: checks, features, split, two models, metrics, choice, metadata document.
 
     The checks ask for every input column that features are derived from, the satellite columns among them, and
-    for ``sequence`` (a unique row number of the source, if there is one) also for rows in time order.
+    for ``sequence`` (a unique row number of the source, if there is one) also for rows in time order. A row is known
+    by its site and ``spec.order``: rows of one moment are no duplicates where a further column tells them apart.
     ``dataset`` holds train and unseen rows; features are derived over both, then split. The feature table
     is written once and read back by everything after it.
     """
     spark = dataset.sparkSession
     if validate:
+        tie_break = [name for name in spec.tie_break if name != spec.split]  # the same all over a split
         inputs = [name for name in dict.fromkeys([*spec.lag_columns, *spec.sparse_columns]) if name not in S.EXTERNAL_COLUMNS]
         for split, targets in ((S.TRAIN, spec.targets), (S.UNSEEN, ())):
             required = [spec.site, spec.timestamp, *inputs, *targets]
-            report = quality.validation_report(features.split_rows(dataset, split), required, sequence=sequence).first()
+            rows = features.split_rows(dataset, split)
+            report = quality.validation_report(rows, required, sequence=sequence, tie_break=tie_break).first()
             if not report["passed"]:
                 raise ValueError({split: report["issues"]})
     write_features(features.build_features(dataset, spec), f"{root}/features")

@@ -127,3 +127,11 @@ def test_summary_of_sites_without_unseen_rows(spark):
     assert {tuple(r) for r in counts.collect()} == {("a", 1, 0), ("b", 1, 1)}
     totals = quality.dataset_totals(df).first()
     assert (totals["total_sites"], totals["total_train_rows"], totals["total_unseen_rows"]) == (2, 2, 2)
+
+
+def test_validation_of_rows_of_one_moment(spark):
+    df = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("b", 1, 1)], "site_id string, timestamp long, event_id long")
+    assert quality.validation_report(df, []).first()["issues"] == ["Duplicate site_id/timestamp combinations found."]
+    assert quality.validation_report(df, [], tie_break=["event_id"]).first()["passed"]
+    twice = quality.validation_report(df.unionByName(df), [], tie_break=["event_id"]).first()
+    assert twice["issues"] == ["Duplicate site_id/timestamp/event_id combinations found."]

@@ -92,6 +92,26 @@ def test_training_stops_on_bad_data(spark, folder):
         training.train(doubled, shared_path(spark, "bad"), models.SPEC, models.CONFIG)
 
 
+def readings_of_one_moment(spark, folder, external=False):
+    """Every reading twice: same site and time, another event."""
+    df = models.dataset(spark, folder, external)
+    return df.unionByName(df.withColumn("event_id", F.col("event_id") + 1_000_000))
+
+
+def test_training_takes_several_rows_of_one_moment(spark, folder):
+    spec = dataclasses.replace(models.SPEC, lookback=3, windows=(6,))
+    config = training.TrainingConfig(lookback=3, trees=2, depth=2)
+    df = readings_of_one_moment(spark, folder)
+    root = shared_path(spark, "moments")
+    metadata = training.train(df, root, spec, config)
+    assert all(value is not None for targets in metadata["metrics"].values() for t in targets.values() for value in t.values())
+    kept = spark.read.parquet(f"{root}/features")
+    assert kept.count() == kept.select("site_id", "event_id").distinct().count() == df.count() - 5 * 72
+    # Rows that no column of the order tells apart still end the job.
+    with pytest.raises(ValueError, match="Duplicate site_id/timestamp/event_id"):
+        training.train(df.unionByName(df.limit(1)), shared_path(spark, "bad"), spec, config)
+
+
 def test_profiles_side_by_side(spark, folder):
     small = dataclasses.replace(models.SPEC, lookback=3, windows=(6,))
     config = training.TrainingConfig(lookback=3, trees=2, depth=2)
