@@ -112,6 +112,15 @@ def test_training_takes_several_rows_of_one_moment(spark, folder):
         training.train(df.unionByName(df.limit(1)), shared_path(spark, "bad"), spec, config)
 
 
+def test_profiles_with_several_rows_of_one_moment(spark, folder):
+    spec = dataclasses.replace(models.SPEC, lookback=3, windows=(6,), lag_columns=("O3_forecast",))
+    config = training.TrainingConfig(lookback=3, trees=1, depth=1)
+    profiles = {"plain": readings_of_one_moment(spark, folder), "more": readings_of_one_moment(spark, folder, external=True)}
+    table = training.compare_profiles(profiles, shared_path(spark, "p"), spec, config, lambda profile: [SiteMean(spec.targets)])
+    assert table.count() == 24
+    assert table.where(F.col("plain").isNull() | F.col("more").isNull()).count() == 0
+
+
 def test_profiles_side_by_side(spark, folder):
     small = dataclasses.replace(models.SPEC, lookback=3, windows=(6,))
     config = training.TrainingConfig(lookback=3, trees=2, depth=2)
